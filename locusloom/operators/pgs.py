@@ -19,8 +19,12 @@ def pgs_stats(scores: DataFrame, by: list[str] | None = None, ddof: int = 0) ->
 
 
 def _standardised(value: Column) -> Column:
-    """(x - mean) / sd, 0 where all values are equal (a rounding rest of sd does not count)."""
-    varies = (F.col("_sd") > 0) & (F.col("_min") < F.col("_max"))
+    """(x - mean) / sd, 0 where all values are equal.
+
+    Equal sums may differ in their last bits, so a spread below 1e-12 of the size is none.
+    """
+    size = F.greatest(F.abs("_min"), F.abs("_max"))
+    varies = (F.col("_sd") > 0) & (F.col("_max") - F.col("_min") > size * F.lit(1e-12))
     return F.when(varies, (value - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))
 
 

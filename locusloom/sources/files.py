@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusloom.functions.text import base_name, file_extension, safe_file_name
 from locusloom.schemas import AUTOSOMES
@@ -72,7 +73,7 @@ def missing_inputs(files: DataFrame) -> DataFrame:
     return missing.unionAll(extra)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _gzip_first_line(head: pd.Series) -> pd.Series:
     """First text line of a gzip stream from the file's first bytes."""
     def first(data: bytes | None) -> str | None:

@@ -90,22 +90,22 @@ def validate_panel(panel: DataFrame, metadata: DataFrame) -> DataFrame:
     return variants.unionByName(keys)
 
 
+def nest_wide(wide: DataFrame, samples: int = PANEL_SAMPLES) -> DataFrame:
+    """Wide rows with a chromosome and columns samp1..sampN to the panel schema."""
+    named = wide.withColumnsRenamed({k: v for k, v in WIDE_NAMES.items() if k in wide.columns})
+    return named.select(
+        F.col("chromosome").cast("int").alias("chromosome"), F.col("position").cast("bigint").alias("position"),
+        "rsid", "ref_allele", "alt_allele", F.col("phased").cast("int").cast("boolean").alias("phased"),
+        *[F.col(c).cast("double").alias(c) for c in ("allele_freq", "minor_allele_freq", "imputation_quality")],
+        F.col("is_typed").cast("int").cast("boolean").alias("is_typed"),
+        F.array(*[F.col(f"samp{i}") for i in range(1, samples + 1)]).alias("sample_genotypes"),
+    )
+
+
 def build_panel(frames: dict[int, DataFrame], samples: int = PANEL_SAMPLES) -> DataFrame:
-    """Chromosome frames with columns samp1..sampN to one panel frame."""
-    def one(chromosome: int, frame: DataFrame) -> DataFrame:
-        named = frame.withColumnsRenamed(WIDE_NAMES)
-        return named.select(
-            F.lit(chromosome).cast("int").alias("chromosome"), F.col("position").cast("bigint").alias("position"),
-            "rsid", "ref_allele", "alt_allele",
-            F.col("phased").cast("int").cast("boolean").alias("phased"),
-            F.col("allele_freq").cast("double").alias("allele_freq"),
-            F.col("minor_allele_freq").cast("double").alias("minor_allele_freq"),
-            F.col("imputation_quality").cast("double").alias("imputation_quality"),
-            F.col("is_typed").cast("int").cast("boolean").alias("is_typed"),
-            F.array(*[F.col(f"samp{i}") for i in range(1, samples + 1)]).alias("sample_genotypes"),
-        )
-    parts = [one(c, f) for c, f in sorted(frames.items())]
-    return reduce(DataFrame.unionByName, parts)
+    """One wide frame per chromosome, without the chromosome, to one panel frame."""
+    named = [f.withColumn("chromosome", F.lit(c)) for c, f in sorted(frames.items())]
+    return nest_wide(reduce(DataFrame.unionByName, named), samples)
 
 
 def missing_chromosomes(frame: DataFrame) -> DataFrame:

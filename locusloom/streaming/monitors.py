@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,29 +46,42 @@ _GATE_OUTPUT = "job_id string, id string, attempted_at timestamp, prior bigint,
 
 
 def exact_gate(attempts: DataFrame, seconds: int = 60, limit: int = MAX_PER_MINUTE, lateness: str = "2 minutes") -> DataFrame:
-    """Each attempt with the number of earlier ones in the trailing window.
+    """Each attempt with the number of earlier ones, seen so far, in the trailing window.
 
-    State per job is the list of attempt times of the last ``seconds``, at most the rows of one
-    window. Rows of a batch are worked off in event order; an attempt older than what the state
-    still covers is judged by what is left of its window.
+    Time is cut into slices as long as the window and every attempt goes to its own slice and,
+    as context, to the next one; state is kept per job and slice. A busy job is thus spread over
+    its slices, and a slice's state (the times of at most two windows) goes when the watermark
+    has passed the slice.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        span = seconds * 1_000_000
-        rows = pd.concat(list(batches)).sort_values(["attempted_at", "id"], kind="stable")
-        micros = (rows["attempted_at"].astype("datetime64[us]")).astype("int64").tolist()
-        prior = []
-        for t in micros:
-            prior.append(sum(1 for x in recent if t - span < x < t))
-            recent.append(t)
-            newest = max(recent)
-            recent = [x for x in recent if x > newest - span]
-        state.update((recent,))
-        yield pd.DataFrame({
-            "job_id": key[0], "id": rows["id"].tolist(), "attempted_at": rows["attempted_at"].tolist(),
-            "prior": prior, "rate_limited": [p >= limit for p in prior]})
+    span = seconds * 1_000_000
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        job, piece = key
+        seen = [np.array(state.get[0], dtype="int64")] if state.exists else []
+        own = []
+        for rows in batches:
+            seen.append(rows["micros"].to_numpy(dtype="int64"))
+            own.append(rows.loc[rows["own"], ["id", "attempted_at", "micros"]])
+        times = np.sort(np.concatenate(seen))
+        state.update((times.tolist(),))
+        state.setTimeoutTimestamp(max((piece + 2) * span // 1000, state.getCurrentWatermarkMs() + 1))
+        for rows in own:
+            t = rows["micros"].to_numpy(dtype="int64")
+            prior = np.searchsorted(times, t, "left") - np.searchsorted(times, t - span, "right")
+            yield pd.DataFrame({
+                "job_id": job, "id": rows["id"].to_numpy(), "attempted_at": rows["attempted_at"].to_numpy(),
+                "prior": prior, "rate_limited": prior >= limit})
+
+    micros = F.unix_micros("attempted_at")
+    slice_no = F.floor(micros / span).cast("bigint")
     rows = attempts.withWatermark("attempted_at", lateness).select(
-        F.col("job_id").cast("string").alias("job_id"), F.col("id").cast("string").alias("id"), "attempted_at")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        step, _GATE_OUTPUT, "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        F.col("job_id").cast("string").alias("job_id"), F.col("id").cast("string").alias("id"), "attempted_at",
+        micros.alias("micros"), F.explode(F.array(
+            F.struct(slice_no.alias("slice"), F.lit(True).alias("own")),
+            F.struct((slice_no + 1).alias("slice"), F.lit(False).alias("own")))).alias("_at"),
+    ).select("job_id", "id", "attempted_at", "micros", "_at.slice", "_at.own")
+    return rows.groupBy("job_id", "slice").applyInPandasWithState(
+        step, _GATE_OUTPUT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
