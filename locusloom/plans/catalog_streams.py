@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.plans.derived import Tables
+from locusloom.operators.dedup import last_wins
+from locusloom.operators.merge import autosomal, unique_imputed
+from locusloom.plans.derived import CALL_ORDER, Tables
 from locusloom.plans.registry import query, sql_stamp, stamp
+from locusloom.schemas import SITE_KEY
 from locusloom.session import staged_path
-from locusloom.streaming import chromosomes, monitors
+from locusloom.sinks.tables import by_place
+from locusloom.streaming import monitors
+from locusloom.streaming.chromosomes import ChromosomeFeed
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -51,19 +56,19 @@ def _(t):
 
 
 @query("stream_chromosome_merge", """
-SELECT chromosome, user_source, count(*) AS variants, round(sum(user_dosage), 6) AS dosage_sum FROM g_merged_stream GROUP BY 1, 2""")
+SELECT chromosome, user_source, count(*) AS variants, round(sum(user_dosage), 6) AS dosage_sum FROM g_merged GROUP BY 1, 2""")
 def _(t):
-    from locusloom.operators.merge import autosomal
-    from locusloom.plans.catalog_sources import vcf_lines
-    from locusloom.operators.dedup import last_wins
-    from locusloom.plans.derived import CALL_ORDER
-
     spark = t.spark
     folder = staged_path(spark, "feed")
-    # One folder of VCF text per chromosome, as a server would deliver it.
-    vcf_lines(t).repartition("file_path").write.partitionBy("file_path").text(f"{folder}/arriving")
+    rows = unique_imputed(t.imputed(), SITE_KEY, CALL_ORDER)
+    info = F.coalesce(F.concat(F.lit("R2="), F.col("imputed_r2").cast("string")), F.lit("."))
+    line = F.concat_ws(
+        "\t", F.col("chromosome").cast("string"), F.col("position").cast("string"), F.lit("."), "ref_allele", "alt_allele",
+        F.lit("."), F.lit("PASS"), info, F.lit("GT:DS"), F.concat(F.lit("0|0:"), F.col("imputed_dosage").cast("string")))
+    # VCF text in one folder per chromosome, as it would arrive.
+    by_place(rows).select("chromosome", line.alias("value")).write.partitionBy("chromosome").text(f"{folder}/arriving")
     calls = last_wins(autosomal(t.calls()), ["chromosome", "position"], CALL_ORDER, ["rsid", "genotype"])
-    feed = chromosomes.ChromosomeFeed(spark, t.panel(), calls, f"{folder}/table")
+    feed = ChromosomeFeed(spark, t.panel(), calls, f"{folder}/table")
     feed.initialise()
     feed.start(f"{folder}/arriving", f"{folder}/progress").awaitTermination()
     return feed.merged().groupBy("chromosome", "user_source").agg(

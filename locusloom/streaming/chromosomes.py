@@ -14,6 +14,12 @@ from locusloom.sources.lines import LINE_ORDER
 from locusloom.sources.vcf import parse_vcf_lines
 
 
+_RECEIVED = (
+    "rsid string, chromosome int, position bigint, ref_allele string, alt_allele string, dosage double, "
+    "imputation_quality double, file_path string, split_start bigint, row_id bigint, value string, error string, batch bigint"
+)
+
+
 class ChromosomeFeed:
     """Keeps a merged table, by chromosome, up to date with arriving VCF text files.
 
@@ -25,11 +31,10 @@ class ChromosomeFeed:
     def __init__(self, spark: SparkSession, panel: DataFrame, calls: DataFrame, table_path: str, rules: MergeRules = DEFAULT_RULES):
         self.spark, self.panel, self.calls, self.rules = spark, panel, calls, rules
         self.merged_path, self.rows_path = f"{table_path}/merged", f"{table_path}/received"
-        self.rejects_path = f"{table_path}/rejects"
 
     def initialise(self) -> None:
         """Write every chromosome from the panel and the calls alone."""
-        empty = self.spark.createDataFrame([], self._received_schema())
+        empty = self.spark.createDataFrame([], _RECEIVED)
         self._write(merge_multi_sample(self.panel, self.calls, empty, self.rules, None, self._order()))
 
     def start(self, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -42,11 +47,9 @@ class ChromosomeFeed:
     def append(self, lines: DataFrame, batch_id: int) -> None:
         """One batch of VCF lines."""
         numbered = lines.withColumn("row_id", F.monotonically_increasing_id())
-        parsed = parse_vcf_lines(numbered).withColumn("batch", F.lit(batch_id))
-        good = parsed.filter(F.col("error").isNull()).select(*IMPUTED_ROWS.fieldNames(), *LINE_ORDER, "batch")
-        self._overwrite(good, self.rows_path, ["batch", "chromosome"])
-        bad = parsed.filter(F.col("error").isNotNull()).select("file_path", "value", "error", "batch")
-        self._overwrite(bad, self.rejects_path, ["batch"])
+        parsed = parse_vcf_lines(numbered).withColumns({
+            "value": F.when(F.col("error").isNotNull(), F.col("value")), "batch": F.lit(batch_id)})
+        self._overwrite(parsed.select(*self._columns()), self.rows_path, ["batch", "chromosome"])
         # At most 22 numbers.
         touched = [r.chromosome for r in self.received().filter(F.col("batch") == batch_id).select("chromosome").distinct().collect()]
         if touched:
@@ -56,7 +59,17 @@ class ChromosomeFeed:
                 self.received().filter(here), self.rules, None, self._order()))
 
     def received(self) -> DataFrame:
-        return self.spark.read.schema(self._received_schema()).parquet(self.rows_path)
+        """Good rows of all batches."""
+        return self._lines().filter(F.col("error").isNull()).drop("value", "error")
+
+    def rejects(self) -> DataFrame:
+        return self._lines().filter(F.col("error").isNotNull()).select("file_path", "value", "error", "batch")
+
+    def _lines(self) -> DataFrame:
+        return self.spark.read.schema(_RECEIVED).parquet(self.rows_path)
+
+    def _columns(self) -> list[str]:
+        return [*IMPUTED_ROWS.fieldNames(), *LINE_ORDER, "value", "error", "batch"]
 
     def merged(self) -> DataFrame:
         return self.spark.read.parquet(self.merged_path).withColumn("chromosome", F.col("chromosome").cast("int"))
@@ -73,12 +86,6 @@ class ChromosomeFeed:
     def _order(self) -> list[str]:
         return ["batch", *LINE_ORDER]
 
-    def _received_schema(self):
-        return (
-            "rsid string, chromosome int, position bigint, ref_allele string, alt_allele string, dosage double, "
-            "imputation_quality double, file_path string, split_start bigint, row_id bigint, batch bigint"
-        )
-
     def _write(self, merged: DataFrame) -> None:
         self._overwrite(by_place(merged), self.merged_path, ["chromosome"])
 

@@ -59,7 +59,7 @@ def exact_gate(attempts: DataFrame, seconds: int = 60, limit: int = MAX_PER_MINU
         if state.hasTimedOut:
             state.remove()
             return
-        job, piece = key
+        job, piece = key[0], int(key[1])
         seen = [np.array(state.get[0], dtype="int64")] if state.exists else []
         own = []
         for rows in batches:
