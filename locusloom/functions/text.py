@@ -75,11 +75,10 @@ def is_security_event(event_type: ColumnOrName, severity: ColumnOrName) -> Colum
 
 def sample_map_to_array(json_text: ColumnOrName, samples: int = 50) -> Column:
     """``{"samp1": "0|0", ...}`` to an array ordered samp1, samp2, ...; NULL where a key is absent."""
-    parsed = F.from_json(_c(json_text), "map<string,string>")
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(samples)),
-        lambda i: F.try_element_at(parsed, F.concat(F.lit("samp"), i.cast("string"))),
-    )
+    names = [f"samp{i}" for i in range(1, samples + 1)]
+    parsed = F.from_json(_c(json_text), ", ".join(f"{n} string" for n in names))
+    # The lambda's variable holds the parsed object, so each text is parsed once for all samples.
+    return F.transform(F.array(parsed), lambda doc: F.array(*[doc[n] for n in names]))[0]
 
 
 def array_to_sample_map(genotypes: ColumnOrName) -> Column:

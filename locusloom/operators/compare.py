@@ -20,17 +20,20 @@ def compare_counts(run_a: DataFrame, run_b: DataFrame, by: str = "chromosome") -
         "difference": F.col("rows_b") - F.col("rows_a"), "ratio": F.try_divide("rows_b", "rows_a")})
 
 
-def key_overlap(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Distinct keys only in A, only in B and in both.
+def _seen(run_a: DataFrame, run_b: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, with flags ``_a`` and ``_b`` for the runs it is in.
 
-    Both runs are tagged and grouped once by key, which combines copies before the shuffle.
+    Both runs are tagged and grouped once, which combines copies of a key before the shuffle.
     """
-    keys = keys or SITE_KEY
     tagged = run_a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         run_b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
-    seen = tagged.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return tagged.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+
+
+def key_overlap(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Distinct keys only in A, only in B and in both."""
     a, b = F.col("_a") == 1, F.col("_b") == 1
-    return seen.agg(
+    return _seen(run_a, run_b, keys or SITE_KEY).agg(
         F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"), F.count_if(a & b).alias("both"))
 
 
@@ -41,8 +44,9 @@ def only_in_first(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = N
 
 
 def in_both(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Distinct keys of both runs."""
     keys = keys or SITE_KEY
-    return run_a.select(*keys).intersect(run_b.select(*keys))
+    return _seen(run_a, run_b, keys).filter((F.col("_a") == 1) & (F.col("_b") == 1)).select(*keys)
 
 
 def dosage_agreement(run_a: DataFrame, run_b: DataFrame, tolerance: float = 0.001) -> DataFrame:
@@ -54,8 +58,10 @@ def dosage_agreement(run_a: DataFrame, run_b: DataFrame, tolerance: float = 0.00
         F.count("*").alias("shared"), F.count_if(gap <= tolerance).alias("within_tolerance"), F.max(gap).alias("largest_difference"))
 
 
-def _rule(df: DataFrame, name: str, violations: Column) -> DataFrame:
-    return df.agg(violations.alias("violations")).select(F.lit(name).alias("rule"), F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))
+def _rules(df: DataFrame, violations: dict[str, Column]) -> DataFrame:
+    """rule, violations: all rules of one frame in one pass."""
+    counts = df.agg(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in violations.items()])
+    return counts.unpivot([], list(violations), "rule", "violations")
 
 
 def quality_report(
@@ -72,15 +78,16 @@ def quality_report(
     matched = weights.join(merged.select("chromosome", "position").distinct(), ["chromosome", "position"], "left_semi")
     coverage = repeats(weights, ["trait"]).withColumnRenamed("_n", "_all").join(
         repeats(matched, ["trait"]), "trait", "left")
+    numbers = panel.filter(F.col("chromosome").between(1, 22)).select("chromosome").distinct()
     rules = [
-        _rule(panel.filter(F.col("chromosome").between(1, 22)).groupBy("chromosome").agg(F.count("*").alias("_n")),
-              "chromosomes_missing", F.lit(22) - F.count("*")),
-        _rule(repeats(panel.filter(F.col("rsid").isNotNull()), ["rsid"]), "panel_duplicate_ids", repeated),
-        _rule(imputed, "dosage_out_of_range", F.count_if(~F.col("dosage").between(0.0, 2.0))),
-        _rule(imputed, "alleles_not_acgt", F.count_if(~(F.col("ref_allele").rlike(acgt) & F.col("alt_allele").rlike(acgt)))),
-        _rule(calls, "call_shape", F.count_if(~F.col("genotype").rlike("^([ACGT]{2}|--|[DI]{2})$"))),
-        _rule(repeats(weights, ["trait", "chromosome", "position"]), "weight_duplicate_sites", repeated),
-        _rule(coverage, "traits_below_coverage", F.count_if(F.coalesce("_n", F.lit(0)) < F.col("_all") * min_coverage)),
+        _rules(numbers, {"chromosomes_missing": F.lit(22) - F.count("*")}),
+        _rules(repeats(panel.filter(F.col("rsid").isNotNull()), ["rsid"]), {"panel_duplicate_ids": repeated}),
+        _rules(imputed, {
+            "dosage_out_of_range": F.count_if(~F.col("dosage").between(0.0, 2.0)),
+            "alleles_not_acgt": F.count_if(~(F.col("ref_allele").rlike(acgt) & F.col("alt_allele").rlike(acgt)))}),
+        _rules(calls, {"call_shape": F.count_if(~F.col("genotype").rlike("^([ACGT]{2}|--|[DI]{2})$"))}),
+        _rules(repeats(weights, ["trait", "chromosome", "position"]), {"weight_duplicate_sites": repeated}),
+        _rules(coverage, {"traits_below_coverage": F.count_if(F.coalesce("_n", F.lit(0)) < F.col("_all") * min_coverage)}),
     ]
     return reduce(DataFrame.unionAll, rules)
 

@@ -16,19 +16,30 @@ def _micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
+# A slice of time is this many windows long. A busy key is spread over its slices; only rows
+# in the last window of a slice are looked at twice.
+SLICE_WINDOWS = 16
+
+
+def time_slices(micros: Column, span: int) -> Column:
+    """ARRAY<STRUCT<slice, own>>: the row's own slice and, when it is within ``span`` of the
+    slice's end, the next one, where it is context only."""
+    length = span * SLICE_WINDOWS
+    own = F.floor(micros / length).cast("bigint")
+    mine = F.struct(own.alias("slice"), F.lit(True).alias("own"))
+    context = F.struct((own + 1).alias("slice"), F.lit(False).alias("own"))
+    return F.when(micros >= (own + 1) * length - span, F.array(mine, context)).otherwise(F.array(mine))
+
+
 def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Per key and moment: ``n`` events then, and ``prior`` events in the ``seconds`` before it.
 
-    Events of one moment are counted first. Time is then cut into slices as long as the window:
-    what precedes a moment lies in its own slice or the one before, so each row is looked at in
-    two slices and a busy key is spread over its slices instead of being sorted in one task.
+    Events of one moment are counted first, then time is cut into slices, so no task sorts all
+    of a busy key. What precedes a moment lies in its own slice or is brought in as context.
     """
     span = seconds * 1_000_000
     counts = events.groupBy(key, ts).agg(F.count("*").alias("n")).withColumn("_t", _micros(ts))
-    own = F.floor(F.col("_t") / span).cast("bigint")
-    rows = counts.withColumn("_at", F.explode(F.array(
-        F.struct(own.alias("slice"), F.lit(True).alias("own")),
-        F.struct((own + 1).alias("slice"), F.lit(False).alias("own")))))
+    rows = counts.withColumn("_at", F.explode(time_slices(F.col("_t"), span)))
     before = W.partitionBy(key, "_at.slice").orderBy("_t").rangeBetween(-(span - 1), -1)
     return rows.withColumn("prior", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("_at.own").select(key, ts, "n", "prior")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.numeric import normal_cdf, predicted_trait_value
 from locusloom.operators.ranking import percent_rank
+from locusloom.session import stage
 
 
 def pgs_stats(scores: DataFrame, by: list[str] | None = None, ddof: int = 0) -> DataFrame:
@@ -33,14 +34,15 @@ def _with_stats(scores: DataFrame, reference: DataFrame, ddof: int) -> DataFrame
         "label", F.col("mean").alias("_mean"), F.col("sd").alias("_sd"),
         F.col("min").alias("_min"), F.col("max").alias("_max"),
     )
-    return scores.join(stats, "label", "left")
+    return scores.join(stage(stats, "label-stats"), "label", "left")
 
 
 def scale_pgs(scores: DataFrame, ddof: int = 0) -> DataFrame:
     """Add ``z``, the score standardised within its label.
 
-    Statistics come from a partial aggregate and are joined back, so a label with most of the
-    rows is neither sorted nor held in one task.
+    Like a scaler's fit and transform: the statistics are aggregated and staged first, then
+    joined back. The scores are scanned twice and never shuffled while the statistics are
+    small; a label with most of the rows is neither sorted nor held in one task.
     """
     return _with_stats(scores, scores, ddof).withColumn("z", _standardised(F.col("value"))).drop(
         "_mean", "_sd", "_min", "_max")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locusloom.session import stage
+
 RANGES = 128
 
 
@@ -19,7 +21,8 @@ def cumulative_counts(df: DataFrame, by: list[str], value: str, ranges: int = RA
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts"))
+    # Staged, so that the values are ranged by a broadcast where the groups are few.
+    cuts = stage(rows.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts")), "cuts")
     ranged = counts.join(cuts, by).select(
         *by, value, "n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_range"),
     )

@@ -9,6 +9,7 @@ from locusloom.functions.genotype import genotype_text_dosage
 from locusloom.operators.pgs import normalise_to_reference
 from locusloom.operators.ranking import percent_rank
 from locusloom.schemas import USER_SAMPLE
+from locusloom.session import stage
 
 _PLACE = ["chromosome", "position"]
 
@@ -64,7 +65,8 @@ def pgs_results(
 
     Normalised by the panel samples' mean and sd; the percentile ranks within the trait.
     """
-    scores = with_coverage(raw_scores(merged, weights, key), weights, min_coverage)
+    # Traits times samples, a short table that is used several times below.
+    scores = stage(with_coverage(raw_scores(merged, weights, key), weights, min_coverage), "raw-scores")
     named = scores.withColumnsRenamed({"trait": "label", "raw_score": "value"})
     scored = normalise_to_reference(named, F.col("sample_id") != USER_SAMPLE)
     ranked = percent_rank(scored, ["label"], "value")

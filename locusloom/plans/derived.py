@@ -54,8 +54,10 @@ class Tables:
         typed = k % 11 == 0
         af = (k * 17 % 101).cast("double") / F.lit(100.0)
 
+        texts = F.array(*[F.lit(g) for g in ("0|0", "0|1", "1|0", "1|1")])
+
         def genotype(i: Column) -> Column:
-            return F.concat(((k * 3 + i) % 2).cast("string"), F.lit("|"), ((k + i * 7) % 2).cast("string"))
+            return F.get(texts, ((k * 3 + i) % 2 * 2 + (k + i * 7) % 2).cast("int"))
 
         return self.sites().select(
             "chromosome", "position",

@@ -17,6 +17,8 @@ _RUNTIME = {
     # was measured to be small, and skewed partitions are split.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed partition even where the next join then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # One person's array calls are about 25 MB; Spark checks the size before broadcasting.
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
@@ -76,7 +78,9 @@ def stage(df, name: str, partition_by: list[str] | None = None):
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with a written table, so a lost executor does not mean parsing the
-    inputs again, and a frame that feeds several sinks is computed once.
+    inputs again, and a frame that is used several times is computed once. Spark also knows
+    the table's size when it plans, so an aggregate's short result is broadcast exactly when
+    it is below the threshold and the large side then needs no shuffle.
     """
     spark = df.sparkSession
     path = staged_path(spark, name)

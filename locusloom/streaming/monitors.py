@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from locusloom.operators.downloads import MAX_PER_MINUTE
+from locusloom.operators.downloads import MAX_PER_MINUTE, SLICE_WINDOWS, time_slices
 from locusloom.operators.jobs import latest_progress, security_events
 
 
@@ -48,12 +48,12 @@ _GATE_OUTPUT = "job_id string, id string, attempted_at timestamp, prior bigint,
 def exact_gate(attempts: DataFrame, seconds: int = 60, limit: int = MAX_PER_MINUTE, lateness: str = "2 minutes") -> DataFrame:
     """Each attempt with the number of earlier ones, seen so far, in the trailing window.
 
-    Time is cut into slices as long as the window and every attempt goes to its own slice and,
-    as context, to the next one; state is kept per job and slice. A busy job is thus spread over
-    its slices, and a slice's state (the times of at most two windows) goes when the watermark
-    has passed the slice.
+    State is kept per job and slice of time; an attempt near the end of its slice also goes to
+    the next one as context. A busy job is thus spread over its slices, and a slice's state
+    goes when the watermark has passed it.
     """
     span = seconds * 1_000_000
+    length = span * SLICE_WINDOWS
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -67,8 +67,10 @@ def exact_gate(attempts: DataFrame, seconds: int = 60, limit: int = MAX_PER_MINU
             own.append(rows.loc[rows["own"], ["id", "attempted_at", "micros"]])
         times = np.sort(np.concatenate(seen))
         state.update((times.tolist(),))
-        state.setTimeoutTimestamp(max((piece + 2) * span // 1000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((piece + 1) * length // 1000, state.getCurrentWatermarkMs() + 1))
         for rows in own:
+            if rows.empty:
+                continue
             t = rows["micros"].to_numpy(dtype="int64")
             prior = np.searchsorted(times, t, "left") - np.searchsorted(times, t - span, "right")
             yield pd.DataFrame({
@@ -76,12 +78,9 @@ def exact_gate(attempts: DataFrame, seconds: int = 60, limit: int = MAX_PER_MINU
                 "prior": prior, "rate_limited": prior >= limit})
 
     micros = F.unix_micros("attempted_at")
-    slice_no = F.floor(micros / span).cast("bigint")
     rows = attempts.withWatermark("attempted_at", lateness).select(
         F.col("job_id").cast("string").alias("job_id"), F.col("id").cast("string").alias("id"), "attempted_at",
-        micros.alias("micros"), F.explode(F.array(
-            F.struct(slice_no.alias("slice"), F.lit(True).alias("own")),
-            F.struct((slice_no + 1).alias("slice"), F.lit(False).alias("own")))).alias("_at"),
+        micros.alias("micros"), F.explode(time_slices(micros, span)).alias("_at"),
     ).select("job_id", "id", "attempted_at", "micros", "_at.slice", "_at.own")
     return rows.groupBy("job_id", "slice").applyInPandasWithState(
         step, _GATE_OUTPUT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
