@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from locusloom.schemas import AUTOSOMES, GENOTYPED, IMPUTED, IMPUTED_LOW, LOW_QUALITY_R2
+from locusloom.schemas import GENOTYPED, IMPUTED, IMPUTED_LOW, LOW_QUALITY_R2
 
 ColumnOrName = Column | str
 
@@ -156,7 +156,7 @@ def display_call(genotype: ColumnOrName, ref: ColumnOrName, alt: ColumnOrName) -
 def autosome_number(chromosome: ColumnOrName) -> Column:
     """Array-call chromosome text to 1..22, NULL for X, Y, MT and anything else."""
     c = _c(chromosome)
-    return F.when(c.isin([str(n) for n in AUTOSOMES]), c.cast("int"))
+    return F.when(c.rlike("^([1-9]|1[0-9]|2[0-2])$"), c.cast("int"))
 
 
 def vcf_chromosome(chromosome: ColumnOrName) -> Column:

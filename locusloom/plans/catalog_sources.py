@@ -62,10 +62,11 @@ def vcf_lines(t: Tables):
     def hundredths(n):
         return F.concat(F.floor(n / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
 
-    site = Tables._site(k)
+    site = Tables._site("k")
     ds = (k * 31 + F.col("l_partkey") * 7) % 201
     r2 = F.lpad((k * 613 % 1000).cast("string"), 3, "0")
-    rows = t.base("lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("k"), "l_partkey")
+    rows = t.spread("lineitem", ["l_orderkey", "l_partkey", "l_linenumber"]).filter("l_linenumber = 2").select(
+        F.col("l_orderkey").alias("k"), "l_partkey")
     chrom = F.when(k % 31 == 0, F.lit("X")).when(k % 2 == 1, F.concat(F.lit("chr"), site["chromosome"].cast("string"))).otherwise(site["chromosome"].cast("string"))
     ident = F.when(k % 7 == 0, F.lit(".")).when(k % 5 == 0, F.concat(F.lit("rs"), k.cast("string"), F.lit(";alt"))).otherwise(F.concat(F.lit("rs"), k.cast("string")))
     alt = F.when(k % 37 == 0, F.lit(".")).when(k % 11 == 0, F.concat(site["alt_allele"], F.lit(",N"))).otherwise(site["alt_allele"])
@@ -269,7 +270,7 @@ def _(t):
 def _with_sites(t: Tables):
     """Calls beside the alleles of their own place, plus odd texts."""
     k, odd = F.col("l_orderkey"), F.col("l_partkey") % 10
-    site = Tables._site(k)
+    site = Tables._site("l_orderkey")
     ref, alt = site["ref_allele"], site["alt_allele"]
     kind = (k + F.col("l_suppkey")) % 6
     pair = F.when(kind == 0, F.concat(ref, ref)).when(kind == 1, F.concat(ref, alt)).when(kind == 2, F.concat(alt, ref)).when(kind == 3, F.concat(alt, alt)).when(kind == 4, F.lit("--")).otherwise(F.lit("DI"))

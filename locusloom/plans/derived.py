@@ -20,9 +20,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def spread(self, name: str, columns: list[str]) -> DataFrame:
         """A table whose rows grow a lot later; a table of few files is spread over the cores first.
@@ -36,76 +39,62 @@ class Tables:
     # -- sites -------------------------------------------------------------------------
 
     @staticmethod
-    def _site(k: Column) -> dict[str, Column]:
-        def letter(i: Column) -> Column:
-            return F.lit("ACGT").substr((i % 4 + 1).cast("int"), F.lit(1))
-
+    def site_sql(k: str) -> dict[str, str]:
         return {
-            "chromosome": (k % 22 + 1).cast("int"), "position": k * 37 + 10000,
-            "ref_allele": letter(k), "alt_allele": letter(k + 1 + k % 3),
+            "chromosome": f"cast({k} % 22 + 1 as int)", "position": f"{k} * 37 + 10000",
+            "ref_allele": f"substr('ACGT', cast({k} % 4 + 1 as int), 1)",
+            "alt_allele": f"substr('ACGT', cast(({k} + 1 + {k} % 3) % 4 + 1 as int), 1)",
         }
 
+    @staticmethod
+    def _site(k: str) -> dict[str, Column]:
+        return {name: F.expr(text) for name, text in Tables.site_sql(k).items()}
+
     def sites(self) -> DataFrame:
-        k = F.col("o_orderkey")
-        return self.spread("orders", ["o_orderkey"]).select(k.alias("k"), *[c.alias(n) for n, c in self._site(k).items()])
+        site = self.site_sql("o_orderkey")
+        return self.spread("orders", ["o_orderkey"]).selectExpr("o_orderkey AS k", *[f"{e} AS {n}" for n, e in site.items()])
 
     def panel(self) -> DataFrame:
-        k = F.col("k")
-        typed = k % 11 == 0
-        af = (k * 17 % 101).cast("double") / F.lit(100.0)
-
-        texts = F.array(*[F.lit(g) for g in ("0|0", "0|1", "1|0", "1|1")])
-
-        def genotype(i: Column) -> Column:
-            return F.get(texts, ((k * 3 + i) % 2 * 2 + (k + i * 7) % 2).cast("int"))
-
-        return self.sites().select(
-            "chromosome", "position",
-            F.when(k % 13 != 0, F.concat(F.lit("rs"), k.cast("string"))).alias("rsid"),
-            "ref_allele", "alt_allele", F.lit(True).alias("phased"), af.alias("allele_freq"),
-            F.least(af, F.lit(1.0) - af).alias("minor_allele_freq"),
-            F.when(~typed, (F.lit(700) + k * 7919 % 300).cast("double") / F.lit(1000.0)).alias("imputation_quality"),
-            typed.alias("is_typed"),
-            F.transform(F.sequence(F.lit(1), F.lit(PANEL_SAMPLES)), genotype).alias("sample_genotypes"),
+        af = "cast(k * 17 % 101 as double) / 100.0D"
+        return self.sites().selectExpr(
+            "chromosome", "position", "if(k % 13 != 0, concat('rs', k), NULL) AS rsid", "ref_allele", "alt_allele",
+            "true AS phased", f"{af} AS allele_freq", f"least({af}, 1.0D - {af}) AS minor_allele_freq",
+            "if(k % 11 != 0, cast(700 + k * 7919 % 300 as double) / 1000.0D, NULL) AS imputation_quality",
+            "k % 11 = 0 AS is_typed",
+            f"transform(sequence(1, {PANEL_SAMPLES}), i -> get(array('0|0', '0|1', '1|0', '1|1'), "
+            "cast((k * 3 + i) % 2 * 2 + (k + i * 7) % 2 as int))) AS sample_genotypes",
         )
 
     def calls(self) -> DataFrame:
         """Array calls: repeated keys, no-calls, indels, off-panel places and chromosome X."""
-        k = F.col("l_orderkey")
-        site = self._site(k)
+        site = self.site_sql("l_orderkey")
         ref, alt = site["ref_allele"], site["alt_allele"]
-        kind = (k + F.col("l_suppkey")) % 6
-        genotype = (
-            F.when(kind == 0, F.concat(ref, ref)).when(kind == 1, F.concat(ref, alt))
-            .when(kind == 2, F.concat(alt, ref)).when(kind == 3, F.concat(alt, alt))
-            .when(kind == 4, F.lit("--")).otherwise(F.lit("DI"))
-        )
-        return self.base("lineitem").filter("l_linenumber = 1").select(
-            F.concat(F.lit("rs"), k.cast("string")).alias("rsid"),
-            F.when(k % 19 == 0, F.lit("X")).otherwise(site["chromosome"].cast("string")).alias("chromosome"),
-            (site["position"] + F.when(k % 17 == 0, 1).otherwise(0)).alias("position"),
-            genotype.alias("genotype"), *CALL_ORDER,
+        return self.base("lineitem").filter("l_linenumber = 1").selectExpr(
+            "concat('rs', l_orderkey) AS rsid",
+            f"if(l_orderkey % 19 = 0, 'X', cast({site['chromosome']} as string)) AS chromosome",
+            f"{site['position']} + if(l_orderkey % 17 = 0, 1, 0) AS position",
+            f"CASE (l_orderkey + l_suppkey) % 6 WHEN 0 THEN concat({ref}, {ref}) WHEN 1 THEN concat({ref}, {alt}) "
+            f"WHEN 2 THEN concat({alt}, {ref}) WHEN 3 THEN concat({alt}, {alt}) WHEN 4 THEN '--' ELSE 'DI' END AS genotype",
+            *CALL_ORDER,
         )
 
     def imputed(self) -> DataFrame:
         """Imputed rows: repeated keys, unknown and low R2, generated names, off-panel places."""
-        k = F.col("l_orderkey")
-        site = self._site(k)
-        position = site["position"] + F.when(k % 23 == 0, 2).otherwise(0)
-        name = F.when(k % 7 == 0, F.concat_ws(":", F.concat(F.lit("chr"), site["chromosome"].cast("string")),
-                                              position.cast("string"), site["ref_allele"], site["alt_allele"]))
-        return self.base("lineitem").filter("l_linenumber = 2").select(
-            F.coalesce(name, F.concat(F.lit("rs"), k.cast("string"))).alias("rsid"),
-            site["chromosome"].alias("chromosome"), position.alias("position"),
-            site["ref_allele"].alias("ref_allele"), site["alt_allele"].alias("alt_allele"),
-            (((k * 31 + F.col("l_partkey") * 7) % 201).cast("double") / F.lit(100.0)).alias("dosage"),
-            F.when(k % 29 != 0, (k * 613 % 1000).cast("double") / F.lit(1000.0)).alias("imputation_quality"),
+        site = self.site_sql("l_orderkey")
+        position = f"{site['position']} + if(l_orderkey % 23 = 0, 2, 0)"
+        return self.base("lineitem").filter("l_linenumber = 2").selectExpr(
+            f"if(l_orderkey % 7 = 0, concat_ws(':', concat('chr', {site['chromosome']}), {position}, {site['ref_allele']}, "
+            f"{site['alt_allele']}), concat('rs', l_orderkey)) AS rsid",
+            f"{site['chromosome']} AS chromosome", f"{position} AS position",
+            f"{site['ref_allele']} AS ref_allele", f"{site['alt_allele']} AS alt_allele",
+            "cast((l_orderkey * 31 + l_partkey * 7) % 201 as double) / 100.0D AS dosage",
+            "if(l_orderkey % 29 != 0, cast(l_orderkey * 613 % 1000 as double) / 1000.0D, NULL) AS imputation_quality",
             *CALL_ORDER,
         )
 
     def weights(self) -> DataFrame:
         k = F.col("p_partkey")
-        site = self._site(k)
+        site = self._site("p_partkey")
         effect_is_alt = k % 2 == 1
         return self.base("part").select(
             F.col("p_brand").alias("trait"), F.concat(F.lit("rs"), k.cast("string")).alias("rsid"),

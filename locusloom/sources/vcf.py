@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import vcf_chromosome
-from locusloom.functions.numeric import parse_double, parse_position
+from locusloom.functions.numeric import NUMBER_PATTERN, parse_double, parse_position
 from locusloom.schemas import IMPUTED_ROWS
 from locusloom.session import stage
 from locusloom.sources.lines import LINE_ORDER, read_lines
@@ -21,15 +22,15 @@ class VcfErrorBudgetExceeded(ValueError):
 
 
 def info_quality(info: Column, tags: tuple[str, ...] = ("R2",)) -> Column:
-    """First item ``TAG=number`` of INFO, for the first tag that has one; NULL if none has."""
-    items = F.split(info, ";")
+    """First item ``TAG=number`` of INFO, for the first tag that has one; NULL if none has.
+
+    The pattern takes numbers only, so an item that is none is passed over for a later one.
+    """
+    number = NUMBER_PATTERN.strip("^$").replace("(", "(?:")
 
     def first_number(tag: str) -> Column:
-        values = F.transform(
-            F.filter(items, lambda x: x.startswith(f"{tag}=")),
-            lambda x: parse_double(F.substring(x, len(tag) + 2, 64)),
-        )
-        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
+        text = F.regexp_extract(info, rf"(?:^|;){re.escape(tag)}=({number})(?:;|$)", 1)
+        return F.when(text != "", text.cast("double"))
 
     return F.coalesce(*[first_number(t) for t in tags])
 
@@ -37,42 +38,43 @@ def info_quality(info: Column, tags: tuple[str, ...] = ("R2",)) -> Column:
 def parse_vcf_lines(lines: DataFrame, quality_tags: tuple[str, ...] = ("R2",)) -> DataFrame:
     """Add the imputed-row columns and ``error`` to a frame with ``value``; header lines go.
 
-    The dosage is the DS entry of the last sample column.
+    The dosage is the DS entry of the last sample column. Parts that several columns need are
+    projected first, so that a line is split once.
     """
     body = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    body = body.withColumn("_f", F.split(F.regexp_replace("value", r"\r$", ""), "\t"))
-    f = [F.try_element_at("_f", F.lit(i)) for i in range(1, 10)]
+    body = body.withColumn("_f", F.split(F.rtrim("value", F.lit("\r")), "\t"))
+    f = [F.get("_f", F.lit(i)) for i in range(9)]
     chrom, pos, ident, ref, alts, info, fmt = f[0], f[1], f[2], f[3], f[4], f[7], f[8]
-
-    chromosome = vcf_chromosome(chrom)
-    position = parse_position(pos)
-    alt = F.when((alts != ".") & (alts != ""), F.split(alts, ",")[0])
-    has_sample = F.size("_f") >= 10
-    ds_index = F.array_position(F.split(fmt, ":"), "DS").cast("int")
-    ds_text = F.when(
-        has_sample & (ds_index > 0),
-        F.try_element_at(F.split(F.element_at("_f", -1), ":"), ds_index),
+    kept = [F.col(c) for c in lines.columns]
+
+    cells = body.select(
+        *kept, vcf_chromosome(chrom).alias("chromosome"), parse_position(pos).alias("position"), ident.alias("_id"),
+        ref.alias("ref_allele"),
+        F.when((alts != ".") & (alts != ""), F.substring_index(alts, ",", 1)).alias("alt_allele"),
+        info_quality(info, quality_tags).alias("imputation_quality"),
+        F.array_position(F.split(fmt, ":"), "DS").cast("int").alias("_ds"),
+        F.when(F.size("_f") >= 10, F.split(F.element_at("_f", -1), ":")).alias("_cell"),
     )
-    dosage = parse_double(ds_text)
-    rsid = F.when(
-        ident.isNull() | ident.isin(".", ""),
-        F.concat(F.lit("chr"), chromosome.cast("string"), F.lit(":"), position.cast("string"),
-                 F.lit(":"), ref, F.lit(":"), alt),
-    ).otherwise(F.split(ident, ";")[0])
+    texts = cells.withColumn("_text", F.when(F.col("_ds") > 0, F.get("_cell", F.col("_ds") - 1)))
+    parsed = texts.withColumn("dosage", parse_double("_text"))
+    position = F.col("position")
     error = (
-        F.when(chromosome.isNull(), F.lit("invalid chromosome"))
+        F.when(F.col("chromosome").isNull(), F.lit("invalid chromosome"))
         .when(position.isNull() | (position < 1), F.lit("invalid position"))
-        .when(alt.isNull(), F.lit("missing ALT"))
-        .when(~has_sample, F.lit("no sample column"))
-        .when(F.coalesce(ds_index, F.lit(0)) == 0, F.lit("no DS in FORMAT"))
-        .when(ds_text.isNull(), F.lit("no DS in sample"))
-        .when(dosage.isNull(), F.lit("invalid DS"))
-        .when(~dosage.between(0.0, 2.0), F.lit("DS out of range"))
+        .when(F.col("alt_allele").isNull(), F.lit("missing ALT"))
+        .when(F.col("_cell").isNull(), F.lit("no sample column"))
+        .when(F.coalesce("_ds", F.lit(0)) == 0, F.lit("no DS in FORMAT"))
+        .when(F.col("_text").isNull(), F.lit("no DS in sample"))
+        .when(F.col("dosage").isNull(), F.lit("invalid DS"))
+        .when(~F.col("dosage").between(0.0, 2.0), F.lit("DS out of range"))
     )
-    return body.select(
-        *lines.columns, rsid.alias("rsid"), chromosome.alias("chromosome"), position.alias("position"),
-        ref.alias("ref_allele"), alt.alias("alt_allele"), dosage.alias("dosage"),
-        info_quality(info, quality_tags).alias("imputation_quality"), error.alias("error"),
+    made_up = F.concat(
+        F.lit("chr"), F.col("chromosome").cast("string"), F.lit(":"), position.cast("string"), F.lit(":"),
+        F.col("ref_allele"), F.lit(":"), F.col("alt_allele"))
+    no_id = F.col("_id").isNull() | F.col("_id").isin(".", "")
+    return parsed.select(
+        *kept, F.when(no_id, made_up).otherwise(F.substring_index("_id", ";", 1)).alias("rsid"), "chromosome", "position",
+        "ref_allele", "alt_allele", "dosage", "imputation_quality", error.alias("error"),
     )
 
 
