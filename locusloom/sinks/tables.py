@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.operators.merge import to_long, with_samples
 from locusloom.operators.pgs import pgs_output
-from locusloom.schemas import IMPUTED_LOW, LONG_COLUMNS, SITE_KEY
+from locusloom.schemas import LONG_COLUMNS, SITE_KEY
 
 METADATA_KEYS = [
     "job_id", "user_id", "processing_date", "genome_file", "imputation_server", "reference_panel",
@@ -155,12 +155,3 @@ def write_jdbc(frames: dict[str, DataFrame], url: str, properties: dict[str, str
     """Each frame to a database table through Spark's JDBC writer."""
     for name, df in frames.items():
         df.write.mode("append").option("batchsize", batch).jdbc(url, name, properties=properties)
-
-
-def observe_totals(merged: DataFrame, name: str = "totals") -> tuple[DataFrame, Observation]:
-    """Count total, typed and low-quality variants while the frame is being written."""
-    seen = Observation(name)
-    return merged.observe(
-        seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("is_typed")).alias("genotyped"),
-        F.count_if(F.col("user_source") == IMPUTED_LOW).alias("low_quality"),
-    ), seen
