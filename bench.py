@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample
 from locusloom.plans import catalog
 from locusloom.plans.derived import CALL_ORDER, Tables
-from locusloom.plans.run import read_compact
-from locusloom.session import build_session
+from locusloom.session import build_session, stage
 from locusloom.sinks import tables, vcf
 
 HEADLINE = [
@@ -54,12 +53,11 @@ def full_merge(spark, sf_dir: str, copies: int) -> dict:
     out = tempfile.mkdtemp(prefix="bench-")
     t = CopiedTables(spark, sf_dir, copies)
     started = time.perf_counter()
-    tables.write_compact(merge_multi_sample(t.panel(), t.calls(), t.imputed(), DEFAULT_RULES, CALL_ORDER, CALL_ORDER), f"{out}/compact")
-    merged = read_compact(spark, f"{out}/compact")
+    merged = stage(merge_multi_sample(t.panel(), t.calls(), t.imputed(), DEFAULT_RULES, CALL_ORDER, CALL_ORDER), "merged")
     merge_seconds = time.perf_counter() - started
-    tables.write_long_parquet(merged, f"{out}/long")
+    tables.write_long_parquet(merged, f"{out}/long", staged=True)
     parquet_seconds = time.perf_counter() - started - merge_seconds
-    vcf.write_merged_vcf(vcf.multi_sample_lines(merged), f"{out}/vcf", vcf.multi_sample_header("20250101"))
+    vcf.write_merged_vcf(merged, f"{out}/vcf", vcf.multi_sample_header("20250101"), staged=True)
     total = time.perf_counter() - started
     return {
         "panel_variants": t.panel().count(), "merged_variants": merged.count(), "merge_sec": round(merge_seconds, 1),

@@ -13,7 +13,7 @@ from locusloom.operators.merge import DEFAULT_RULES, MergeRules, autosomal, merg
 from locusloom.operators.pgs import scale_pgs
 from locusloom.operators.stats import run_statistics
 from locusloom.schemas import SITE_KEY
-from locusloom.session import configure, shared_folder, stage
+from locusloom.session import configure, stage
 from locusloom.sinks import tables, vcf
 from locusloom.sources.calls import read_calls
 from locusloom.sources.files import classify_files, list_files, output_register
@@ -86,9 +86,7 @@ def run_merge(spark: SparkSession, input_folder: str, panel_path: str, output_fo
         rules = rules.with_(unique_inputs=True)
 
     panel = read_panel(spark, panel_path)
-    compact_path = f"{shared_folder(spark)}/merged/{options.job_id}"
-    tables.write_compact(merge_multi_sample(panel, calls, imputed, rules), compact_path)
-    merged = read_compact(spark, compact_path)
+    merged = stage(merge_multi_sample(panel, calls, imputed, rules), "merged")
 
     scored = scale_pgs(read_pgs_scores(spark, inputs["pgs"][0])) if inputs["pgs"] else None
     statistics = run_statistics(merged)
@@ -98,26 +96,18 @@ def run_merge(spark: SparkSession, input_folder: str, panel_path: str, output_fo
     return RunResult(merged, counters, statistics, metadata, output_register(spark, output_folder), scored, rejects)
 
 
-def read_compact(spark: SparkSession, path: str) -> DataFrame:
-    """The merged table with its chromosome as INT (a folder name in the table)."""
-    return spark.read.parquet(path).withColumn("chromosome", F.col("chromosome").cast("int"))
-
-
 def write_outputs(
     merged: DataFrame, metadata: DataFrame, scored: DataFrame | None, folder: str, formats: list[str], options: RunOptions,
 ) -> None:
     if "parquet" in formats:
-        tables.write_long_parquet(merged, f"{folder}/parquet")
+        tables.write_long_parquet(merged, f"{folder}/parquet", staged=True)
         if scored is not None:
             scored.write.mode("overwrite").parquet(f"{folder}/scores")
     if "vcf" in formats:
-        lines = vcf.multi_sample_lines(merged)
         header = vcf.multi_sample_header(options.processing_date[:10].replace("-", ""), options.user_sample_name)
-        if options.vcf_layout == "per_chromosome":
-            vcf.write_vcf_per_chromosome(lines, f"{folder}/vcf", header)
-        else:
-            vcf.write_merged_vcf(lines, f"{folder}/vcf", header)
+        write = vcf.write_vcf_per_chromosome if options.vcf_layout == "per_chromosome" else vcf.write_merged_vcf
+        write(merged, f"{folder}/vcf", header, staged=True)
     if "tables" in formats:
         tables.write_tables(tables.relational_frames(merged, metadata, scored), f"{folder}/tables")
     if "json" in formats:
-        tables.write_json(merged, metadata, f"{folder}/json", scored)
+        tables.write_json(merged, metadata, f"{folder}/json", scored, staged=True)

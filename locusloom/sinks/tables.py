@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusloom.operators.merge import to_long, with_samples
 from locusloom.operators.pgs import pgs_output
 from locusloom.schemas import LONG_COLUMNS, SITE_KEY
+from locusloom.session import stage
 
 METADATA_KEYS = [
     "job_id", "user_id", "processing_date", "genome_file", "imputation_server", "reference_panel",
@@ -21,21 +22,24 @@ class DuplicateKeyError(ValueError):
 
 # -- Parquet ---------------------------------------------------------------------------
 
-def by_place(df: DataFrame) -> DataFrame:
+def by_place(df: DataFrame, staged: bool = False) -> DataFrame:
     """Rows in ranges of (chromosome, position), sorted inside.
 
     Ranges keep the parts even: the largest chromosome has nine times the rows of the smallest.
+    Range bounds are sampled from the input, which is read twice for that; anything but a
+    plain table scan (``staged``) is therefore staged first.
     """
-    return df.repartitionByRange("chromosome", "position").sortWithinPartitions("chromosome", "position")
+    rows = df if staged else stage(df, "by-place")
+    return rows.repartitionByRange("chromosome", "position").sortWithinPartitions("chromosome", "position")
 
 
-def write_long_parquet(merged: DataFrame, path: str, partitioned: bool = True) -> None:
+def write_long_parquet(merged: DataFrame, path: str, partitioned: bool = True, staged: bool = False) -> None:
     """Long table in Snappy Parquet, by chromosome folders or in one folder.
 
     The compact rows are ranged and sorted, then exploded in place: 51 times fewer rows cross
     the shuffle.
     """
-    writer = to_long(by_place(merged)).write.mode("overwrite").option("compression", "snappy")
+    writer = to_long(by_place(merged, staged)).write.mode("overwrite").option("compression", "snappy")
     (writer.partitionBy("chromosome") if partitioned else writer).parquet(path)
 
 
@@ -47,11 +51,6 @@ def read_long_parquet(spark, path: str, chromosomes: list[int] | None = None, co
     return df.select(*(columns or LONG_COLUMNS))
 
 
-def write_compact(merged: DataFrame, path: str) -> None:
-    """The compact merged frame, by chromosome; several sinks can read it back."""
-    by_place(merged).write.mode("overwrite").partitionBy("chromosome").parquet(path)
-
-
 def write_single_parquet(single: DataFrame, path: str) -> None:
     """Single-sample table with its chromosome, which file names alone would carry otherwise."""
     by_place(single).write.mode("overwrite").option("compression", "snappy").partitionBy("chromosome").parquet(path)
@@ -72,10 +71,12 @@ def score_json(scored: DataFrame) -> DataFrame:
     return scored.select(F.to_json(F.struct("sample_id", F.col("label").alias("trait_label"), "value", F.col("z").alias("scaled"))).alias("value"))
 
 
-def write_json(merged: DataFrame, metadata: DataFrame, path: str, scored: DataFrame | None = None) -> None:
+def write_json(
+    merged: DataFrame, metadata: DataFrame, path: str, scored: DataFrame | None = None, staged: bool = False,
+) -> None:
     """metadata, variants and scores as JSON lines in folders of their own."""
     metadata.write.mode("overwrite").json(f"{path}/metadata")
-    variant_json(by_place(merged)).select("value").write.mode("overwrite").option("compression", "gzip").text(f"{path}/variants")
+    variant_json(by_place(merged, staged)).select("value").write.mode("overwrite").option("compression", "gzip").text(f"{path}/variants")
     if scored is not None:
         score_json(scored).write.mode("overwrite").option("compression", "gzip").text(f"{path}/scores")
 

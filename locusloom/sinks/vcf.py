@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import genotype_dosage_text
 from locusloom.functions.numeric import fixed_decimals
 from locusloom.schemas import AUTOSOMES, PANEL_SAMPLES, USER_SAMPLE
+from locusloom.session import stage
 
 # Header lines.
 _MULTI_HEADER = [
@@ -45,12 +48,16 @@ def _site(info: Column) -> list[Column]:
     ]
 
 
+def _carried(rows: DataFrame) -> list[str]:
+    return ["chromosome", "position", "ref_allele", "alt_allele", *[c for c in rows.columns if c == "header"]]
+
+
 def _quality_text(quality: str) -> Column:
     return F.coalesce(fixed_decimals(quality, 3), F.lit("."))
 
 
 def multi_sample_lines(merged: DataFrame) -> DataFrame:
-    """chromosome, position, ``value``: one VCF line per variant, GT:DS:IQ for 51 samples.
+    """Place, alleles and ``value``: one VCF line per variant, GT:DS:IQ for 51 samples.
 
     All panel samples of a row share their quality, so it is formatted once and used as the
     separator between cells.
@@ -64,9 +71,7 @@ def multi_sample_lines(merged: DataFrame) -> DataFrame:
     rows = merged.withColumn("_end", end)
     panel = F.concat(F.call_function("array_join", cells, F.concat("_end", F.lit("\t"))), F.col("_end"))
     user = F.concat_ws(":", "user_genotype", fixed_decimals("user_dosage", 3), _quality_text("user_quality"))
-    return rows.select(
-        "chromosome", "position", "ref_allele", "alt_allele",
-        F.concat_ws("\t", *_site(info), F.lit("GT:DS:IQ"), panel, user).alias("value"))
+    return rows.select(*_carried(rows), F.concat_ws("\t", *_site(info), F.lit("GT:DS:IQ"), panel, user).alias("value"))
 
 
 def single_sample_lines(merged: DataFrame) -> DataFrame:
@@ -74,32 +79,46 @@ def single_sample_lines(merged: DataFrame) -> DataFrame:
     info = F.concat_ws(
         ";", F.concat(F.lit("DS="), fixed_decimals("dosage", 3)),
         F.concat(F.lit("IQ="), fixed_decimals("imputation_quality", 3)), F.concat(F.lit("SRC="), F.col("source")))
-    return merged.select("chromosome", "position", "ref_allele", "alt_allele", F.concat_ws("\t", *_site(info)).alias("value"))
-
-
-def _with_header(lines: DataFrame, header: list[str], chromosomes: list[int]) -> DataFrame:
-    """Header lines as rows that sort before the lines of their chromosome."""
-    spark = lines.sparkSession
-    rows = [(c, i - len(header), "", "", text) for c in chromosomes for i, text in enumerate(header)]
-    head = spark.createDataFrame(rows, "chromosome int, position bigint, ref_allele string, alt_allele string, value string")
-    return lines.select("chromosome", "position", "ref_allele", "alt_allele", "value").unionByName(head)
+    return merged.select(*_carried(merged), F.concat_ws("\t", *_site(info)).alias("value"))
 
 
 _ORDER = ["chromosome", "position", "ref_allele", "alt_allele"]
 
 
-def write_merged_vcf(lines: DataFrame, path: str, header: list[str], compression: str = "gzip") -> None:
+def _ordered_lines(
+    rows: DataFrame, to_lines: Callable[[DataFrame], DataFrame], header: list[str], chromosomes: list[int], staged: bool,
+) -> DataFrame:
+    """chromosome and ``value`` of all lines in order, each chromosome's header before its lines.
+
+    Header lines join the rows before they are sorted, as rows with a place below all others;
+    the rows themselves are sorted as they are and turned into text afterwards, because text
+    is longer and sorting samples its input first.
+    """
+    rows = rows if staged else stage(rows, "vcf-rows")
+    spark = rows.sparkSession
+    top = [(c, i - len(header), "", "", text) for c in chromosomes for i, text in enumerate(header)]
+    head = spark.createDataFrame(top, "chromosome int, position bigint, ref_allele string, alt_allele string, header string")
+    ordered = rows.unionByName(head, allowMissingColumns=True).orderBy(*_ORDER)
+    return to_lines(ordered).select("chromosome", F.coalesce("header", "value").alias("value"))
+
+
+def write_merged_vcf(
+    rows: DataFrame, path: str, header: list[str], to_lines: Callable[[DataFrame], DataFrame] = multi_sample_lines,
+    compression: str = "gzip", staged: bool = False,
+) -> None:
     """One VCF as ordered text parts.
 
     The header sorts first and the parts are ranges of place, so the part files joined in name
     order are one valid file (gzip members may be joined as they are).
     """
-    rows = _with_header(lines, header, [0])
-    rows.orderBy(*_ORDER).select("value").write.mode("overwrite").option("compression", compression).text(path)
+    lines = _ordered_lines(rows, to_lines, header, [0], staged)
+    lines.select("value").write.mode("overwrite").option("compression", compression).text(path)
 
 
-def write_vcf_per_chromosome(lines: DataFrame, path: str, header: list[str], compression: str = "gzip") -> None:
+def write_vcf_per_chromosome(
+    rows: DataFrame, path: str, header: list[str], to_lines: Callable[[DataFrame], DataFrame] = multi_sample_lines,
+    compression: str = "gzip", staged: bool = False,
+) -> None:
     """One folder ``chromosome=N`` per autosome, each a VCF of ordered text parts."""
-    rows = _with_header(lines, header, list(AUTOSOMES))
-    rows.orderBy(*_ORDER).select("chromosome", "value").write.mode("overwrite").option(
-        "compression", compression).partitionBy("chromosome").text(path)
+    lines = _ordered_lines(rows, to_lines, header, list(AUTOSOMES), staged)
+    lines.write.mode("overwrite").option("compression", compression).partitionBy("chromosome").text(path)

@@ -45,7 +45,7 @@ def test_long_parquet(spark, merged, tmp_path):
 def test_merged_vcf_is_one_ordered_file(spark, merged, tmp_path):
     path = str(tmp_path / "vcf")
     header = vcf.multi_sample_header("20250101")
-    vcf.write_merged_vcf(vcf.multi_sample_lines(merged), path, header)
+    vcf.write_merged_vcf(merged, path, header)
     lines = joined_text(path)
     assert lines[:len(header)] == header and lines[0] == "##fileformat=VCFv4.3"
     body = [x.split("\t") for x in lines[len(header):]]
@@ -61,7 +61,7 @@ def test_merged_vcf_is_one_ordered_file(spark, merged, tmp_path):
 def test_vcf_per_chromosome(merged, tmp_path):
     path = str(tmp_path / "vcf")
     header = vcf.multi_sample_header("20250101", "user")
-    vcf.write_vcf_per_chromosome(vcf.multi_sample_lines(merged), path, header)
+    vcf.write_vcf_per_chromosome(merged, path, header)
     assert len(glob.glob(path + "/chromosome=*")) == 22
     for chromosome in (1, 22):
         lines = joined_text(f"{path}/chromosome={chromosome}")
@@ -76,7 +76,7 @@ def test_single_sample_outputs(spark, sf_dir, tmp_path):
     back = spark.read.parquet(str(tmp_path / "single")).select(*single.columns)
     assert back.count() == single.count() and "chromosome" in back.columns
     header = vcf.single_sample_header("20250101")
-    vcf.write_merged_vcf(vcf.single_sample_lines(single), str(tmp_path / "vcf"), header)
+    vcf.write_merged_vcf(single, str(tmp_path / "vcf"), header, vcf.single_sample_lines)
     lines = joined_text(str(tmp_path / "vcf"))
     assert lines[:len(header)] == header and all("SRC=" in x for x in lines[len(header):])
 
@@ -108,7 +108,7 @@ def test_json(spark, sf_dir, merged, tmp_path):
 def test_register(spark, merged, tmp_path):
     import hashlib
 
-    tables.write_compact(merged, str(tmp_path / "vcf_out"))
+    merged.write.parquet(str(tmp_path / "vcf_out"))
     rows = output_register(spark, str(tmp_path / "vcf_out")).collect()
     assert rows and all(r.file_type == "vcf" for r in rows)
     path = rows[0].path.removeprefix("file:")
