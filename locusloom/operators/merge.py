@@ -23,7 +23,16 @@ from locusloom.functions.genotype import (
     passes_quality,
 )
 from locusloom.operators.dedup import last_wins
-from locusloom.schemas import GENOTYPED, IMPUTED, IMPUTED_LOW, LONG_COLUMNS, SINGLE_COLUMNS, SITE_KEY, USER_SAMPLE
+from locusloom.schemas import (
+    GENOTYPED,
+    IMPUTED,
+    IMPUTED_LOW,
+    LONG_COLUMNS,
+    PANEL_SAMPLES,
+    SINGLE_COLUMNS,
+    SITE_KEY,
+    USER_SAMPLE,
+)
 from locusloom.sources.lines import LINE_ORDER
 
 
@@ -269,6 +278,12 @@ def with_samples(merged: DataFrame) -> DataFrame:
     )
 
 
+def _sample_name(number: Column) -> Column:
+    """samp1, samp2, ... of a 0-based number, from a constant array for the usual 51."""
+    names = F.array(*[F.lit(f"samp{i}") for i in range(1, PANEL_SAMPLES + 2)])
+    return F.coalesce(F.get(names, number), F.concat(F.lit("samp"), (number + 1).cast("string")))
+
+
 def to_long(merged: DataFrame) -> DataFrame:
     """One row per variant and sample, 13 columns.
 
@@ -286,7 +301,7 @@ def to_long(merged: DataFrame) -> DataFrame:
     rows = rows.select(
         "rsid", "chromosome", "position", "ref_allele", "alt_allele", "allele_freq", "minor_allele_freq",
         F.col("is_typed").cast("int").alias("is_typed"),
-        F.concat(F.lit("samp"), (F.col("_i") + 1).cast("string")).alias("sample_id"), "genotype",
+        _sample_name(F.col("_i")).alias("sample_id"), "genotype",
         F.when(user, F.col("user_dosage")).otherwise(genotype_text_dosage("genotype")).alias("dosage"),
         F.when(user, F.col("user_source")).otherwise(panel_source("is_typed")).alias("source"),
         F.when(user, F.col("user_quality")).otherwise(F.col("panel_quality")).alias("imputation_quality"),
