@@ -11,32 +11,32 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime options, changed only where the session still has Spark's default.
+# Runtime options: Spark's default and the value used here. ``configure`` changes an option only
+# where the session still has the default.
 _RUNTIME = {
-    # Re-plan from measured sizes: joins turn into broadcasts only when the built side
-    # was measured to be small, and skewed partitions are split.
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Re-plan from measured sizes: joins turn into broadcasts only when the built side was
+    # measured to be small, and skewed partitions are split.
+    "spark.sql.adaptive.enabled": ("true", "true"),
+    "spark.sql.adaptive.skewJoin.enabled": ("true", "true"),
+    "spark.sql.adaptive.coalescePartitions.enabled": ("true", "true"),
     # Split a skewed partition even where the next join then needs a shuffle of its own.
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": ("false", "true"),
     # One person's array calls are about 25 MB; Spark checks the size before broadcasting.
-    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": ("10485760b", str(64 * 1024 * 1024)),
     # A join on (chromosome, position, ref, alt) may reuse a (chromosome, position)
     # partitioning, so the wide panel rows are shuffled once for both user joins.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": ("true", "false"),
     # Tables in chromosome folders are written without first sorting the (51 times longer) rows.
-    "spark.sql.maxConcurrentOutputFileWriters": "32",
-    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.maxConcurrentOutputFileWriters": ("0", "32"),
 }
 
 
 def build_session(app_name: str = "locusloom", master: str | None = None, **conf: str) -> SparkSession:
-    """Create (or get) a session with the options above; ``conf`` keys use ``__`` for dots."""
-    builder = SparkSession.builder.appName(app_name)
+    """Create (or get) a session with the options above, in UTC; ``conf`` keys use ``__`` for dots."""
+    builder = SparkSession.builder.appName(app_name).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
-    for key, value in _RUNTIME.items():
+    for key, (_, value) in _RUNTIME.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -45,9 +45,8 @@ def build_session(app_name: str = "locusloom", master: str | None = None, **conf
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime options to an existing session, keeping what its owner has set."""
-    explicit = {key for key, _ in spark.sparkContext.getConf().getAll()}
-    for key, value in _RUNTIME.items():
-        if key not in explicit and spark.conf.isModifiable(key):
+    for key, (default, value) in _RUNTIME.items():
+        if value != default and spark.conf.get(key) == default:
             spark.conf.set(key, value)
     return spark
 
