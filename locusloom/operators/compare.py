@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.operators.dedup import apart
 from locusloom.schemas import SITE_KEY
 
 
@@ -40,7 +41,8 @@ def key_overlap(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = Non
 def only_in_first(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows of A whose key B lacks."""
     keys = keys or SITE_KEY
-    return run_a.join(run_b.select(*keys).distinct(), keys, "left_anti")
+    rows, by = apart(run_b, keys)
+    return run_a.join(rows.select(*by).distinct().select(*keys), keys, "left_anti")
 
 
 def in_both(run_a: DataFrame, run_b: DataFrame, keys: list[str] | None = None) -> DataFrame:

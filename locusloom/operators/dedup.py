@@ -10,13 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_wins(df: DataFrame, keys: list[str], order: list[str], payload: list[str] | None = None) -> DataFrame:
+def apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """The frame with a hash of its keys, and the keys with that hash, to group by.
+
+    An aggregate by plain keys leaves rows partitioned just as a join on them wants, and the
+    join then reads them without a shuffle of its own. That is the wrong saving when the other
+    side has hot keys: Spark splits a skewed partition only where both sides come straight from
+    a shuffle. Grouped by one more, derived key the (short) rows are shuffled once more.
+    """
+    return df.withColumn("_apart", F.xxhash64(*keys)), [*keys, "_apart"]
+
+
+def last_wins(
+    df: DataFrame, keys: list[str], order: list[str], payload: list[str] | None = None, for_join: bool = False,
+) -> DataFrame:
     """The row with the greatest ``order`` per key; the payload itself breaks ties.
 
-    Returns keys and payload (all other columns when not given).
+    Returns keys and payload (all other columns when not given). ``for_join`` lets a join with
+    the result split its skewed partitions, see ``apart``.
     """
     payload = payload or [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *payload)).alias("_best"))
+    rows, by = apart(df, keys) if for_join else (df, keys)
+    best = rows.groupBy(*by).agg(F.max(F.struct(*order, *payload)).alias("_best"))
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload])
 
 

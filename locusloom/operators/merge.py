@@ -22,7 +22,7 @@ from locusloom.functions.genotype import (
     panel_source,
     passes_quality,
 )
-from locusloom.operators.dedup import last_wins
+from locusloom.operators.dedup import apart, last_wins
 from locusloom.schemas import (
     GENOTYPED,
     IMPUTED,
@@ -95,7 +95,7 @@ def unique_calls(calls: DataFrame, keys: list[str], order: list[str] | None = No
     """Autosomal calls, last one per key, as keys and ``call_genotype``."""
     order = _order(calls, order)
     c = autosomal(calls).select(*keys, F.col("genotype").alias("call_genotype"), *order)
-    return last_wins(c, keys, order, ["call_genotype"])
+    return last_wins(c, keys, order, ["call_genotype"], for_join=True)
 
 
 def unique_imputed(imputed: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def unique_imputed(imputed: DataFrame, keys: list[str], order: list[str] | None
     i = imputed.select(
         *keys, F.col("dosage").alias("imputed_dosage"), F.col("imputation_quality").alias("imputed_r2"), *order,
     )
-    return last_wins(i, keys, order, ["imputed_dosage", "imputed_r2"])
+    return last_wins(i, keys, order, ["imputed_dosage", "imputed_r2"], for_join=True)
 
 
 def _evidence_by_letters(calls: DataFrame, imputed: DataFrame, call_order, imputed_order) -> DataFrame:
@@ -121,7 +121,8 @@ def _evidence_by_letters(calls: DataFrame, imputed: DataFrame, call_order, imput
     )
     imputed_rows = imputed.select(*SITE_KEY, F.struct(*imputed_order, "dosage", "imputation_quality").alias("_imputed"))
     both = call_rows.unionByName(imputed_rows, allowMissingColumns=True)
-    return both.groupBy(*SITE_KEY).agg(F.max("_call").alias("_call"), F.max("_imputed").alias("_imputed")).select(
+    both, by = apart(both, SITE_KEY)
+    return both.groupBy(*by).agg(F.max("_call").alias("_call"), F.max("_imputed").alias("_imputed")).select(
         *SITE_KEY, F.col("_call.genotype").alias("call_genotype"),
         F.col("_imputed.dosage").alias("imputed_dosage"),
         F.col("_imputed.imputation_quality").alias("imputed_r2"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import display_call, is_heterozygous, is_snp, passes_quality
-from locusloom.operators.dedup import best_quality
+from locusloom.operators.dedup import apart, best_quality
 from locusloom.schemas import GENOTYPED
 
 
@@ -81,7 +81,8 @@ def annotate_calls(calls: DataFrame, panel: DataFrame) -> DataFrame:
 
     Of several panel rows with one identifier the first by place is used.
     """
-    sites = panel.filter(F.col("rsid").isNotNull()).groupBy("rsid").agg(
+    rows, by = apart(panel.filter(F.col("rsid").isNotNull()), ["rsid"])
+    sites = rows.groupBy(*by).agg(
         F.min(F.struct("chromosome", "position", "ref_allele", "alt_allele", "minor_allele_freq")).alias("_s"))
     sites = sites.select(
         "rsid", F.col("_s.ref_allele").alias("ref_allele"), F.col("_s.alt_allele").alias("alt_allele"),

@@ -63,10 +63,13 @@ def pgs_results(
 ) -> DataFrame:
     """trait, sample_id, raw_score, normalized_score, percentile, snp_count, coverage.
 
-    Normalised by the panel samples' mean and sd; the percentile ranks within the trait.
+    Raw scores are kept to six decimals, as they are stored; sums that differ only in their last
+    bits then count as equal. Normalised by the panel samples' mean and sd; the percentile ranks
+    within the trait.
     """
+    raw = raw_scores(merged, weights, key).withColumn("raw_score", F.round("raw_score", 6) + F.lit(0.0))
     # Traits times samples, a short table that is used several times below.
-    scores = stage(with_coverage(raw_scores(merged, weights, key), weights, min_coverage), "raw-scores")
+    scores = stage(with_coverage(raw, weights, min_coverage), "raw-scores")
     named = scores.withColumnsRenamed({"trait": "label", "raw_score": "value"})
     scored = normalise_to_reference(named, F.col("sample_id") != USER_SAMPLE)
     ranked = percent_rank(scored, ["label"], "value")

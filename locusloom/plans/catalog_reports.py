@@ -290,14 +290,13 @@ def _(t):
 
 
 @query("pgs_results", f"""
-WITH s AS ({_WEIGHTED}), m AS (SELECT trait, avg(raw_score) AS m, stddev_pop(raw_score) AS sd, min(raw_score) AS lo, max(raw_score) AS hi FROM s WHERE sample_id <> 'samp51' GROUP BY 1)
-SELECT s.trait, sample_id, round(raw_score, 6) AS raw_score, round(CASE WHEN sd > 0 AND hi - lo > 1e-12 * greatest(abs(lo), abs(hi)) THEN (raw_score - m) / sd ELSE 0 END, 6) AS normalized_score,
+WITH s AS (SELECT trait, sample_id, round(raw_score, 6) + 0.0 AS raw_score, snp_count FROM ({_WEIGHTED})), m AS (SELECT trait, avg(raw_score) AS m, stddev_pop(raw_score) AS sd, min(raw_score) AS lo, max(raw_score) AS hi FROM s WHERE sample_id <> 'samp51' GROUP BY 1)
+SELECT s.trait, sample_id, raw_score, percentile, round(CASE WHEN sd > 0 AND hi - lo > 1e-12 * greatest(abs(lo), abs(hi)) THEN (raw_score - m) / sd ELSE 0 END, 6) AS normalized_score,
   snp_count, round(CAST(snp_count AS DOUBLE) / n, 6) AS coverage
-FROM s JOIN m USING (trait) JOIN (SELECT trait, count(*) AS n FROM g_weights GROUP BY 1) w USING (trait)""")
+FROM (SELECT *, round(100 * percent_rank() OVER (PARTITION BY trait ORDER BY raw_score), 6) AS percentile FROM s) s
+JOIN m USING (trait) JOIN (SELECT trait, count(*) AS n FROM g_weights GROUP BY 1) w USING (trait)""")
 def _(t):
-    # The percentile is checked in its own query: sums differ in their last bits between engines.
-    results = scoring.pgs_results(merged(t), t.weights(), None).drop("percentile")
-    return rounded(results, "raw_score", "normalized_score", "coverage")
+    return rounded(scoring.pgs_results(merged(t), t.weights(), None), "normalized_score", "percentile", "coverage")
 
 
 @query("manhattan_series", """

@@ -24,7 +24,7 @@ def _cell(value):
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return "nan" if math.isnan(value) else round(value, 9)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return value
@@ -56,7 +56,7 @@ def compare(spark, con, build, sql: str, sf_dir: str) -> str | None:
     if len(left[1]) != len(right[1]):
         return f"rows {len(left[1])} != {len(right[1])}"
     for a, b in zip(left[1], right[1]):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
+        if repr(a) != repr(b):  # also tells 1 from 1.0 and 0.0 from -0.0
             return f"{left[0]}: {a} != {b}"
     return None
 

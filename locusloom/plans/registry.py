@@ -38,7 +38,8 @@ def merged(t: Tables, rules: MergeRules = DEFAULT_RULES) -> DataFrame:
 
 
 def r6(column: Column | str) -> Column:
-    return F.round(F.col(column) if isinstance(column, str) else column, 6)
+    """Six decimals, and 0.0 for a negative zero."""
+    return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -88,6 +88,38 @@ def test_hot_keys_keep_whole_results(spark):
     assert merged.filter("position = 7 AND user_dosage = 2.0").count() == 101
 
 
+@pytest.mark.parametrize("rules", [M.DEFAULT_RULES, M.WORKER_RULES])
+def test_skewed_panel_partitions_are_split(spark, tmp_path, rules):
+    panel_rows(spark, [(1, p, None, "A", "G", None) for p in range(400)]).union(
+        panel_rows(spark, [(1, 7, "hot", "A", "G", None)] * 8).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    ).repartition(8).write.parquet(str(tmp_path / "panel"))
+    panel = spark.read.parquet(str(tmp_path / "panel"))
+    calls = call_rows(spark, [("1", p, "AG") for p in range(400)])
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        merged = M.merge_multi_sample(panel, calls, spark.createDataFrame([], IMPUTED), rules)
+        rows = merged.select("position", "user_dosage", "sample_genotypes").collect()
+        assert len(rows) == 4400 and all(r.user_dosage == 1.0 for r in rows)
+        assert _skewed(merged)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _skewed(df):
+    """Whether the plan that ran has a skewed join."""
+    rows = df.select("position", "user_dosage", "sample_genotypes")
+    execution = rows._jdf.queryExecution()
+    execution.executedPlan().execute().count()
+    return "skew=true" in execution.executedPlan().toString()
+
+
 def test_rule_names_are_checked():
     for bad in ({"call_match": "x"}, {"missing": "x"}, {"key": "x"}, {"key": "rsid", "call_match": "letters"}):
         with pytest.raises(ValueError):
@@ -135,8 +167,9 @@ def test_wide_rows_shuffle_once_without_broadcast(spark, sf_dir):
         plan = merged._jdf.queryExecution().executedPlan().toString()
         joins = plan.count("SortMergeJoin")
         by_place = [line for line in plan.splitlines() if "Exchange hashpartitioning(chromosome" in line]
-        # panel, calls, imputed (before and after its aggregate)
-        assert joins == 2 and len(by_place) == 4
+        # The panel once; calls and imputed rows for their aggregate and, short by then, for the join.
+        assert joins == 2 and len(by_place) == 5
+        assert sum("sample_genotypes" in line for line in plan.splitlines() if "Exchange" in line) <= 1
         shuffled = merged.groupBy("user_source").count().collect()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
