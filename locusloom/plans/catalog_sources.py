@@ -22,13 +22,15 @@ def call_lines(t: Tables):
     """Calls as text lines, with comments, blanks, padding and two kinds of bad lines."""
     p = F.col("l_partkey")
     good = F.concat_ws("\t", "rsid", "chromosome", F.col("position").cast("string"), "genotype")
-    return t.calls().select(
-        "rsid",
+    rows = t.calls(t.spread("lineitem", ["l_orderkey", "l_linenumber", *CALL_ORDER]))
+    text = (
         F.when(p % 83 == 0, F.lit("# comment\tx")).when(p % 79 == 0, F.lit("  "))
         .when(p % 97 == 0, F.concat_ws("\t", "rsid", "chromosome", "genotype"))
         .when(p % 89 == 0, F.concat_ws("\t", "rsid", "chromosome", F.lit("12x"), "genotype"))
-        .when(p % 71 == 0, F.concat(F.lit(" "), F.regexp_replace(good, "\t", " \t "), F.lit(" "))).otherwise(good).alias("value"),
-    ).select("value")
+        .when(p % 71 == 0, F.concat(F.lit(" "), F.regexp_replace(good, "\t", " \t "), F.lit(" "))).otherwise(good)
+    )
+    # Exploding keeps the text from being made again for every use of it.
+    return rows.select(F.explode(F.array(text)).alias("value"))
 
 
 @query("parse_call_lines", """

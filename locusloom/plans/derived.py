@@ -65,11 +65,12 @@ class Tables:
             "cast((k * 3 + i) % 2 * 2 + (k + i * 7) % 2 as int))) AS sample_genotypes",
         )
 
-    def calls(self) -> DataFrame:
+    def calls(self, lineitem: DataFrame | None = None) -> DataFrame:
         """Array calls: repeated keys, no-calls, indels, off-panel places and chromosome X."""
         site = self.site_sql("l_orderkey")
         ref, alt = site["ref_allele"], site["alt_allele"]
-        return self.base("lineitem").filter("l_linenumber = 1").selectExpr(
+        rows = self.base("lineitem") if lineitem is None else lineitem
+        return rows.filter("l_linenumber = 1").selectExpr(
             "concat('rs', l_orderkey) AS rsid",
             f"if(l_orderkey % 19 = 0, 'X', cast({site['chromosome']} as string)) AS chromosome",
             f"{site['position']} + if(l_orderkey % 17 = 0, 1, 0) AS position",

@@ -21,8 +21,8 @@ def parse_call_lines(lines: DataFrame) -> DataFrame:
 
     Blank and ``#`` lines are left out. ``error`` is NULL on a good line.
     """
-    trimmed = F.trim(F.regexp_replace("value", r"[\t\r]", " "))
-    fields = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
+    trimmed = F.trim("value", F.lit(" \t\r"))
+    fields = F.split(F.rtrim("value", F.lit("\r")), "\t")
     kept = lines.filter((trimmed != "") & ~trimmed.startswith("#")).withColumn("_f", fields)
     four = F.size("_f") == 4
 
