@@ -22,8 +22,9 @@ def test_entry_points(spark, sf_dir):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
-    without_sql = set(entry.queries()) - set(entry.oracle_sql())
+    without_sql = set(catalog.QUERIES) - set(entry.oracle_sql())
     assert without_sql == {"ancestry_components"}
 
 
