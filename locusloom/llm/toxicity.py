@@ -39,6 +39,8 @@ PATTERNS, EXCEPTIONS = 400, 400
 SHORTEST, LONGEST = 4, 10
 #: A pattern's rate in toxic texts is at least this many times that in clean ones; an exception's less than the other.
 RATIO, HARMLESS_RATIO = 8.0, 2.0
+#: The share of toxic texts with a pattern is at least this many times that of clean ones: a burst in one text isn't enough.
+TEXT_RATIO = 3.0
 #: Held-out rows: crc32 of the id modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 
@@ -121,6 +123,9 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
 
 
+_COUNTS = ("in_toxic", "in_clean", "toxic_texts", "clean_texts")
+
+
 def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Occurrences of word beginnings and whole words (with a space after them) by label, one row each and batch."""
     for batch in batches:
@@ -137,7 +142,7 @@ def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = [*seen[1].keys()] + [k for k in seen[0] if k not in seen[1]]
         yield pd.DataFrame({
             "part": keys, "in_toxic": [seen[1][k] for k in keys], "in_clean": [seen[0][k] for k in keys],
-            "toxic_texts": [texts[1][k] for k in keys]}).astype({"in_toxic": "int64", "in_clean": "int64", "toxic_texts": "int64"})
+            "toxic_texts": [texts[1][k] for k in keys], "clean_texts": [texts[0][k] for k in keys]}).astype(dict.fromkeys(_COUNTS, "int64"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -165,12 +170,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         F.count("*").alias("texts"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).alias("words")).collect()}
     if len(sizes) < 2:
         return Lexicon()
-    toxic_words, clean_words, toxic_texts = sizes[1]["words"], sizes[0]["words"], sizes[1]["texts"]
-    counted = texts.mapInPandas(_beginnings, "part string, in_toxic bigint, in_clean bigint, toxic_texts bigint")
-    counted = counted.groupBy("part").agg(*[F.sum(c).alias(c) for c in ("in_toxic", "in_clean", "toxic_texts")])
+    toxic_words, clean_words = sizes[1]["words"], sizes[0]["words"]
+    toxic_texts, clean_texts = sizes[1]["texts"], sizes[0]["texts"]
+    counted = texts.mapInPandas(_beginnings, "part string, in_toxic bigint, in_clean bigint, toxic_texts bigint, clean_texts bigint")
+    counted = counted.groupBy("part").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     counted = counted.withColumn("ratio", (F.col("in_toxic") + 0.5) / (toxic_words + 1) / ((F.col("in_clean") + 0.5) / (clean_words + 1)))
     counted = stage(counted.filter(F.col("in_toxic") + F.col("in_clean") >= 3), "beginnings")
-    frequent = counted.filter(~F.col("part").endswith(" ")).filter(F.col("ratio") >= RATIO).filter(F.col("toxic_texts") >= max(3, toxic_texts // 100))
+    lift = (F.col("toxic_texts") + 0.5) / (toxic_texts + 1) / ((F.col("clean_texts") + 0.5) / (clean_texts + 1))
+    frequent = counted.filter(~F.col("part").endswith(" ")).filter((F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO)).filter(F.col("toxic_texts") >= max(3, toxic_texts // 100))
     strength = (F.col("toxic_texts") * F.log("ratio")).alias("strength")
     found = frequent.select("part", "ratio", strength).orderBy(F.desc("strength"), F.desc(F.length("part")), "part").limit(4 * PATTERNS).collect()
     chosen: dict[str, float] = {}
@@ -179,9 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             chosen[r["part"]] = math.log(r["ratio"])
     exceptions: list[str] = []
     if chosen:
-        begins = F.lit(False)
-        for c in chosen:
-            begins = begins | F.col("part").startswith(c)
+        begins = F.col("part").rlike(f"^(?:{'|'.join(chosen)})")  # patterns are letters and digits only
         harmless = counted.filter(F.col("part").endswith(" ")).filter(begins & (F.col("ratio") < HARMLESS_RATIO))
         exceptions = [r["part"].strip() for r in harmless.orderBy(F.desc("in_clean"), "part").limit(EXCEPTIONS).collect()]
     lexicon = Lexicon(chosen, tuple(exceptions))
