@@ -67,8 +67,9 @@ _FOLD = _Fold()
 
 
 def folded(text: str | None) -> str:
-    """Folded words with one space before, between and after them."""
-    return f" {' '.join((text or '').translate(_FOLD).split())} "
+    """Folded words with one space before, between and after them; one space if there are none."""
+    words = (text or "").translate(_FOLD).split()
+    return f" {' '.join(words)} " if words else " "
 
 
 @dataclass
