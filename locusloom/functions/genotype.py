@@ -134,11 +134,11 @@ def panel_source(is_typed: ColumnOrName) -> Column:
 
 
 def passes_quality(quality: ColumnOrName, min_r2: float | None) -> Column:
-    """No threshold or no quality passes; else quality must reach the threshold."""
+    """No threshold or no quality passes; else quality must be a number that reaches the threshold."""
     if min_r2 is None:
         return F.lit(True)
     q = _c(quality)
-    return q.isNull() | (q >= F.lit(float(min_r2)))
+    return q.isNull() | ((q >= F.lit(float(min_r2))) & ~F.isnan(q))  # NaN sorts above every number
 
 
 def is_heterozygous(genotype: ColumnOrName) -> Column:

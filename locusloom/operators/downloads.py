@@ -55,9 +55,10 @@ def too_soon(attempts: DataFrame, seconds: int = MIN_GAP_SECONDS) -> DataFrame:
 
 
 def attempts_per_job(attempts: DataFrame, as_of: str | Column | None = None, seconds: int = 60) -> DataFrame:
-    """Attempt counts per job by result, and those in the last ``seconds``."""
+    """Attempt counts per job by result, and those in the last ``seconds`` up to ``as_of``."""
     result = F.col("attempt_result")
-    recent = F.lit(False) if as_of is None else F.col("attempted_at") > _ago(as_of, secs=seconds)
+    recent = F.lit(False) if as_of is None else (
+        (F.col("attempted_at") > _ago(as_of, secs=seconds)) & (F.col("attempted_at") <= _moment(as_of)))
     return attempts.groupBy("job_id").agg(
         F.count("*").alias("attempts"), F.count_if(result == "success").alias("successes"),
         F.count_if(result == "invalid_password").alias("wrong_passwords"),

@@ -65,8 +65,8 @@ def with_severity(events: DataFrame) -> DataFrame:
 
 
 def recent_audit(audit: DataFrame, as_of: str | Column, hours: int = 24) -> DataFrame:
-    """Events of the last hours, newest first; the id breaks ties so that equal times can be split."""
-    return audit.filter(F.col("timestamp") > _ago(as_of, hours=hours)).orderBy(F.desc("timestamp"), F.desc("id"))
+    """Events of the last hours up to ``as_of``, newest first; the id breaks ties so that equal times can be split."""
+    return audit.filter((F.col("timestamp") > _ago(as_of, hours=hours)) & (F.col("timestamp") <= _moment(as_of))).orderBy(F.desc("timestamp"), F.desc("id"))
 
 
 def security_events(audit: DataFrame) -> DataFrame:

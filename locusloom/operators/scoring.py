@@ -12,6 +12,7 @@ from locusloom.schemas import USER_SAMPLE
 from locusloom.session import stage
 
 _PLACE = ["chromosome", "position"]
+NO_CALLS = ("./.", ".|.")
 
 
 def join_weights(merged: DataFrame, weights: DataFrame, key: str = "place") -> DataFrame:
@@ -35,19 +36,25 @@ def join_weights(merged: DataFrame, weights: DataFrame, key: str = "place") -> D
 
 
 def raw_scores(merged: DataFrame, weights: DataFrame, key: str = "place") -> DataFrame:
-    """Per trait and sample: ``raw_score`` = sum of effect-allele dosage times weight, and ``snp_count``."""
+    """Per trait and sample: ``raw_score`` = sum of effect-allele dosage times weight, and ``snp_count``.
+
+    No-calls and variants that were not observed in the person count for nothing; a sample without any called
+    variant of a trait has no score for it.
+    """
     rows = join_weights(merged, weights, key).select(
-        "trait", "weight", (F.col("effect_allele") == F.col("alt_allele")).alias("_alt"), "user_dosage",
+        "trait", "weight", (F.col("effect_allele") == F.col("alt_allele")).alias("_alt"),
+        F.when(F.col("user_observed"), F.col("user_dosage")).alias("user_dosage"),
         F.size("sample_genotypes").alias("_last"),
         F.concat("sample_genotypes", F.array("user_genotype")).alias("_cells"),
     )
     rows = rows.select("trait", "weight", "_alt", "user_dosage", "_last", F.posexplode_outer("_cells").alias("_i", "_g"))
-    dosage = F.when(F.col("_i") == F.col("_last"), F.col("user_dosage")).otherwise(genotype_text_dosage("_g"))
+    dosage = F.when(F.col("_i") == F.col("_last"), F.col("user_dosage")).when(
+        ~F.col("_g").isin(*NO_CALLS), genotype_text_dosage("_g"))
     effect_dosage = F.when(F.col("_alt"), dosage).otherwise(F.lit(2.0) - dosage)
     # Summed by the sample's number; its name is built once per group.
     sums = rows.groupBy("trait", "_i").agg(
-        F.sum(effect_dosage * F.col("weight")).alias("raw_score"), F.count("*").alias("snp_count"))
-    return sums.select(
+        F.sum(effect_dosage * F.col("weight")).alias("raw_score"), F.count(effect_dosage).alias("snp_count"))
+    return sums.filter("snp_count > 0").select(
         "trait", F.concat(F.lit("samp"), (F.col("_i") + 1).cast("string")).alias("sample_id"), "raw_score", "snp_count")
 
 

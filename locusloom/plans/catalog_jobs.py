@@ -51,7 +51,7 @@ def _(t):
     return jobs.with_severity(t.audit()).groupBy("event_type", "severity").agg(F.count("*").alias("events"))
 
 
-@query("recent_audit", f"SELECT id, {sql_stamp('timestamp')} AS at, event_type, severity FROM g_audit WHERE timestamp > TIMESTAMP '{AUDIT_NOW}' - INTERVAL 24 HOUR")
+@query("recent_audit", f"SELECT id, {sql_stamp('timestamp')} AS at, event_type, severity FROM g_audit WHERE timestamp > TIMESTAMP '{AUDIT_NOW}' - INTERVAL 24 HOUR AND timestamp <= TIMESTAMP '{AUDIT_NOW}'")
 def _(t):
     return jobs.recent_audit(t.audit(), AUDIT_NOW).select("id", stamp("timestamp").alias("at"), "event_type", "severity")
 
@@ -166,10 +166,12 @@ def _(t):
 
 @query("download_allowed", f"""
 SELECT j.id, j.status = 'completed' AND (expires_at IS NULL OR expires_at >= TIMESTAMP '{JOBS_NOW}') AND download_attempts < max_download_attempts
-  AND NOT (last_download_attempt IS NOT NULL AND (SELECT count(*) FROM g_attempts a WHERE a.job_id = j.id AND attempted_at > TIMESTAMP '{JOBS_NOW}' - INTERVAL 1 MINUTE) >= 3) AS allowed
-FROM g_jobs j""")
+  AND NOT (last_download_attempt IS NOT NULL AND (SELECT count(*) FROM g_attempts a WHERE a.job_id = j.id AND attempted_at > TIMESTAMP '{JOBS_NOW}' - INTERVAL 1 MINUTE
+    AND attempted_at <= TIMESTAMP '{JOBS_NOW}') >= 3) AS allowed
+FROM g_jobs j""".replace("g_attempts", "(SELECT job_id % 40 AS job_id, attempted_at - INTERVAL 9510 DAY AS attempted_at FROM g_attempts)"))
 def _(t):
-    return downloads.download_allowed(t.jobs(), t.attempts(), JOBS_NOW).select("id", "allowed")
+    moved = t.attempts().withColumn("job_id", F.col("job_id") % 40).withColumn("attempted_at", F.expr("attempted_at - INTERVAL '9510' DAY"))
+    return downloads.download_allowed(t.jobs(), moved, JOBS_NOW).select("id", "allowed")
 
 
 @query("classify_attempts", """

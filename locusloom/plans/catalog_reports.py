@@ -258,7 +258,9 @@ def _(t):
 
 _WEIGHTED = """
 SELECT trait, sample_id, sum(CASE WHEN effect_allele = alt_allele THEN dosage ELSE 2 - dosage END * weight) AS raw_score, count(*) AS snp_count
-FROM g_long JOIN (SELECT trait, chromosome, position, effect_allele, weight FROM g_weights) w USING (chromosome, position)
+FROM (SELECT chromosome, position, ref_allele, alt_allele, sample_id, dosage FROM g_long WHERE sample_id <> 'samp51' AND genotype NOT IN ('./.', '.|.')
+  UNION ALL SELECT chromosome, position, ref_allele, alt_allele, 'samp51', user_dosage FROM g_merged WHERE user_observed)
+JOIN (SELECT trait, chromosome, position, effect_allele, weight FROM g_weights) w USING (chromosome, position)
 WHERE effect_allele IN (ref_allele, alt_allele) GROUP BY 1, 2"""
 
 

@@ -67,7 +67,7 @@ def vcf_lines(t: Tables):
     site = Tables._site("k")
     ds = (k * 31 + F.col("l_partkey") * 7) % 201
     r2 = F.lpad((k * 613 % 1000).cast("string"), 3, "0")
-    rows = t.spread("lineitem", ["l_orderkey", "l_partkey", "l_linenumber"]).filter("l_linenumber = 2").select(
+    rows = t.spread("lineitem", ["l_orderkey", "l_partkey", "l_linenumber"]).filter("l_linenumber % 2 = 0").select(
         F.col("l_orderkey").alias("k"), "l_partkey")
     chrom = F.when(k % 31 == 0, F.lit("X")).when(k % 2 == 1, F.concat(F.lit("chr"), site["chromosome"].cast("string"))).otherwise(site["chromosome"].cast("string"))
     ident = F.when(k % 7 == 0, F.lit(".")).when(k % 5 == 0, F.concat(F.lit("rs"), k.cast("string"), F.lit(";alt"))).otherwise(F.concat(F.lit("rs"), k.cast("string")))
@@ -128,7 +128,7 @@ def _(t):
 
 
 @query("vcf_profile", f"""
-SELECT (SELECT count(*) FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 500 = 0) AS header_rows, count(*) AS data_rows, count(error) AS error_rows,
+SELECT (SELECT count(*) FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey % 500 = 0) AS header_rows, count(*) AS data_rows, count(error) AS error_rows,
   round(avg(dosage) FILTER (WHERE error IS NULL), 6) AS mean_dosage, count(imputation_quality) FILTER (WHERE error IS NULL) AS quality_rows,
   round(avg(imputation_quality) FILTER (WHERE error IS NULL), 6) AS mean_quality, min(imputation_quality) FILTER (WHERE error IS NULL) AS min_quality,
   max(imputation_quality) FILTER (WHERE error IS NULL) AS max_quality,

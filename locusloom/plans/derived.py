@@ -1,7 +1,7 @@
 """Genomic and operational frames derived by arithmetic from the star-schema test tables.
 
-The tables hold no genomes, so a site is made of each order key: every row of the base table
-yields one row (or 50 samples) here, and the work of a query grows with its tables.
+The tables hold no genomes, so a site is made of each order key: every order yields one panel row
+(50 samples), every line item a measured call (odd line numbers) or an imputed row (even ones) here, and the work of a query grows with its tables.
 """
 
 from __future__ import annotations
@@ -28,13 +28,8 @@ class Tables:
         return self._read[name]
 
     def spread(self, name: str, columns: list[str]) -> DataFrame:
-        """A table whose rows grow a lot later; a table of few files is spread over the cores first.
-
-        With at least as many files as cores, as any large table has, nothing is shuffled.
-        """
-        rows = self.base(name).select(*columns)
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, *columns)
+        """A few narrow columns of a table whose rows grow about fiftyfold later, dealt out before they grow."""
+        return self.base(name).select(*columns).repartition(*columns)
 
     # -- sites -------------------------------------------------------------------------
 
@@ -70,7 +65,7 @@ class Tables:
         site = self.site_sql("l_orderkey")
         ref, alt = site["ref_allele"], site["alt_allele"]
         rows = self.base("lineitem") if lineitem is None else lineitem
-        return rows.filter("l_linenumber = 1").selectExpr(
+        return rows.filter("l_linenumber % 2 = 1").selectExpr(
             "concat('rs', l_orderkey) AS rsid",
             f"if(l_orderkey % 19 = 0, 'X', cast({site['chromosome']} as string)) AS chromosome",
             f"{site['position']} + if(l_orderkey % 17 = 0, 1, 0) AS position",
@@ -83,7 +78,7 @@ class Tables:
         """Imputed rows: repeated keys, unknown and low R2, generated names, off-panel places."""
         site = self.site_sql("l_orderkey")
         position = f"{site['position']} + if(l_orderkey % 23 = 0, 2, 0)"
-        return self.base("lineitem").filter("l_linenumber = 2").selectExpr(
+        return self.base("lineitem").filter("l_linenumber % 2 = 0").selectExpr(
             f"if(l_orderkey % 7 = 0, concat_ws(':', concat('chr', {site['chromosome']}), {position}, {site['ref_allele']}, "
             f"{site['alt_allele']}), concat('rs', l_orderkey)) AS rsid",
             f"{site['chromosome']} AS chromosome", f"{position} AS position",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ def run_merge(spark: SparkSession, input_folder: str, panel_path: str, output_fo
     panel = read_panel(spark, panel_path)
     merged = stage(merge_multi_sample(panel, calls, imputed, rules), "merged")
 
-    scored = scale_pgs(read_pgs_scores(spark, inputs["pgs"][0])) if inputs["pgs"] else None
+    scores = [read_pgs_scores(spark, path) for path in inputs["pgs"]]
+    scored = scale_pgs(reduce(DataFrame.unionByName, scores)) if scores else None
     statistics = run_statistics(merged)
     metadata = tables.run_metadata(statistics, options.job_id, options.user_id, options.processing_date, **options.names)
     write_outputs(merged, metadata, scored, output_folder, formats, options)

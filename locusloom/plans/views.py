@@ -114,7 +114,7 @@ VIEWS: dict[str, str] = {
       CASE (k + l_suppkey) % 6 WHEN 0 THEN ref_allele || ref_allele WHEN 1 THEN ref_allele || alt_allele
         WHEN 2 THEN alt_allele || ref_allele WHEN 3 THEN alt_allele || alt_allele WHEN 4 THEN '--' ELSE 'DI' END AS genotype,
       k, l_shipdate, l_partkey, l_suppkey
-    FROM (SELECT l_orderkey AS k, {site('l_orderkey')}, l_shipdate, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1)""",
+    FROM (SELECT l_orderkey AS k, {site('l_orderkey')}, l_shipdate, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 1)""",
     "g_calls_last": _last("g_calls", "chromosome, position", "genotype DESC", "chromosome IS NOT NULL"),
     "g_calls_letters": (
         "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chromosome, position, letter1, letter2 "
@@ -128,7 +128,7 @@ VIEWS: dict[str, str] = {
         ref_allele, alt_allele, CAST((l_orderkey * 31 + l_partkey * 7) % 201 AS DOUBLE) / 100 AS dosage,
         CASE WHEN l_orderkey % 29 <> 0 THEN CAST(l_orderkey * 613 % 1000 AS DOUBLE) / 1000 END AS imputation_quality,
         l_shipdate, l_partkey, l_suppkey
-      FROM (SELECT *, {site('l_orderkey')} FROM lineitem WHERE l_linenumber = 2))""",
+      FROM (SELECT *, {site('l_orderkey')} FROM lineitem WHERE l_linenumber % 2 = 0))""",
     "g_imputed_last": _last("g_imputed", "chromosome, position, ref_allele, alt_allele", "dosage DESC"),
     "g_imputed_rsid": _last("g_imputed", "rsid", "dosage DESC"),
     "g_merged": _default(_BY_PLACE),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusloom.functions.genotype import vcf_chromosome
 from locusloom.functions.numeric import is_finite, parse_double
 
 
@@ -35,7 +36,7 @@ def wide_scores(rows: DataFrame) -> DataFrame:
     )
     names = [t.strip('"') for t in traits]
     # unpivot drops nothing: a missing cell arrives as NULL and is an error.
-    tall = clean.unpivot("sample_id", names, "label", "text")
+    tall = clean.unpivot("sample_id", [F.col(f"`{n}`") for n in names], "label", "text")
     value = parse_double(_strip_quotes(F.col("text")))
     return tall.select(
         "sample_id", "label", value.alias("value"),
@@ -78,10 +79,13 @@ def read_pgs_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pgs_weights(spark: SparkSession, path: str, trait: str | None = None, sep: str = "\t") -> DataFrame:
-    """Weight per site: rsid, chromosome, position, effect_allele, other_allele, weight (and trait)."""
+    """Weight per site: rsid, chromosome, position, effect_allele, other_allele, weight (and trait).
+
+    A leading ``chr`` is taken off; X and other places off the autosomes have no chromosome.
+    """
     schema = "SNP string, CHR string, BP bigint, A1 string, A2 string, weight double"
     rows = spark.read.csv(path, header=True, sep=sep, schema=schema, mode="FAILFAST")
     return rows.select(
-        F.lit(trait).cast("string").alias("trait"), F.col("SNP").alias("rsid"), F.col("CHR").cast("int").alias("chromosome"),
+        F.lit(trait).cast("string").alias("trait"), F.col("SNP").alias("rsid"), vcf_chromosome("CHR").alias("chromosome"),
         F.col("BP").alias("position"), F.col("A1").alias("effect_allele"), F.col("A2").alias("other_allele"), "weight",
     )
