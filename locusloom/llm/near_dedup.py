@@ -5,10 +5,12 @@
 3. Classes that share the key of one band meet in a bucket. No bucket is expanded into its pairs: its members
    are held against one leader, and members that already hang together are not compared again. First the leader
    is the same in every band; then each bucket that still holds several groups takes a leader of its own, in
-   ``ROUNDS`` rounds. Members of different groups that are still left in a bucket have their signatures compared
-   in place, and only pairs whose signatures agree in ``AGREE`` of the slots or more come out to be verified (a
-   pair at 0.8 falls below that with a chance of 2e-5). So any two members of a bucket are joined through
-   confirmed links, or verified, or told apart by their signatures.
+   ``ROUNDS`` rounds. Members of different groups that are still left in a bucket are compared in place, two
+   blocks of about ``BLOCK`` members at a time, so that no task holds a whole bucket. Pairs come out to be
+   verified unless a bitmap of their shingles proves them too different (an upper bound of the intersection, so
+   it drops no link) or their signatures agree in less than ``AGREE`` of the slots (which befalls a pair at 0.8
+   with a chance of 2e-5). So any two members of a bucket are joined through confirmed links, or verified, or
+   told apart by bitmap or signature.
 4. A pair counts as linked when 100 * |A and B| >= percent * |A or B| on the full sets of both texts.
 5. Links are grouped by ``components``.
 
@@ -41,6 +43,10 @@ ROUNDS = 2
 
 #: Share of equal slots from which a pair is verified in the end, four standard errors below 0.8.
 AGREE = 0.7
+#: Cells of the bitmap of a set; those of sets with more shingles fill up and prove less.
+CELLS = 4096
+#: Members of a block of a bucket.
+BLOCK = 1024
 
 _FEATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, slots binary"
 
@@ -79,30 +85,55 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _cells(width: int):
+    """Texts as bitmaps of their shingles: cell k is set if a shingle's hash begins with the bits of k."""
+    shift = np.uint64(64 - CELLS.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
+            maps = []
+            for s in sets:
+                cells = np.zeros(CELLS, dtype=bool)
+                cells[(s >> shift).astype(np.int64)] = True
+                maps.append(np.packbits(cells).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(maps, type=pa.binary())],
+                names=["node", "n", "cells"])
+    return run
+
+
 def _alike(percent: int):
-    """Pairs of members of one bucket that are in different groups and whose signatures agree; rows come by bucket."""
-    def pairs(rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if len(rows) < 2:
-            return
-        node, n, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        slots = np.stack([np.frombuffer(r[4], dtype=np.uint8) for r in rows])
+    """Pairs of members of two blocks of a bucket that are in different groups and may be linked; rows come by blocks."""
+    def pairs(rows: list[tuple]) -> pd.DataFrame:
+        lo, hi = rows[0][1:3]
+        own, node, n, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5, 6))
+        slots = np.stack([np.frombuffer(r[7], dtype=np.uint8) for r in rows])
+        cells = np.stack([np.frombuffer(r[8], dtype=np.uint64) for r in rows])
+        hidden = n - np.bitwise_count(cells).sum(axis=1, dtype=np.int64)  # shingles that share a cell with another
         least = AGREE * slots.shape[1]
-        for i in range(len(rows) - 1):
-            fits = (root[i + 1:] != root[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i]))
-            other = i + 1 + np.flatnonzero(fits)
+        second = np.flatnonzero(own == hi)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
+        for i in np.flatnonzero(own == lo):
+            other = second[second > i] if lo == hi else second
+            other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+            both = np.bitwise_count(cells[other] & cells[i]).sum(axis=1, dtype=np.int64) + np.minimum(hidden[other], hidden[i])
+            other = other[(100 + percent) * both >= percent * (n[other] + n[i])]
             other = other[(slots[other] == slots[i]).sum(axis=1) >= least]
-            if len(other):
-                yield pd.DataFrame({"a": node[i], "b": node[other], "na": n[i], "nb": n[other]})
+            found.append((np.full(len(other), i), other))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"a": node[a], "b": node[b], "na": n[a], "nb": n[b]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                if held and held[0][0] != row[0]:
-                    yield from pairs(held)
+                if held and held[0][:3] != row[:3]:
+                    yield pairs(held)
                     held = []
                 held.append(row)
-        yield from pairs(held)
+        if held:
+            yield pairs(held)
     return run
 
 
@@ -140,11 +171,25 @@ class _Buckets:
         return pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
     def unjoined(self) -> DataFrame:
-        """Rows (bucket, node, n, root) of the buckets whose members are not all in one component yet."""
+        """Rows (bucket, node, n, root, many) of the buckets whose ``many`` members are not all in one component yet."""
         groups = components(self.links)
         rows = self.rows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        return stage(rows.join(open_, "bucket"), "unjoined")
+        open_ = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"))
+        return stage(rows.join(open_.filter("lo <> hi").select("bucket", "many"), "bucket"), "unjoined")
+
+    def alike(self, signatures_: DataFrame) -> DataFrame:
+        """Pairs of the members left in a bucket that bitmaps and signatures don't tell apart."""
+        left = self.unjoined()
+        texts = self.texts.join(left.select("node").distinct(), "node", "leftsemi")
+        cells = stage(texts.mapInArrow(_cells(self.width), "node bigint, n bigint, cells binary"), "cells")
+        left = left.withColumn("blocks", F.ceil(F.col("many") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        left = left.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+        left = left.join(signatures_, ["node", "n"]).join(cells, ["node", "n"])
+        left = left.select("bucket", "lo", "hi", "own", "node", "n", "root", "slots", "cells")
+        blocks = ["bucket", "lo", "hi"]
+        left = left.repartition(partitions(left.sparkSession), *blocks).sortWithinPartitions(*blocks, "node")
+        return left.mapInPandas(_alike(self.percent), "a bigint, b bigint, na bigint, nb bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -161,10 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets.confirm(buckets.against_leaders(buckets.rows.withColumn("root", F.col("node")), F.xxhash64("node")))
     for turn in range(ROUNDS):
         buckets.confirm(buckets.against_leaders(buckets.unjoined(), F.xxhash64("node", "bucket", F.lit(turn))))
-    slots = classes.select(F.col("rep").alias("node"), "slots").dropDuplicates(["node"])
-    left = buckets.unjoined().join(slots, "node").select("bucket", "node", "n", "root", "slots")
-    left = left.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
-    buckets.confirm(left.mapInPandas(_alike(percent), "a bigint, b bigint, na bigint, nb bigint"))
+    buckets.confirm(buckets.alike(classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "slots").distinct()))
     groups = components(buckets.links).select(F.col("node").alias("rep"), "root")
     of_class = reps.join(groups, "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     rows = features.select("doc_id", *key).join(of_class, key, "left")

@@ -93,6 +93,24 @@ def test_near_duplicates_equal_plain_groups(spark, width):
     assert all(got[i].kept == (root[i] == i) for i in got)
 
 
+@pytest.mark.parametrize("words", [60, 3000])
+def test_many_unlike_texts_around_one_passage(spark, monkeypatch, words):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)  # a bucket of several blocks
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "CELLS", 1024)  # longer texts fill the bitmap
+    rng = random.Random(words)
+    passage = [f"w{rng.random()}" for _ in range(words)]
+    texts = []
+    for i in range(40):
+        own = [f"n{rng.random()}" for _ in range(words * rng.choice([6, 9, 12, 18, 24]) // 100)]
+        texts.append(" ".join(passage + own))
+        if i % 9 == 0:
+            texts.append(" ".join(passage + own[:-1]))
+    sets, root = plain_groups(texts, 2)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 1 < len(set(root)) < len(texts)
+
+
 def test_one_document_of_each_group_stays(spark, odd, none):
     kept = near_dedup.one_of_each_group(odd).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, i) for i in (0, 1, 2, 3, 5, 7, 8, 9)] + [(True, None)]
