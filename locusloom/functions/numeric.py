@@ -34,15 +34,17 @@ def fixed_decimals(value: ColumnOrName, places: int) -> Column:
 
     ``value * 10^places`` is kept as an unrounded sum ``hi + lo`` (the value is split into two
     26-bit halves, whose products with a power of ten are exact), so 1.0005, which is stored a
-    little below its text, prints as 1.000 and 0.0625 as 0.062. Needs |value| < 2^20.
+    little below its text, prints as 1.000 and 0.0625 as 0.062. Only the part after the point, which
+    is exact, is scaled; whole parts may be any below 2^63.
     """
     if not 0 < places <= 6:
         raise ValueError("places must be 1..6")
     scale = 10 ** places
     x = F.abs(_c(value))
-    big = x * F.lit(134217729.0)
-    head = big - (big - x)
-    hi, lo = head * F.lit(float(scale)), (x - head) * F.lit(float(scale))
+    part = x - F.floor(x)
+    big = part * F.lit(134217729.0)
+    head = big - (big - part)
+    hi, lo = head * F.lit(float(scale)), (part - head) * F.lit(float(scale))
     base = F.rint(hi)
     gap = hi - base
     up, down = F.lit(0.5) - gap, F.lit(-0.5) - gap
@@ -53,7 +55,7 @@ def fixed_decimals(value: ColumnOrName, places: int) -> Column:
         - F.when((lo < down) | ((lo == down) & odd), F.lit(1.0)).otherwise(F.lit(0.0))
     ).cast("bigint")
     text = F.concat(
-        F.floor(n / scale).cast("bigint").cast("string"), F.lit("."),
+        (x.cast("bigint") + F.when(n == scale, F.lit(1)).otherwise(F.lit(0))).cast("string"), F.lit("."),
         F.lpad((n % scale).cast("string"), places, "0"),
     )
     whole = F.concat(x.cast("bigint").cast("string"), F.lit("." + "0" * places))

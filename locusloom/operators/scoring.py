@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import genotype_text_dosage
 from locusloom.operators.pgs import normalise_to_reference
-from locusloom.operators.ranking import percent_rank
 from locusloom.schemas import USER_SAMPLE
 from locusloom.session import stage
 
@@ -71,15 +70,19 @@ def pgs_results(
     """trait, sample_id, raw_score, normalized_score, percentile, snp_count, coverage.
 
     Raw scores are kept to six decimals, as they are stored; sums that differ only in their last
-    bits then count as equal. Normalised by the panel samples' mean and sd; the percentile ranks
-    within the trait.
+    bits then count as equal. Normalised by the panel samples' mean and sd; the percentile is the
+    share of the trait's panel samples with a smaller score (equal scores don't count as smaller).
     """
     raw = raw_scores(merged, weights, key).withColumn("raw_score", F.round("raw_score", 6) + F.lit(0.0))
     # Traits times samples, a short table that is used several times below.
     scores = stage(with_coverage(raw, weights, min_coverage), "raw-scores")
     named = scores.withColumnsRenamed({"trait": "label", "raw_score": "value"})
     scored = normalise_to_reference(named, F.col("sample_id") != USER_SAMPLE)
-    ranked = percent_rank(scored, ["label"], "value")
+    # A trait has one row per sample, so these windows are short.
+    of_panel = F.count_if(F.col("sample_id") != USER_SAMPLE)
+    up_to, equal = Window.partitionBy("label").orderBy("value"), Window.partitionBy("label", "value")
+    below = of_panel.over(up_to) - of_panel.over(equal)
+    ranked = scored.withColumn("percentile", F.try_divide(below * 100.0, of_panel.over(Window.partitionBy("label"))))
     return ranked.select(
         F.col("label").alias("trait"), "sample_id", F.col("value").alias("raw_score"),
         F.col("z").alias("normalized_score"), "percentile", "snp_count", "coverage",

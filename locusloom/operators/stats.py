@@ -62,16 +62,24 @@ def sample_metrics(merged: DataFrame) -> DataFrame:
     )
 
 
-def match_metrics(merged: DataFrame) -> DataFrame:
-    """Per chromosome: variants, measured share in percent, mean quality and quality tiers."""
+def match_metrics(merged: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per chromosome of the panel: variants, match rate, mean quality and quality tiers.
+
+    The match rate is the percentage of usable calls (two letters of ACGT) whose place became a measured variant.
+    ``calls`` has one row (chromosome, position, call_genotype) per place; null without usable calls.
+    """
     measured = F.col("user_source") == GENOTYPED
     q = F.col("user_quality")
-    return merged.groupBy("chromosome").agg(
-        F.count("*").alias("variants"), (F.avg(measured.cast("int")) * 100.0).alias("match_rate"),
+    usable = calls.filter(F.col("call_genotype").rlike("^[ACGT]{2}$")).groupBy("chromosome").agg(F.count("*").alias("_usable"))
+    metrics = merged.groupBy("chromosome").agg(
+        F.count("*").alias("variants"), F.count_distinct(F.when(measured, F.col("position"))).alias("_converted"),
         F.avg(q).alias("mean_quality"), F.count_if(q >= 0.9).alias("quality_090"),
         F.count_if((q >= 0.8) & (q < 0.9)).alias("quality_080"),
         F.count_if((q >= 0.3) & (q < 0.8)).alias("quality_030"), F.count_if(q < 0.3).alias("quality_low"),
     )
+    rate = F.try_divide(F.col("_converted") * 100.0, F.col("_usable")).alias("match_rate")
+    return metrics.join(usable, "chromosome", "left").select(
+        "chromosome", "variants", rate, "mean_quality", "quality_090", "quality_080", "quality_030", "quality_low")
 
 
 # -- panel -----------------------------------------------------------------------------

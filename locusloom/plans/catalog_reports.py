@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from locusloom.functions.genotype import genotype_text_dosage
 from locusloom.functions.numeric import normal_cdf
 from locusloom.operators import pgs, scoring, stats
-from locusloom.operators.merge import merge_single_sample, to_long
+from locusloom.operators.merge import merge_single_sample, to_long, unique_calls
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import merged, query, r6, rounded
 
@@ -64,13 +64,17 @@ def _(t):
 
 
 @query("match_metrics", """
-SELECT chromosome, count(*) AS variants, round(100.0 * count(*) FILTER (WHERE user_source = 'Genotyped') / count(*), 6) AS match_rate,
+SELECT chromosome, count(*) AS variants,
+  round(100.0 * (SELECT count(*) FROM g_calls_last c WHERE c.chromosome = m.chromosome AND regexp_full_match(c.genotype, '[ACGT][ACGT]')
+      AND EXISTS (SELECT 1 FROM g_merged x WHERE x.chromosome = c.chromosome AND x.position = c.position AND x.user_source = 'Genotyped'))
+    / (SELECT count(*) FROM g_calls_last c WHERE c.chromosome = m.chromosome AND regexp_full_match(c.genotype, '[ACGT][ACGT]')), 6) AS match_rate,
   round(avg(user_quality), 6) AS mean_quality, count(*) FILTER (WHERE user_quality >= 0.9) AS quality_090,
   count(*) FILTER (WHERE user_quality >= 0.8 AND user_quality < 0.9) AS quality_080,
   count(*) FILTER (WHERE user_quality >= 0.3 AND user_quality < 0.8) AS quality_030, count(*) FILTER (WHERE user_quality < 0.3) AS quality_low
-FROM g_merged GROUP BY 1""")
+FROM g_merged m GROUP BY chromosome""")
 def _(t):
-    return rounded(stats.match_metrics(merged(t)), "match_rate", "mean_quality")
+    calls = unique_calls(t.calls(), ["chromosome", "position"], CALL_ORDER)
+    return rounded(stats.match_metrics(merged(t), calls), "match_rate", "mean_quality")
 
 
 @query("panel_mean_dosage", """
@@ -293,12 +297,15 @@ def _(t):
 
 @query("pgs_results", f"""
 WITH s AS (SELECT trait, sample_id, round(raw_score, 6) + 0.0 AS raw_score, snp_count FROM ({_WEIGHTED})), m AS (SELECT trait, avg(raw_score) AS m, stddev_pop(raw_score) AS sd, min(raw_score) AS lo, max(raw_score) AS hi FROM s WHERE sample_id <> 'samp51' GROUP BY 1)
-SELECT s.trait, sample_id, raw_score, percentile, round(CASE WHEN sd > 0 AND hi - lo > 1e-12 * greatest(abs(lo), abs(hi)) THEN (raw_score - m) / sd ELSE 0 END, 6) AS normalized_score,
+SELECT s.trait, sample_id, raw_score, percentile, round(CASE WHEN sd > 0 AND hi - lo > 1e-12 * greatest(abs(lo), abs(hi)) THEN (raw_score - m) / sd ELSE 0 END, 9) AS normalized_score,
   snp_count, round(CAST(snp_count AS DOUBLE) / n, 6) AS coverage
-FROM (SELECT *, round(100 * percent_rank() OVER (PARTITION BY trait ORDER BY raw_score), 6) AS percentile FROM s) s
+FROM (SELECT s.trait, s.sample_id, s.raw_score, s.snp_count, round(100.0 * count(*) FILTER (WHERE r.raw_score < s.raw_score) / count(*), 6) AS percentile
+  FROM s JOIN s r ON r.trait = s.trait AND r.sample_id <> 'samp51' GROUP BY 1, 2, 3, 4) s
 JOIN m USING (trait) JOIN (SELECT trait, count(*) AS n FROM g_weights GROUP BY 1) w USING (trait)""")
 def _(t):
-    return rounded(scoring.pgs_results(merged(t), t.weights(), None), "normalized_score", "percentile", "coverage")
+    # One score at sf0.01 ends in a 5 at the seventh decimal exactly, so nine are compared.
+    results = scoring.pgs_results(merged(t), t.weights(), None).withColumn("normalized_score", F.round("normalized_score", 9) + F.lit(0.0))
+    return rounded(results, "percentile", "coverage")
 
 
 @query("manhattan_series", """

@@ -150,12 +150,10 @@ def ingest_manifest(spark: SparkSession, path: str, strict: bool = False) -> Dat
 def output_register(spark: SparkSession, path: str) -> DataFrame:
     """file_name, file_type, length and SHA-256 of written files.
 
-    A file beyond the 2 GB that one binary value can hold is listed without a hash.
+    Every file is hashed. A file beyond the 2 GB that one binary value can hold stops the read with an error,
+    rather than being listed without its hash: write such tables with ``maxRecordsPerFile``.
     """
-    limit = 2 * 1024 * MB - 1024
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.when(F.col("path").contains("vcf"), F.lit("vcf")).otherwise(F.lit("result"))
     columns = ["path", base_name("path").alias("file_name"), kind.alias("file_type"), "length"]
-    hashed = listed.filter(F.col("length") <= limit).select(*columns, F.sha2("content", 256).alias("hash_sha256"))
-    large = listed.filter(F.col("length") > limit).select(*columns, F.lit(None).cast("string").alias("hash_sha256"))
-    return hashed.unionByName(large)
+    return listed.select(*columns, F.sha2("content", 256).alias("hash_sha256"))

@@ -91,6 +91,8 @@ def test_is_finite(spark):
 def test_fixed_decimals_round_the_binary_value(spark):
     rng = random.Random(7)
     numbers = [0.0, 0.0625, 0.1875, 0.3125, 1.0005, 2.0, 0.9995, 1.9995, 0.0005, 12345.6785, 0.99999, -0.5, -1.0625]
+    numbers += [3000000000.5, 1048576.0625, 2.0**40 + 0.3, 4194303.99999, -123456789.125]
+    numbers += [rng.random() * 2**rng.randint(20, 51) for _ in range(500)]
     numbers += [rng.random() * 2 for _ in range(2000)] + [rng.randrange(20000) / 10000 for _ in range(2000)]
     got = values(spark, [(x,) for x in numbers], "x double", a=N.fixed_decimals("x", 3), b=N.fixed_decimals("x", 4))
     for x, (a, b) in zip(numbers, got):
