@@ -253,6 +253,22 @@ def _(t):
     return files.missing_inputs(t.files().filter("length % 7 = 0"))
 
 
+@query("missing_inputs_all_files", """
+WITH f AS (SELECT CASE file_name WHEN 'chr7.dose.vcf.gz' THEN 'chr7.dose.vcf.gz.part' WHEN 'scores.txt' THEN 'scores.txt.part' ELSE file_name END AS file_name FROM g_files)
+SELECT 'missing chr' || range || '.dose.vcf.gz' AS problem FROM range(1, 23)
+WHERE 'chr' || range || '.dose.vcf.gz' NOT IN (SELECT file_name FROM f)
+UNION ALL SELECT 'missing ' || x FROM (VALUES ('genome'), ('pgs')) v(x)
+WHERE (x = 'genome' AND NOT EXISTS (SELECT 1 FROM f WHERE file_name LIKE 'genome%'))
+   OR (x = 'pgs' AND NOT EXISTS (SELECT 1 FROM f WHERE file_name = 'scores.txt'))
+UNION ALL SELECT 'expected 22 VCF files, found ' || count(*) FROM f
+WHERE file_name LIKE 'chr%.dose.vcf.gz' HAVING count(*) <> 22""")
+def _(t):
+    # Every file is looked at; two names are changed, as of files half copied, so that something is missing.
+    name = F.col("file_name")
+    half = F.when(name.isin("chr7.dose.vcf.gz", "scores.txt"), F.concat(name, F.lit(".part"))).otherwise(name)
+    return files.missing_inputs(t.files().withColumn("file_name", half))
+
+
 @query("ingest_checks", """
 WITH n AS (SELECT *, left(regexp_replace(regexp_replace(file_name, '[/\\\\]', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), 255) AS safe_name,
   CASE WHEN file_name LIKE 'genome%' OR file_name LIKE '.hidden%' THEN 'genome' WHEN file_name LIKE '%.vcf.gz' THEN 'vcf'

@@ -194,3 +194,12 @@ def test_version_rule(spark, tmp_path):
     put(tmp_path, "b.vcf", "#CHROM\n")
     bad = vcf_version_violations(lines.read_lines(spark, str(tmp_path))).collect()
     assert len(bad) == 1 and bad[0].file_path.endswith("b.vcf")
+
+
+def test_missing_inputs_reads_all_files(spark, sf_dir):
+    from locusloom.plans import catalog
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 2")
+    vcf = lines.filter("l_partkey % 24 + 1 <> 7").count()
+    got = {r.problem for r in catalog.QUERIES["missing_inputs_all_files"](spark, sf_dir).collect()}
+    assert got == {"missing chr7.dose.vcf.gz", "missing pgs", f"expected 22 VCF files, found {vcf}"}
