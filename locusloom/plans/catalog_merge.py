@@ -147,6 +147,15 @@ def _(t):
     return stats.pivot_samples(to_long(merged(t)), ["samp1", "samp2", "samp51"])
 
 
+_SAMPLES = [f"samp{i}" for i in range(1, 52)]
+
+
+@query("pivot_all_samples", "SELECT chromosome, position, ref_allele, alt_allele, " + ", ".join(
+    f"max(dosage) FILTER (WHERE sample_id = '{s}') AS {s}" for s in _SAMPLES) + " FROM g_long GROUP BY 1, 2, 3, 4")
+def _(t):
+    return stats.pivot_samples(to_long(merged(t)), _SAMPLES)
+
+
 # -- sinks as rows ---------------------------------------------------------------------
 
 _LINE = """'chr' || m.chromosome || chr(9) || m.position || chr(9) || m.rsid || chr(9) || m.ref_allele || chr(9) || m.alt_allele || chr(9) || '.' || chr(9) || '.' || chr(9) || """

@@ -222,6 +222,18 @@ def _(t):
     return rounded(pgs.pivot_scores(pgs.scale_pgs(t.pgs()), _SAMPLES, "z"), *_SAMPLES)
 
 
+_CELLS = [f"samp{i}" for i in range(1, 52)]
+
+
+@query("pgs_pivot_all_samples", "SELECT label, " + ", ".join(
+    f"round(avg(z) FILTER (WHERE CAST(sample_id AS BIGINT) % 51 = {i}), 6) + 0.0 AS {s}" for i, s in enumerate(_CELLS)) + " FROM g_pgs_scaled GROUP BY 1")
+def _(t):
+    # Every customer falls to one of 51 samples; a cell is the mean of its customers, so no score is left out.
+    sample = F.concat(F.lit("samp"), (F.col("sample_id").cast("bigint") % 51 + 1).cast("string"))
+    cells = pgs.scale_pgs(t.pgs()).groupBy("label", sample.alias("sample_id")).agg(F.avg("z").alias("z"))
+    return rounded(pgs.pivot_scores(cells, _CELLS, "z"), *_CELLS)
+
+
 @query("pgs_pivot_traits", "SELECT sample_id AS sample, " + ", ".join(
     f"max(value) FILTER (WHERE label = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM g_pgs GROUP BY 1")
 def _(t):

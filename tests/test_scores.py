@@ -101,3 +101,16 @@ def test_ancestry_matches_a_plain_decomposition(spark, sf_dir):
     rows = {r.sample_id: (r.pc1, r.pc2) for r in scoring.ancestry_components(merged).collect()}
     got = np.array([rows[f"samp{i}"] for i in range(1, 52)])
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def test_pivots_hold_every_sample(spark, sf_dir):
+    from locusloom.plans import catalog
+
+    samples = [f"samp{i}" for i in range(1, 52)]
+    wide = catalog.QUERIES["pivot_all_samples"](spark, sf_dir)
+    assert wide.columns[4:] == samples and wide.filter(" OR ".join(f"{s} IS NULL" for s in samples)).count() == 0
+    scores = catalog.QUERIES["pgs_pivot_all_samples"](spark, sf_dir)
+    assert scores.columns == ["label", *samples]
+    cells = sum(x is not None for r in scores.collect() for x in r[1:])
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert cells == customers.selectExpr("c_mktsegment", "c_custkey % 51").distinct().count()
