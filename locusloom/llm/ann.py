@@ -3,7 +3,8 @@
 Every tree hashes a vector to a long string of bits, the signs of projections on random directions, and keeps the
 strings in a sorted array. A query goes down each tree by binary search to its longest common prefix with any
 string; then all trees go up together, one bit at a time, and give every vector that shares so long a prefix in
-at least one of them, until enough are found. These candidates are measured exactly, in double precision.
+at least one of them, until enough distinct ones are found: a share of the block, and more than a result can hold.
+A vector that many trees give counts once. These candidates are measured exactly, in double precision.
 
 Vectors lie in blocks of bounded size, each with a forest of its own over all its vectors; the stated queries go to
 every block in chunks of bounded size, and the nearest of all blocks are merged. Equal vectors are stored once with
@@ -50,8 +51,15 @@ class Forest:
         bit = ((vectors - self.middle) @ plane > 0).astype(np.uint64)
         return bit @ (np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64))
 
-    def candidates(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
-        """Rows of the block for each query, after a synchronous ascent."""
+    def candidates(self, queries: np.ndarray, share: float, k: int) -> list[np.ndarray]:
+        """Rows of the block for each query, after a synchronous ascent.
+
+        A query is done when its distinct rows are ``share`` of the block and ``k + 1`` besides its own at least,
+        and its trees gave the entries that this takes where they rarely repeat a row; or at the roots.
+        """
+        n = len(self.vectors)
+        least = n if share >= 1 else min(n, max(k + 2, int(np.ceil(share * n))))
+        enough = self.enough(share)
         hashed = [self._hash(queries, plane) for plane in self.planes]
         level = np.zeros(len(queries), dtype=np.int64)
         for code, own in zip(hashed, self.codes):  # down: the longest prefix shared with a neighbour in sorted order
@@ -63,6 +71,7 @@ class Forest:
         low = np.zeros((len(self.codes), len(queries)), dtype=np.int64)
         high = low.copy()
         still = np.arange(len(queries))
+        out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(queries)
         while len(still):  # up: all trees by one bit at a time
             shift = (self.bits - level[still]).astype(np.uint64)
             for t, (code, own) in enumerate(zip(hashed, self.codes)):
@@ -70,19 +79,21 @@ class Forest:
                 low[t, still] = np.searchsorted(own, first)
                 high[t, still] = np.searchsorted(own, first + (np.uint64(1) << shift))
             found = (high[:, still] - low[:, still]).sum(axis=0)
-            still = still[(found < enough) & (level[still] > 0)]
+            done = level[still] == 0
+            for i in np.flatnonzero(done | (found >= enough)):  # repeats are told apart only where they may decide
+                q = still[i]
+                seen = np.zeros(n, dtype=bool)
+                for t, order in enumerate(self.order):
+                    seen[order[low[t, q]:high[t, q]]] = True
+                out[q] = np.flatnonzero(seen)
+                done[i] |= len(out[q]) >= least
+            still = still[~done]
             level[still] -= 1
-        out = []
-        for q in range(len(queries)):
-            seen = np.zeros(len(self.vectors), dtype=bool)
-            for t, order in enumerate(self.order):
-                seen[order[low[t, q]:high[t, q]]] = True
-            out.append(np.flatnonzero(seen))
         return out
 
     def enough(self, share: float) -> int:
-        """Entries that all trees together have to give for about ``share`` of the block as distinct rows,
-        besides the query's own entry in each."""
+        """Entries that all trees together have to give at least: about ``share`` of the block as distinct rows
+        where they rarely repeat, besides the query's own entry in each."""
         n = len(self.vectors)
         return len(self.codes) * n if share >= 1 else len(self.codes) + int(np.ceil(-np.log1p(-share) * n))
 
@@ -106,10 +117,9 @@ def _search(dim: int, k: int, share: float, trees: int):
             members = index.column("ids").to_pylist()
             wanted = _matrix(queries.column("vector"), dim)
             names = queries.column("rep").to_pylist()
-            enough = forest.enough(share)
             for a in range(0, len(wanted), STEP_QUERIES):
                 part = wanted[a:a + STEP_QUERIES]
-                for q, rows in enumerate(forest.candidates(part, enough)):
+                for q, rows in enumerate(forest.candidates(part, share, k)):
                     distance = forest.nearest(part[q], rows)
                     if len(rows) > k + 1:
                         cut = np.partition(distance, k)[k]

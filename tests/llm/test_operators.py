@@ -153,6 +153,19 @@ def test_forest_recall_and_copies(spark):
     assert ann.nearest(df.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 12, 500])
+def test_near_copies_do_not_fill_the_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    vectors = rng.standard_normal((n, 64))
+    vectors[1:4] = vectors[0] + 1e-9 * rng.standard_normal((3, 64))  # a group of four
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(n)) and all(len(ids) == min(10, n - 1) for ids in got.values())
+    assert all({0, 1, 2, 3} - {q} == set(got[q][:3]) for q in range(4))
+
+
 def test_shards(spark, odd, none):
     rows = sharding.shards(odd, 4)[0].collect()
     assert sum(r["size"] for r in rows) == sum(len((t or "").encode()) + 1 for t in ODD + ODD[3:6])
