@@ -321,6 +321,21 @@ def test_page_text(spark):
     assert html_extract.main_texts(df).count() == len(pages) and html_extract.main_texts(df.filter("false")).count() == 0
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    plain = "<div>Top line</div><div><h1>T</h1><p>body {}</p></div>"
+    boxes = "<article><h1>T {0}</h1><div>held by a box {0}</div><section>and this {0}</section></article>"
+    pages = [(i, f"http://plain.org/{i}", plain.format("same" if i < 8 else i)) for i in range(10)]
+    pages += [(20 + i, f"http://all.org/{i}", plain.format("same")) for i in range(5)]
+    pages += [(30 + i, f"http://box.org/{i}", boxes.format("same" if i < 8 else i)) for i in range(10)]
+    pages += [(50 + i, f"http://few.org/{i}", f"<div>Top line</div><div><h1>T</h1><p>{'' if i == 0 else f'body {i}'}</p></div>") for i in range(5)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
+    assert [got[i] for i in range(10)] == [f"body {'same' if i < 8 else i}" for i in range(10)]
+    assert {got[20 + i] for i in range(5)} == {"Top line T body same"}
+    assert got[30] == got[37] == "T same held by a box same and this same" and got[39] == "T 9 held by a box 9 and this 9"
+    assert got[50] == "Top line T" and got[51] == "body 1"
+
+
 def test_prefix_hashes():
     rng = random.Random(6)
     for _ in range(60):
