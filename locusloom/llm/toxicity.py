@@ -7,9 +7,11 @@ found in one pass of the automaton. A text's hits, weighted and divided by its l
 logistic curve.
 
 The lexicon is learned from labelled texts: the rates of word beginnings per word in toxic and in clean texts
-are summed over the cluster, and those that are many times as frequent in toxic texts become patterns. The
-sample of labelled rows is bounded by ``SAMPLE_ROWS``, the lexicon by ``PATTERNS`` and ``EXCEPTIONS``; scoring
-has no bound and reads whole texts.
+are summed over the cluster, and those that are many times as frequent in toxic texts become patterns. Whole words
+that begin with a pattern, then pairs of neighbouring words with a pattern in a word that is no exception, become
+exceptions where they are not much more frequent in toxic texts. The sample of labelled rows is bounded by
+``SAMPLE_ROWS``, the lexicon by ``PATTERNS`` and by ``EXCEPTIONS`` of words and of pairs each; scoring has no bound
+and reads whole texts.
 
 Defined results: null and empty texts have no hits and get the curve's value for none. Without labelled texts of
 both kinds every score is 0. Repeated labels count once, the greatest. Labels, language and source are never read
@@ -34,7 +36,7 @@ from locusloom.llm.common import small_batches, stage
 
 #: Labelled rows that the lexicon and the curve are fitted on at the most, the least by hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Patterns and exceptions kept, the strongest first; word beginnings of these lengths are looked at.
+#: Patterns, and exceptions of one word and of two each, kept, the strongest first; word beginnings of these lengths are looked at.
 PATTERNS, EXCEPTIONS = 400, 400
 SHORTEST, LONGEST = 4, 10
 #: A pattern's rate in toxic texts is at least this many times that in clean ones; an exception's less than the other.
@@ -146,6 +148,21 @@ def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "toxic_texts": [texts[1][k] for k in keys], "clean_texts": [texts[0][k] for k in keys]}).astype(dict.fromkeys(_COUNTS, "int64"))
 
 
+def _pairs(patterns: tuple[str, ...], exceptions: frozenset[str]):
+    """Occurrences by label of pairs of neighbouring words that hold a pattern, other than in a harmless word."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                words = folded(text).split()
+                hit = {w for w in set(words) if w not in exceptions and w.startswith(patterns)}
+                seen[toxic].update(f"{a} {b}" for a, b in zip(words, words[1:]) if a in hit or b in hit)
+            keys = [*seen[1].keys()] + [k for k in seen[0] if k not in seen[1]]
+            yield pd.DataFrame({"part": keys, "in_toxic": [seen[1][k] for k in keys], "in_clean": [seen[0][k] for k in keys]}).astype(
+                {"part": "object", "in_toxic": "int64", "in_clean": "int64"})
+    return run
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Weights of a logistic regression with a small penalty, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -175,7 +192,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     toxic_texts, clean_texts = sizes[1]["texts"], sizes[0]["texts"]
     counted = texts.mapInPandas(_beginnings, "part string, in_toxic bigint, in_clean bigint, toxic_texts bigint, clean_texts bigint")
     counted = counted.groupBy("part").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    counted = counted.withColumn("ratio", (F.col("in_toxic") + 0.5) / (toxic_words + 1) / ((F.col("in_clean") + 0.5) / (clean_words + 1)))
+    ratio = (F.col("in_toxic") + 0.5) / (toxic_words + 1) / ((F.col("in_clean") + 0.5) / (clean_words + 1))
+    counted = counted.withColumn("ratio", ratio)
     counted = stage(counted.filter(F.col("in_toxic") + F.col("in_clean") >= 3), "beginnings")
     lift = (F.col("toxic_texts") + 0.5) / (toxic_texts + 1) / ((F.col("clean_texts") + 0.5) / (clean_texts + 1))
     frequent = counted.filter(~F.col("part").endswith(" ")).filter((F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO)).filter(F.col("toxic_texts") >= max(3, toxic_texts // 100))
@@ -190,6 +208,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         begins = F.col("part").rlike(f"^(?:{'|'.join(chosen)})")  # patterns are letters and digits only
         harmless = counted.filter(F.col("part").endswith(" ")).filter(begins & (F.col("ratio") < HARMLESS_RATIO))
         exceptions = [r["part"].strip() for r in harmless.orderBy(F.desc("in_clean"), "part").limit(EXCEPTIONS).collect()]
+        pairs = texts.mapInPandas(_pairs(tuple(chosen), frozenset(exceptions)), "part string, in_toxic bigint, in_clean bigint")
+        pairs = pairs.groupBy("part").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
+        harmless = pairs.filter("in_clean > 0 AND in_toxic + in_clean >= 3").filter(ratio < HARMLESS_RATIO)
+        exceptions += [r["part"] for r in harmless.orderBy(F.desc("in_clean"), "part").limit(EXCEPTIONS).collect()]
     lexicon = Lexicon(chosen, tuple(exceptions))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

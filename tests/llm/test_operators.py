@@ -381,3 +381,21 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 5.0}, ("idiot savant",), (-3.0, 1.0, 1.0, 0.0))
     assert lexicon.features("an 1d10t here")[1] > 0 and lexicon.features("an idiot savant")[1] == 0 and lexicon.features(None) == (0.0, 0.0, 0.0)
     assert lexicon.score("idiot " * 9) > 0.9 > 0.1 > lexicon.score("")
+
+
+def test_harmless_phrases_are_learned(spark):
+    rng = random.Random(9)
+    filler = [f"{a}{b}rant" for a in "bcdfglmp" for b in "aeiou"]
+    rows = []
+    for i in range(400):
+        words, toxic = rng.choices(filler, k=12), int(i % 2)
+        at = rng.randint(0, 11)
+        if toxic:
+            words[at:at] = ["wobbler"]
+        elif i % 20 == 0:
+            words[at:at] = ["wobbler", "tree"]
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "wobbler" not in lexicon.exceptions and "wobbler tree" in lexicon.exceptions
+    assert lexicon.features("the wobbler tree grows")[1] == 0 < lexicon.features("the wobbler grows")[1]
