@@ -43,6 +43,8 @@ SHORTEST, LONGEST = 4, 10
 RATIO, HARMLESS_RATIO = 8.0, 2.0
 #: The share of toxic texts with a pattern is at least this many times that of clean ones: a burst in one text isn't enough.
 TEXT_RATIO = 3.0
+#: Toxic texts with a pattern at the least, in a sample of any size; ratio and lift guard against chance.
+LEAST_TEXTS = 3
 #: Held-out rows: crc32 of the id modulo FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 
@@ -196,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counted = counted.withColumn("ratio", ratio)
     counted = stage(counted.filter(F.col("in_toxic") + F.col("in_clean") >= 3), "beginnings")
     lift = (F.col("toxic_texts") + 0.5) / (toxic_texts + 1) / ((F.col("clean_texts") + 0.5) / (clean_texts + 1))
-    frequent = counted.filter(~F.col("part").endswith(" ")).filter((F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO)).filter(F.col("toxic_texts") >= max(3, toxic_texts // 100))
+    frequent = counted.filter(~F.col("part").endswith(" ")).filter((F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO)).filter(F.col("toxic_texts") >= LEAST_TEXTS)
     strength = (F.col("toxic_texts") * F.log("ratio")).alias("strength")
     found = frequent.select("part", "ratio", strength).orderBy(F.desc("strength"), F.desc(F.length("part")), "part").limit(4 * PATTERNS).collect()
     chosen: dict[str, float] = {}

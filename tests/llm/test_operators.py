@@ -399,3 +399,12 @@ def test_harmless_phrases_are_learned(spark):
     lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert "wobbler" not in lexicon.exceptions and "wobbler tree" in lexicon.exceptions
     assert lexicon.features("the wobbler tree grows")[1] == 0 < lexicon.features("the wobbler grows")[1]
+
+
+def test_rare_toxic_words_are_learned_from_large_samples(spark):
+    rng = random.Random(10)
+    filler = [f"{a}{b}rant" for a in "bcdfglmp" for b in "aeiou"]
+    rows = [(i, " ".join(rng.choices(filler, k=8) + ["wobbler"] * (i % 2) + ["zyxterous"] * (i % 2 and i < 14)), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any("wobbler".startswith(w) for w in lexicon.weights) and any("zyxterous".startswith(w) for w in lexicon.weights)
