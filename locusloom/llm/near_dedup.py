@@ -9,7 +9,7 @@
    blocks of about ``BLOCK`` members at a time, so that no task holds a whole bucket. Pairs come out to be
    verified unless a bitmap of their shingles proves them too different (an upper bound of the intersection, so
    it drops no link) or their signatures agree in less than ``AGREE`` of the slots (which befalls a pair at 0.8
-   with a chance of 2e-5). So any two members of a bucket are joined through confirmed links, or verified, or
+   with a chance below 1e-7, by the binomial law of 240 slots). So any two members of a bucket are joined through confirmed links, or verified, or
    told apart by bitmap or signature.
 4. A pair counts as linked when 100 * |A and B| >= percent * |A or B| on the full sets of both texts.
 5. Links are grouped by ``components``.
@@ -41,8 +41,8 @@ BANDS, BAND_ROWS = 40, 6
 #: Rounds in which a bucket of several groups is held against a leader of its own.
 ROUNDS = 2
 
-#: Share of equal slots from which a pair is verified in the end, four standard errors below 0.8.
-AGREE = 0.7
+#: Share of equal slots from which a pair is verified in the end, nearly six standard errors below 0.8.
+AGREE = 0.65
 #: Cells of the bitmap of a set; those of sets with more shingles fill up and prove less.
 CELLS = 4096
 #: Members of a block of a bucket.

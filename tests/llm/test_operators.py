@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,15 @@ def test_many_unlike_texts_around_one_passage(spark, monkeypatch, words):
     assert [got[i] for i in range(len(texts))] == root and 1 < len(set(root)) < len(texts)
 
 
+def test_signatures_at_two_thirds_are_verified():
+    full = np.full(near_dedup.CELLS // 8, 255, dtype=np.uint8).tobytes()  # bitmaps that prove nothing
+    one = np.zeros(240, dtype=np.uint8)
+    two = np.where(np.arange(240) < 160, 0, 1).astype(np.uint8)
+    rows = pd.DataFrame([(7, 0, 0, 0, node, 20_000, node, slots.tobytes(), full) for node, slots in ((1, one), (2, two))])
+    found = pd.concat(near_dedup._alike(80)(iter([rows])))
+    assert found[["a", "b"]].values.tolist() == [[1, 2]]
+
+
 def test_one_document_of_each_group_stays(spark, odd, none):
     kept = near_dedup.one_of_each_group(odd).collect()
     assert sorted((r.doc_id is None, r.doc_id) for r in kept) == [(False, i) for i in (0, 1, 2, 3, 5, 7, 8, 9)] + [(True, None)]
