@@ -1,13 +1,13 @@
 """Sharding by fixed virtual slots and a versioned map from slots to shards.
 
-A record's slot is a hash of its doc_id and text, one of thousands. Bytes are summed per slot; only these sums
+A record's slot is a hash of its doc_id, its text and its number among equal records, one of thousands. Bytes are summed per slot; only these sums
 (one row per slot, a fixed number) reach the driver, which lays out the map: the heaviest slots first, each to the
 lightest shard. The map is a table of its own with a version; ``rebalanced`` edits a stored map (it moves as few
 slots as it must, also when shards are added) and writes the next version. Rows are never moved by hand: a row's
 shard is its slot's entry in the version that is read.
 
 Defined results: a null text has no bytes and size 1; a null doc_id is hashed as such, with its text; repeated rows
-share a slot and get places one after another. An empty table gives a map with empty slots and no rows.
+(one doc_id or none, one text) are numbered from 0 and spread over the slots by their number, so that no slot fills up. An empty table gives a map with empty slots and no rows.
 A slot is the least that can move, so one record above a shard's fair share makes its shard as heavy as itself.
 """
 
@@ -18,26 +18,35 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusloom.llm.common import stage
+from locusloom.llm.common import partitions, stage
 
 #: Virtual slots. The number is fixed for the life of a map; it bounds what the driver holds and the map's broadcast.
 SLOTS = 8192
 SHARDS = 16
+#: Equal rows that are numbered together.
+RUN = 1024
 
 _MAP = "version int, slot int, shard int, bytes bigint"
 
 
 def slot_of(slots: int = SLOTS) -> Column:
-    """The virtual slot of a row with doc_id and text_crc32."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32")), F.lit(slots)).cast("int")
+    """The virtual slot of a row with doc_id, text_crc32 and copy."""
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32")]
+    hashed = F.when(F.col("copy") == 0, F.xxhash64(*key)).otherwise(F.xxhash64(*key, F.col("copy")))
+    return F.pmod(hashed, F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and 1) and text_crc32 of every row; texts go no further than this."""
+    """doc_id, size (UTF-8 bytes and 1), text_crc32 and copy (a number from 0 among equal rows) of every row; texts
+    go no further than this. Equal rows are counted, and given out again in runs of ``RUN`` by many tasks."""
     text = F.col("text").cast("string")
-    return docs.select(
+    rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    key = ["doc_id", "size", "text_crc32"]
+    runs = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+    runs = runs.repartition(partitions(docs.sparkSession), *key, "run")
+    return runs.select(*key, F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")).alias("copy"))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -107,7 +116,7 @@ def placed(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFram
     starts = slot_map.select(F.col("slot").alias("virtual_slot"), "shard").join(counts, "virtual_slot", "left")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("virtual_slot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")) - 1
     numbered = kept.withColumn("within", within).join(F.broadcast(starts), "virtual_slot")
     return numbered.withColumn("slot", (F.col("start") + F.col("within")).cast("bigint"))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,16 @@ def test_shards(spark, odd, none):
     assert moved and {r.now for r in moved} == {4} and {r.v for r in moved} == {2}
 
 
+def test_repeated_rows_spread_over_slots(spark):
+    texts = [f"t{i}" for i in range(4000)] + ["again"] * 3000
+    df = documents(spark, texts, [*range(4000), *[None] * 1500, *[5000] * 1500])
+    rows = sharding.shards(df, 4)[0].collect()
+    assert len(rows) == len(texts)
+    assert max(Counter(r.virtual_slot for r in rows).values()) < 20
+    own = Counter(r.shard for r in rows)
+    assert sum(own.values()) == 7000 and all({r.slot for r in rows if r.shard == s} == set(range(n)) for s, n in own.items())
+
+
 def test_byte_pairs(odd, none):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
