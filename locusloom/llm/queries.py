@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusloom.llm import ann, bpe, chat, fingerprints, html_extract, mixing, near_dedup, pii, sharding, toxicity
+from locusloom.llm import (
+    ann, bpe, chat, fingerprints, html_extract, line_dedup, mixing, near_dedup, periodic, pii, sharding, toxicity, whitening)
 from locusloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +122,35 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@_query
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_line_runs"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+marked AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS goes FROM keyed)
+SELECT doc_id, count(*) AS n_lines, cast(count(*) FILTER (WHERE goes) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT goes), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
 ORACLE["op3_near_duplicates"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -11,7 +11,8 @@ COLUMNS = {
     "op5_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op6_pivotal_mix": ["doc_id", "size", "source_size", "target", "taken"],
     "op8_page_text": ["page_id", "url", "text", "n_chars"],
     "op9_prefix_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    "op10_toxic_lexicon": ["doc_id", "held_out", "score", "predicted"]}
+    "op10_toxic_lexicon": ["doc_id", "held_out", "score", "predicted"],
+    "op13_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
