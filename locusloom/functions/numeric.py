@@ -35,12 +35,14 @@ def fixed_decimals(value: ColumnOrName, places: int) -> Column:
     ``value * 10^places`` is kept as an unrounded sum ``hi + lo`` (the value is split into two
     26-bit halves, whose products with a power of ten are exact), so 1.0005, which is stored a
     little below its text, prints as 1.000 and 0.0625 as 0.062. Only the part after the point, which
-    is exact, is scaled; whole parts may be any below 2^63.
+    is exact, is scaled; whole parts may be any below 2^63. NaN prints as ``NaN``, beyond 2^63 as ``inf``.
     """
     if not 0 < places <= 6:
         raise ValueError("places must be 1..6")
     scale = 10 ** places
-    x = F.abs(_c(value))
+    v = _c(value)
+    plain = F.abs(v) < F.lit(2.0 ** 63)
+    x = F.abs(F.when(plain, v).otherwise(F.when(v.isNotNull(), F.lit(0.0))))
     part = x - F.floor(x)
     big = part * F.lit(134217729.0)
     head = big - (big - part)
@@ -59,10 +61,8 @@ def fixed_decimals(value: ColumnOrName, places: int) -> Column:
         F.lpad((n % scale).cast("string"), places, "0"),
     )
     whole = F.concat(x.cast("bigint").cast("string"), F.lit("." + "0" * places))
-    return F.concat(
-        F.when(_c(value) < 0, F.lit("-")).otherwise(F.lit("")),
-        F.when(x == F.floor(x), whole).otherwise(text),
-    )
+    number = F.when(F.isnan(v), F.lit("NaN")).when(~plain, F.lit("inf")).when(x == F.floor(x), whole).otherwise(text)
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), number)
 
 
 def normal_cdf(z: ColumnOrName) -> Column:

@@ -82,7 +82,7 @@ def vcf_lines(t: Tables):
         F.explode(F.when(k % 500 == 0, F.array(F.lit("##fileformat=VCFv4.2"), line)).otherwise(F.array(line))).alias("value"))
 
 
-_VCF_SQL = f"""
+VCF_SQL = f"""
 SELECT 'chr' || chromosome || '.dose.vcf.gz' AS file_path, k,
   CASE WHEN k % 31 = 0 THEN NULL ELSE chromosome END AS chromosome, position, ref_allele,
   CASE WHEN k % 37 = 0 THEN NULL ELSE alt_allele END AS alt_allele,
@@ -94,26 +94,26 @@ SELECT 'chr' || chromosome || '.dose.vcf.gz' AS file_path, k,
 FROM (SELECT k, chromosome, 10000 + k * 37 AS position, ref_allele, alt_allele, dosage, imputation_quality FROM g_imputed)"""
 
 
-@query("parse_vcf_lines", f"SELECT rsid, chromosome, position, ref_allele, alt_allele, dosage, imputation_quality, error FROM ({_VCF_SQL})")
+@query("parse_vcf_lines", f"SELECT rsid, chromosome, position, ref_allele, alt_allele, dosage, imputation_quality, error FROM ({VCF_SQL})")
 def _(t):
     return vcf.parse_vcf_lines(vcf_lines(t)).drop("value", "file_path")
 
 
 @query("vcf_file_report", f"""
 SELECT file_path, count(*) AS data_rows, count(error) AS error_rows,
-  count(*) FILTER (WHERE error IS NULL AND imputation_quality < 0.3) AS skipped_rows FROM ({_VCF_SQL}) GROUP BY 1""")
+  count(*) FILTER (WHERE error IS NULL AND imputation_quality < 0.3) AS skipped_rows FROM ({VCF_SQL}) GROUP BY 1""")
 def _(t):
     return vcf.file_report(vcf.parse_vcf_lines(vcf_lines(t)), 0.3)
 
 
-@query("vcf_rejected_lines", f"SELECT error, count(*) AS lines FROM ({_VCF_SQL}) WHERE error IS NOT NULL GROUP BY 1")
+@query("vcf_rejected_lines", f"SELECT error, count(*) AS lines FROM ({VCF_SQL}) WHERE error IS NOT NULL GROUP BY 1")
 def _(t):
     parsed = vcf.parse_vcf_lines(vcf_lines(t))
     return parsed.filter(F.col("error").isNotNull()).groupBy("error").agg(F.count("*").alias("lines"))
 
 
 @query("vcf_min_quality", f"""
-SELECT rsid, chromosome, position, dosage, imputation_quality FROM ({_VCF_SQL})
+SELECT rsid, chromosome, position, dosage, imputation_quality FROM ({VCF_SQL})
 WHERE error IS NULL AND (imputation_quality IS NULL OR imputation_quality >= 0.8)""")
 def _(t):
     parsed = vcf.parse_vcf_lines(vcf_lines(t)).filter(F.col("error").isNull())
@@ -122,7 +122,7 @@ def _(t):
 
 @query("vcf_quality_tags", f"""
 SELECT rsid, CASE WHEN k % 29 = 0 THEN CAST(k * 613 % 1000 AS DOUBLE) / 1000 ELSE imputation_quality END AS imputation_quality
-FROM ({_VCF_SQL}) WHERE error IS NULL""")
+FROM ({VCF_SQL}) WHERE error IS NULL""")
 def _(t):
     return vcf.parse_vcf_lines(vcf_lines(t), ("R2", "DR2")).filter(F.col("error").isNull()).select("rsid", "imputation_quality")
 
@@ -132,7 +132,7 @@ SELECT (SELECT count(*) FROM lineitem WHERE l_linenumber % 2 = 0 AND l_orderkey
   round(avg(dosage) FILTER (WHERE error IS NULL), 6) AS mean_dosage, count(imputation_quality) FILTER (WHERE error IS NULL) AS quality_rows,
   round(avg(imputation_quality) FILTER (WHERE error IS NULL), 6) AS mean_quality, min(imputation_quality) FILTER (WHERE error IS NULL) AS min_quality,
   max(imputation_quality) FILTER (WHERE error IS NULL) AS max_quality,
-  round(CAST(count(imputation_quality) FILTER (WHERE error IS NULL) AS DOUBLE) / count(*), 6) AS quality_share FROM ({_VCF_SQL})""")
+  round(CAST(count(imputation_quality) FILTER (WHERE error IS NULL) AS DOUBLE) / count(*), 6) AS quality_share FROM ({VCF_SQL})""")
 def _(t):
     return rounded(vcf.profile_vcf_lines(vcf_lines(t)), "mean_dosage", "mean_quality", "quality_share")
 

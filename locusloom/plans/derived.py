@@ -28,8 +28,12 @@ class Tables:
         return self._read[name]
 
     def spread(self, name: str, columns: list[str]) -> DataFrame:
-        """A few narrow columns of a table whose rows grow about fiftyfold later, dealt out before they grow."""
-        return self.base(name).select(*columns).repartition(*columns)
+        """A few narrow columns of a table whose rows grow about fiftyfold later, dealt out before they grow.
+
+        With a number, as adaptive execution would else join the short rows into one partition.
+        """
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.base(name).select(*columns).repartition(parts, *columns)
 
     # -- sites -------------------------------------------------------------------------
 

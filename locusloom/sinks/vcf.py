@@ -11,6 +11,7 @@ from locusloom.functions.genotype import genotype_dosage_text
 from locusloom.functions.numeric import fixed_decimals
 from locusloom.schemas import AUTOSOMES, PANEL_SAMPLES, USER_SAMPLE
 from locusloom.session import stage
+from locusloom.sinks.blocks import write_block_text
 
 # Header lines.
 _MULTI_HEADER = [
@@ -88,7 +89,7 @@ _ORDER = ["chromosome", "position", "ref_allele", "alt_allele"]
 def _ordered_lines(
     rows: DataFrame, to_lines: Callable[[DataFrame], DataFrame], header: list[str], chromosomes: list[int], staged: bool,
 ) -> DataFrame:
-    """chromosome and ``value`` of all lines in order, each chromosome's header before its lines.
+    """chromosome, position and ``value`` of all lines in order, each chromosome's header (below position 0) before its lines.
 
     Header lines join the rows before they are sorted, as rows with a place below all others;
     the rows themselves are sorted as they are and turned into text afterwards, because text
@@ -99,7 +100,7 @@ def _ordered_lines(
     top = [(c, i - len(header), "", "", text) for c in chromosomes for i, text in enumerate(header)]
     head = spark.createDataFrame(top, "chromosome int, position bigint, ref_allele string, alt_allele string, header string")
     ordered = rows.unionByName(head, allowMissingColumns=True).orderBy(*_ORDER)
-    return to_lines(ordered).select("chromosome", F.coalesce("header", "value").alias("value"))
+    return to_lines(ordered).select("chromosome", "position", F.coalesce("header", "value").alias("value"))
 
 
 def write_merged_vcf(
@@ -121,4 +122,11 @@ def write_vcf_per_chromosome(
 ) -> None:
     """One folder ``chromosome=N`` per autosome, each a VCF of ordered text parts."""
     lines = _ordered_lines(rows, to_lines, header, list(AUTOSOMES), staged)
-    lines.write.mode("overwrite").option("compression", compression).partitionBy("chromosome").text(path)
+    lines.drop("position").write.mode("overwrite").option("compression", compression).partitionBy("chromosome").text(path)
+
+
+def write_block_vcf(
+    rows: DataFrame, path: str, header: list[str], to_lines: Callable[[DataFrame], DataFrame] = multi_sample_lines, staged: bool = False,
+) -> None:
+    """One VCF as ordered block-compressed parts with a linear index, see ``sinks.blocks``."""
+    write_block_text(_ordered_lines(rows, to_lines, header, [0], staged), path)

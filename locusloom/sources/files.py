@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ LIBRARY_CAP = 500 * MB
 EXTENSIONS = ["txt", "vcf.gz", "vcf.gz.tbi", "pgs"]
 GZIP_MAGIC = "1F8B08"
 _HEAD_BYTES = 65536
+#: Bytes of a file that are hashed at a time.
+HASH_PIECE = 4 * MB
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -147,13 +152,36 @@ def ingest_manifest(spark: SparkSession, path: str, strict: bool = False) -> Dat
     return body.select(columns).unionByName(refused.select(columns))
 
 
+def hashed_files(files: DataFrame) -> DataFrame:
+    """Add ``hash_sha256`` to a listing with ``path``: each file is streamed through one task in pieces, whatever its size."""
+    kept = [c for c in files.columns if c != "hash_sha256"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([file_sha256(p) for p in paths], type=pa.string())], names=[*batch.schema.names, "hash_sha256"])
+
+    spread = files.select(*kept).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return spread.mapInArrow(work, T.StructType([*spread.schema.fields, T.StructField("hash_sha256", T.StringType())]))
+
+
+def file_sha256(path: str, piece: int = HASH_PIECE) -> str:
+    from locusloom.sources.blocks import file_system
+
+    system, name = file_system(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(name, compression=None) as file:
+        while data := file.read(piece):
+            digest.update(data)
+    return digest.hexdigest()
+
+
 def output_register(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, file_type, length and SHA-256 of written files.
+    """file_name, file_type, length and SHA-256 of written files, of any size: files are streamed, never held whole.
 
-    Every file is hashed. A file beyond the 2 GB that one binary value can hold stops the read with an error,
-    rather than being listed without its hash: write such tables with ``maxRecordsPerFile``.
+    Empty files are not listed, as Spark's reader leaves them out.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.when(F.col("path").contains("vcf"), F.lit("vcf")).otherwise(F.lit("result"))
-    columns = ["path", base_name("path").alias("file_name"), kind.alias("file_type"), "length"]
-    return listed.select(*columns, F.sha2("content", 256).alias("hash_sha256"))
+    return hashed_files(listed.select("path", base_name("path").alias("file_name"), kind.alias("file_type"), "length"))

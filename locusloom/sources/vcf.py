@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from locusloom.functions.genotype import vcf_chromosome
 from locusloom.functions.numeric import NUMBER_PATTERN, parse_double, parse_position
 from locusloom.schemas import IMPUTED_ROWS
 from locusloom.session import stage
+from locusloom.sources.blocks import read_block_lines
 from locusloom.sources.lines import LINE_ORDER, read_lines
 
 DEFAULT_MAX_ERRORS = 1000
@@ -108,14 +110,15 @@ class VcfRead:
 def read_vcf(
     spark: SparkSession, paths: str | list[str], min_quality: float | None = None,
     max_errors: int = DEFAULT_MAX_ERRORS, quality_tags: tuple[str, ...] = ("R2",),
+    lines: Callable[[SparkSession, str | list[str]], DataFrame] = read_block_lines,
 ) -> VcfRead:
     """Parse once into a table in the shared folder, check the budget there, then serve from it.
 
-    Gzip text cannot be split, so the table also turns one task per file into evenly
-    splittable Parquet for everything that follows.
+    Block-compressed and plain text is read by many tasks a file. Plain gzip can't be split: its
+    one task a file ends in the staged table, which is.
     """
     columns = [*IMPUTED_ROWS.fieldNames(), *LINE_ORDER]
-    parsed = parse_vcf_lines(read_lines(spark, paths), quality_tags)
+    parsed = parse_vcf_lines(lines(spark, paths), quality_tags)
     text = F.when(F.col("error").isNotNull(), F.col("value")).alias("value")
     staged = stage(parsed.select(*columns, "error", text), "imputed")
     report = file_report(staged, min_quality)

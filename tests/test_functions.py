@@ -153,3 +153,8 @@ def test_heterozygous_and_display(spark):
     got = values(spark, [("AG", "A", "G"), ("GG", "A", "G"), ("--", "A", "G"), ("DI", "A", "G")], "g string, r string, a string",
                  h=G.is_heterozygous("g"), d=G.display_call("g", "r", "a"), n=F.length("g"))
     assert [g[:2] for g in got] == [(True, "0/1"), (False, "1/1"), (None, "./."), (None, "./.")]
+
+
+def test_fixed_decimals_of_odd_numbers(spark):
+    got = values(spark, [(x,) for x in (float("nan"), float("inf"), -1e300, None, -0.0, 2.0 ** 62)], "x double", a=N.fixed_decimals("x", 3))
+    assert [r[0] for r in got] == ["NaN", "inf", "-inf", None, "0.000", "4611686018427387904.000"]
