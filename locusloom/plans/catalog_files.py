@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.operators.merge import merge_single_sample
+from locusloom.operators.merge import WORKER_RULES, merge_single_sample
 from locusloom.operators.stats import run_statistics
 from locusloom.plans.catalog_sources import VCF_SQL, vcf_lines
 from locusloom.plans.derived import CALL_ORDER
@@ -146,3 +146,16 @@ def _(t):
     file = F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file")
     lines = t.spark.read.text(path).groupBy(F.col("file").cast("bigint").alias("file")).agg(F.count("*").alias("lines"))
     return output_register(t.spark, path).select(file, "length", "hash_sha256").join(lines, "file").select("file", "lines", "length", "hash_sha256")
+
+
+_RUN = "chromosome, position, ref_allele, alt_allele, user_genotype, user_dosage, user_source"
+
+
+@query("variants_of_two_runs", f"""
+SELECT {_RUN} FROM g_merged_worker WHERE ref_allele IN ('A', 'C') UNION ALL SELECT {_RUN} FROM g_merged WHERE ref_allele NOT IN ('A', 'C')""")
+def _(t):
+    path = staged_path(t.spark, "relational")
+    first, second = merged(t), merged(t, WORKER_RULES).filter(F.col("ref_allele").isin("A", "C"))
+    tables.upsert_variants(first, path)
+    tables.upsert_variants(second, path)  # a second run over half of the keys, in every bin
+    return tables.variant_table(t.spark, path, first.schema).read().select(*_RUN.split(", "))

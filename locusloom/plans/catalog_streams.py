@@ -73,3 +73,22 @@ def _(t):
     feed.start(f"{folder}/arriving", f"{folder}/progress").awaitTermination()
     return feed.merged().groupBy("chromosome", "user_source").agg(
         F.count("*").alias("variants"), F.round(F.sum("user_dosage"), 6).alias("dosage_sum"))
+
+
+@query("stream_merge_of_raw_batches", """
+SELECT chromosome, position, ref_allele, alt_allele, user_genotype, user_dosage, user_source FROM g_merged""")
+def _(t):
+    """Raw rows, repeated keys and all, arrive in three batches in order of date; the last line of a site counts."""
+    spark, folder = t.spark, staged_path(t.spark, "raw-feed")
+    feed = ChromosomeFeed(spark, t.panel(), last_wins(autosomal(t.calls()), ["chromosome", "position"], CALL_ORDER, ["rsid", "genotype"]), f"{folder}/table")
+    feed.initialise()
+    info = F.coalesce(F.concat(F.lit("R2="), F.col("imputation_quality").cast("string")), F.lit("."))
+    line = F.concat_ws(
+        "\t", F.col("chromosome").cast("string"), F.col("position").cast("string"), F.lit("."), "ref_allele", "alt_allele",
+        F.lit("."), F.lit("PASS"), info, F.lit("GT:DS"), F.concat(F.lit("0|0:"), F.col("dosage").cast("string")))
+    rows = t.imputed().orderBy(*CALL_ORDER, "dosage")  # part files in name order are lines in order
+    year = F.year("l_shipdate")
+    for n, batch in enumerate((year < 1994, (year >= 1994) & (year < 1996), year >= 1996)):
+        rows.filter(batch).select(line.alias("value")).write.text(f"{folder}/arriving/{n}")
+        feed.start(f"{folder}/arriving/*", f"{folder}/progress").awaitTermination()
+    return feed.merged().select(*SITE_KEY, "user_genotype", "user_dosage", "user_source")

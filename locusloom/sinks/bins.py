@@ -23,7 +23,12 @@ _MANIFEST = "chromosome int, bin bigint, version bigint"
 
 
 def bin_of(position: str = "position", width: int = WIDTH) -> Column:
-    return F.floor(F.col(position) / F.lit(width)).cast("bigint")
+    return F.expr(f"{position} div {width}")
+
+
+def _placed(column: Column, kind: str) -> Column:
+    """The column; rows without it have no bin and end the write with an error."""
+    return F.coalesce(column, F.raise_error(F.lit("a row without chromosome or position can't be stored")).cast(kind))
 
 
 class BinTable:
@@ -33,7 +38,7 @@ class BinTable:
         if not {"chromosome", "position"} <= set(keys):
             raise ValueError("keys must hold chromosome and position")
         self.spark, self.path, self.schema, self.keys, self.width = spark, path.rstrip("/"), schema, keys, width
-        self._stored = T.StructType([f for f in schema if f.name != "chromosome"]).add("version", "bigint").add("chromosome", "int").add("bin", "bigint")
+        self._stored = T.StructType([f for f in schema if f.name != "chromosome"]).add("version", "long").add("chromosome", "integer").add("bin", "long")
 
     # -- versions ------------------------------------------------------------------------
 
@@ -82,7 +87,8 @@ class BinTable:
         before = self.version(version)
         version = (-1 if before is None else before) + 1 if version is None else version
         order = [c for c in self.keys if c not in ("chromosome", "position")]
-        placed = rows.select(*self.schema.fieldNames(), bin_of(width=self.width).alias("bin"))
+        placed = rows.select(*self.schema.fieldNames(), _placed(bin_of(width=self.width), "bigint").alias("bin")).withColumn(
+            "chromosome", _placed(F.col("chromosome"), "int"))
         # Ranges down to the whole key split a bin, and a place, that holds very many rows.
         dealt = placed.repartitionByRange("chromosome", "bin", "position", *order).sortWithinPartitions("chromosome", "bin", "position", *order)
         dealt.write.mode("overwrite").partitionBy(*BIN).parquet(f"{self.path}/data/version={version}")
@@ -110,16 +116,18 @@ class BinTable:
         return self.replace(stage(merged, "upsert-merged"), bins, version), bins
 
     def forget(self, keep: int = 2) -> None:
-        """Remove manifests but for the newest ``keep`` and data folders that none of those names."""
+        """Remove manifests but for the newest ``keep``, and data folders that none of those names."""
         versions = self.versions()
         kept = versions[-keep:]
-        held = set()
+        held = set(kept)
         for v in kept:
-            held |= {r["version"] for r in self.manifest(v).select("version").distinct().collect()}  # at most one per version
+            held |= {r["version"] for r in self.manifest(v).select("version").distinct().collect()}  # at most one per bin
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         system = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for v in versions:
             if v not in kept:
                 system.delete(path(f"{self.path}/manifest/version={v}"), True)
-                if v not in held:
-                    system.delete(path(f"{self.path}/data/version={v}"), True)
+        for status in system.listStatus(path(f"{self.path}/data")) if kept else []:
+            number = int(status.getPath().getName().split("=")[1])
+            if number < kept[0] and number not in held:
+                system.delete(status.getPath(), True)
