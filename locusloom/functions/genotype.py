@@ -141,6 +141,12 @@ def passes_quality(quality: ColumnOrName, min_r2: float | None) -> Column:
     return q.isNull() | ((q >= F.lit(float(min_r2))) & ~F.isnan(q))  # NaN sorts above every number
 
 
+def is_identifier(rsid: ColumnOrName) -> Column:
+    """A variant's name that may be matched: not NULL, empty or the dot that stands for none."""
+    r = _c(rsid)
+    return r.isNotNull() & ~F.trim(r).isin("", ".")
+
+
 def is_heterozygous(genotype: ColumnOrName) -> Column:
     """Two different letters of ACGT; NULL when the call has anything else."""
     g = _c(genotype)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,29 +43,35 @@ def fixed_decimals(value: ColumnOrName, places: int) -> Column:
     scale = 10 ** places
     v = _c(value)
     plain = F.abs(v) < F.lit(2.0 ** 63)
+
+    def digits(x: Column) -> Column:
+        """Text of a number from 0 on. Every step is bound to a name of its own, so that none is written out again."""
+        return _let(x - F.floor(x), lambda part: _let(part * F.lit(134217729.0), lambda big: _let(big - (big - part), lambda head: _let(
+            head * F.lit(float(scale)), lambda hi: _let((part - head) * F.lit(float(scale)), lambda lo: _let(
+                _rounded(hi, lo), lambda n: F.concat(
+                    (x.cast("bigint") + F.when(n == scale, F.lit(1)).otherwise(F.lit(0))).cast("string"), F.lit("."),
+                    F.lpad((n % scale).cast("string"), places, "0"))))))))
+
     x = F.abs(F.when(plain, v).otherwise(F.when(v.isNotNull(), F.lit(0.0))))
-    part = x - F.floor(x)
-    big = part * F.lit(134217729.0)
-    head = big - (big - part)
-    hi, lo = head * F.lit(float(scale)), (part - head) * F.lit(float(scale))
-    base = F.rint(hi)
-    gap = hi - base
-    up, down = F.lit(0.5) - gap, F.lit(-0.5) - gap
-    odd = (base % 2) == 1
-    n = (
-        base
-        + F.when((lo > up) | ((lo == up) & odd), F.lit(1.0)).otherwise(F.lit(0.0))
-        - F.when((lo < down) | ((lo == down) & odd), F.lit(1.0)).otherwise(F.lit(0.0))
-    ).cast("bigint")
-    text = F.concat(
-        (x.cast("bigint") + F.when(n == scale, F.lit(1)).otherwise(F.lit(0))).cast("string"), F.lit("."),
-        F.lpad((n % scale).cast("string"), places, "0"),
-    )
-    whole = F.concat(x.cast("bigint").cast("string"), F.lit("." + "0" * places))
-    number = F.when(F.isnan(v), F.lit("NaN")).when(~plain, F.lit("inf")).when(x == F.floor(x), whole).otherwise(text)
+    number = F.when(F.isnan(v), F.lit("NaN")).when(~plain, F.lit("inf")).otherwise(_let(x, digits))
     return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), number)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rounded(hi: Column, lo: Column) -> Column:
+    """hi + lo to the nearest whole number, ties to even; lo is far below 1."""
+    def near(base: Column) -> Column:
+        up, down, odd = F.lit(0.5) - (hi - base), F.lit(-0.5) - (hi - base), (base % 2) == 1
+        step = F.when((lo > up) | ((lo == up) & odd), F.lit(1.0)).when((lo < down) | ((lo == down) & odd), F.lit(-1.0)).otherwise(F.lit(0.0))
+        return (base + step).cast("bigint")
+
+    return _let(F.rint(hi), near)
+
+
 def normal_cdf(z: ColumnOrName) -> Column:
     """Normal distribution function, Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
     v = _c(z)

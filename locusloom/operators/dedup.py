@@ -17,8 +17,10 @@ def apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     join then reads them without a shuffle of its own. That is the wrong saving when the other
     side has hot keys: Spark splits a skewed partition only where both sides come straight from
     a shuffle. Grouped by one more, derived key the (short) rows are shuffled once more.
+
+    The hash comes first: where an aggregate sorts, rows are then told apart by one number.
     """
-    return df.withColumn("_apart", F.xxhash64(*keys)), [*keys, "_apart"]
+    return df.withColumn("_apart", F.xxhash64(*keys)), ["_apart", *keys]
 
 
 def last_wins(

@@ -19,10 +19,11 @@ from locusloom.functions.genotype import (
     dosage_genotype,
     genotype_text_dosage,
     imputed_source,
+    is_identifier,
     panel_source,
     passes_quality,
 )
-from locusloom.operators.dedup import apart, last_wins
+from locusloom.operators.dedup import last_wins
 from locusloom.schemas import (
     GENOTYPED,
     IMPUTED,
@@ -107,26 +108,17 @@ def unique_imputed(imputed: DataFrame, keys: list[str], order: list[str] | None
     return last_wins(i, keys, order, ["imputed_dosage", "imputed_r2"], for_join=True)
 
 
-def _evidence_by_letters(calls: DataFrame, imputed: DataFrame, call_order, imputed_order) -> DataFrame:
-    """Calls and imputed rows share the site key here: one aggregate yields the last of each."""
-    call_order, imputed_order = _order(calls, call_order), _order(imputed, imputed_order)
-    c = autosomal(calls)
+def unique_calls_by_letters(calls: DataFrame, order: list[str] | None = None, place: list[str] | None = None) -> DataFrame:
+    """Autosomal calls with their two letters as REF and ALT, last one per site, as keys and ``call_genotype``."""
+    order, place = _order(calls, order), place or ["chromosome", "position"]
 
     def letter(i: int) -> Column:
-        return F.when(F.length("genotype") >= i, F.substring("genotype", i, 1)).otherwise(F.lit("-"))
+        # Never NULL, which spares a join the check.
+        return F.coalesce(F.when(F.length("genotype") >= i, F.substring("genotype", i, 1)), F.lit("-"))
 
-    call_rows = c.select(
-        "chromosome", "position", letter(1).alias("ref_allele"), letter(2).alias("alt_allele"),
-        F.struct(*call_order, F.col("genotype")).alias("_call"),
-    )
-    imputed_rows = imputed.select(*SITE_KEY, F.struct(*imputed_order, "dosage", "imputation_quality").alias("_imputed"))
-    both = call_rows.unionByName(imputed_rows, allowMissingColumns=True)
-    both, by = apart(both, SITE_KEY)
-    return both.groupBy(*by).agg(F.max("_call").alias("_call"), F.max("_imputed").alias("_imputed")).select(
-        *SITE_KEY, F.col("_call.genotype").alias("call_genotype"),
-        F.col("_imputed.dosage").alias("imputed_dosage"),
-        F.col("_imputed.imputation_quality").alias("imputed_r2"),
-    )
+    c = autosomal(calls).select(
+        *place, letter(1).alias("ref_allele"), letter(2).alias("alt_allele"), F.col("genotype").alias("call_genotype"), *order)
+    return last_wins(c, [*place, "ref_allele", "alt_allele"], order, ["call_genotype"], for_join=True)
 
 
 def join_user_data(
@@ -144,15 +136,17 @@ def join_user_data(
         # Rows without an identifier get a key of their own: they match nothing and do not
         # all land in one partition, as NULL keys would.
         sites = sites.withColumn("_id", F.coalesce(
-            "rsid", F.concat_ws(":", F.lit("\u0001"), "chromosome", "position", "ref_allele", "alt_allele")))
-        c = unique_calls(calls.filter(F.col("rsid").isNotNull()), ["rsid"], call_order)
-        i = unique_imputed(imputed.filter(F.col("rsid").isNotNull()), ["rsid"], imputed_order)
+            F.when(is_identifier("rsid"), F.col("rsid")),
+            F.concat_ws(":", F.lit("\u0001"), "chromosome", "position", "ref_allele", "alt_allele")))
+        c = unique_calls(calls.filter(is_identifier("rsid")), ["rsid"], call_order)
+        i = unique_imputed(imputed.filter(is_identifier("rsid")), ["rsid"], imputed_order)
         return (
             sites.join(c.withColumnRenamed("rsid", "_id"), "_id", "left")
             .join(i.withColumnRenamed("rsid", "_id"), "_id", "left").drop("_id")
         )
     if rules.call_match == "letters":
-        return sites.join(_evidence_by_letters(calls, imputed, call_order, imputed_order), SITE_KEY, "left")
+        c = unique_calls_by_letters(calls, call_order)
+        return sites.join(c, SITE_KEY, "left").join(unique_imputed(imputed, SITE_KEY, imputed_order), SITE_KEY, "left")
     if rules.unique_inputs:
         c = autosomal(calls).select("chromosome", "position", F.col("genotype").alias("call_genotype"))
         i = imputed.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.genotype import display_call, is_heterozygous, is_snp, passes_quality
+from locusloom.functions.genotype import is_identifier, display_call, is_heterozygous, is_snp, passes_quality
 from locusloom.operators.dedup import apart, best_quality
 from locusloom.schemas import GENOTYPED
 
@@ -81,7 +81,7 @@ def annotate_calls(calls: DataFrame, panel: DataFrame) -> DataFrame:
 
     Of several panel rows with one identifier the first by place is used.
     """
-    rows, by = apart(panel.filter(F.col("rsid").isNotNull()), ["rsid"])
+    rows, by = apart(panel.filter(is_identifier("rsid")), ["rsid"])
     sites = rows.groupBy(*by).agg(
         F.min(F.struct("chromosome", "position", "ref_allele", "alt_allele", "minor_allele_freq")).alias("_s"))
     sites = sites.select(

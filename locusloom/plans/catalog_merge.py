@@ -18,6 +18,7 @@ from locusloom.operators.merge import (
     to_long,
     with_samples,
 )
+from locusloom.operators.panel_store import merge_stored, store_panel
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import merged, query, r6, rounded
 from locusloom.schemas import SITE_KEY
@@ -45,6 +46,11 @@ def _(t):
     return merged(t, WORKER_RULES).drop("sample_genotypes")
 
 
+@query("merge_stored_panel", f"SELECT {_COMPACT}, cells FROM g_merged {_CELLS}")
+def _(t):
+    return _flat(merge_stored(store_panel(t.panel()), t.calls(), t.imputed(), DEFAULT_RULES, CALL_ORDER, CALL_ORDER))
+
+
 @query("merge_library_rules", f"SELECT {_COMPACT} FROM g_merged_library")
 def _(t):
     return merged(t, LIBRARY_RULES).drop("sample_genotypes")

@@ -57,20 +57,35 @@ def _quality_text(quality: str) -> Column:
     return F.coalesce(fixed_decimals(quality, 3), F.lit("."))
 
 
+def _panel_cells(end: Column) -> tuple[Column, Column]:
+    """The joined genotypes (for ``_joined``) and, from them, all panel cells as text. ``end`` follows each dosage.
+
+    Where a row has the four usual phased genotypes only, as nearly all have, they are joined and each is replaced by
+    itself with its dosage, in generated code; other rows are made cell by cell.
+    """
+    usual = {"0|0": 0, "0|1": 1, "1|0": 1, "1|1": 2}
+    joined = F.concat(F.array_join("sample_genotypes", "\t"), F.lit("\t"))
+    text = F.col("_joined")
+    for genotype, n in usual.items():
+        text = F.replace(text, F.lit(f"{genotype}\t"), F.concat(F.lit(f"{genotype}:{n}.000"), end, F.lit("\t")))
+    cells = F.transform("sample_genotypes", lambda g: F.concat(g, F.lit(":"), genotype_dosage_text(g)))
+    general = F.concat(F.call_function("array_join", cells, F.concat(end, F.lit("\t"))), end)
+    plain = F.col("_joined").rlike(r"^([01]\|[01]\t)+$")
+    return joined, F.when(plain, F.rtrim(text, F.lit("\t"))).otherwise(general)
+
+
 def multi_sample_lines(merged: DataFrame) -> DataFrame:
     """Place, alleles and ``value``: one VCF line per variant, GT:DS:IQ for 51 samples.
 
-    All panel samples of a row share their quality, so it is formatted once and used as the
-    separator between cells.
+    All panel samples of a row share their quality, so it is formatted once a row.
     """
     items = F.concat_ws(
         ";", F.concat(F.lit("AF="), fixed_decimals("allele_freq", 4)),
         F.concat(F.lit("MAF="), fixed_decimals("minor_allele_freq", 4)), F.when(F.col("is_typed"), F.lit("TYPED")))
     info = F.when(items == "", F.lit(".")).otherwise(items)
     end = F.concat(F.lit(":"), _quality_text("panel_quality"))
-    cells = F.transform("sample_genotypes", lambda g: F.concat(g, F.lit(":"), genotype_dosage_text(g)))
-    rows = merged.withColumn("_end", end)
-    panel = F.concat(F.call_function("array_join", cells, F.concat("_end", F.lit("\t"))), F.col("_end"))
+    joined, panel = _panel_cells(F.col("_end"))
+    rows = merged.withColumns({"_end": end, "_joined": joined})
     user = F.concat_ws(":", "user_genotype", fixed_decimals("user_dosage", 3), _quality_text("user_quality"))
     return rows.select(*_carried(rows), F.concat_ws("\t", *_site(info), F.lit("GT:DS:IQ"), panel, user).alias("value"))
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from locusloom.operators import merge as M
 from locusloom.operators.dedup import best_quality, last_wins
+from locusloom.operators.panel_store import merge_stored, store_panel
 from locusloom.plans.derived import CALL_ORDER, Tables
 
 PANEL = "chromosome int, position bigint, rsid string, ref_allele string, alt_allele string, allele_freq double, minor_allele_freq double, imputation_quality double, is_typed boolean, sample_genotypes array<string>"
@@ -176,3 +177,35 @@ def test_wide_rows_shuffle_once_without_broadcast(spark, sf_dir):
     t = Tables(spark, sf_dir)
     again = M.merge_multi_sample(t.panel(), t.calls(), t.imputed(), M.DEFAULT_RULES, CALL_ORDER, CALL_ORDER)
     assert sorted(shuffled) == sorted(again.groupBy("user_source").count().collect())
+
+
+@pytest.mark.parametrize("rules", [M.DEFAULT_RULES, M.WORKER_RULES, M.LIBRARY_RULES])
+def test_stored_panel_is_not_shuffled(spark, sf_dir, rules):
+    t = Tables(spark, sf_dir)
+    hot = panel_rows(spark, [(1, 7, f"hot{i}", "A", "G", None) for i in range(300)])
+    panel = t.panel().unionByName(hot.select(*[c for c in hot.columns if c in t.panel().columns]), allowMissingColumns=True)
+    calls = t.calls().unionByName(call_rows(spark, [("1", 7, "AG")]).drop("file_path", "split_start", "row_id"), allowMissingColumns=True)
+    store = store_panel(panel, hot=50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = merge_stored(store, calls, t.imputed(), rules, CALL_ORDER, CALL_ORDER)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        exchanged = [line for line in plan.splitlines() if "Exchange" in line and "sample_genotypes" in line]
+        assert "Bucketed: true" in plan and not exchanged
+        above = plan[:plan.index("Bucketed: true")].rsplit("SortMergeJoin", 1)[1]  # from the first join down to the panel's scan
+        assert "Exchange" not in above
+        expected = M.merge_multi_sample(panel, calls, t.imputed(), rules, CALL_ORDER, CALL_ORDER)
+        assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+        parts = spark.table(store.table).filter("chromosome = 1 AND position = 7").groupBy("part").count().collect()
+        assert len(parts) == 6 and max(r["count"] for r in parts) < 100
+        assert store.panel().exceptAll(panel).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
+        store.drop()
+
+
+def test_dots_are_no_identifiers(spark):
+    panel = panel_rows(spark, [(1, 1, ".", "A", "G", None), (1, 2, "", "A", "G", None), (1, 3, None, "A", "G", None), (1, 4, "rs4", "A", "G", None)])
+    calls = spark.createDataFrame([(i, "1", 90, "GG", "f", 0, n) for n, i in enumerate([".", "", None, "rs4"])], CALLS)
+    got = users(M.merge_multi_sample(panel, calls, spark.createDataFrame([], IMPUTED), M.DEFAULT_RULES.with_(key="rsid")))
+    assert [got[p][2] for p in (1, 2, 3, 4)] == ["Imputed"] * 3 + ["Genotyped"]

@@ -64,6 +64,7 @@ def test_exact_gate_over_batches(spark, tmp_path):
     rows = [{"id": str(i), "job_id": "hot" if i % 3 else "other", "attempted_at": (t0 + dt.timedelta(seconds=round(t, 6))).isoformat()} for i, t in enumerate(times)]
     for n in range(3):
         put_json(str(tmp_path / "in"), f"{n}.json", rows[n * 40:(n + 1) * 40])
+        os.utime(tmp_path / f"in/{n}.json", (1.7e9 + n, 1.7e9 + n))  # files are taken in order of age
     stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     got = {r.id: (r.prior, r.rate_limited) for r in drain(monitors.exact_gate(stream), str(tmp_path)).collect()}
     seen = [(r["id"], r["job_id"], dt.datetime.fromisoformat(r["attempted_at"])) for r in rows]
