@@ -2,19 +2,19 @@
 
 Folding lower-cases, undoes compatibility forms, homoglyphs and digit substitutions, drops zero-width
 characters and makes one space of everything that is no letter or digit. A pattern is the beginning of a
-word; an exception is a whole word or a pair of words that holds a pattern and is harmless. All of them are
+word, or a whole word of two or three letters; an exception is a whole word or a pair of words that holds a pattern and is harmless. All of them are
 found in one pass of the automaton. A text's hits, weighted and divided by its length in words, go through a
 logistic curve.
 
 The lexicon is learned from labelled texts: the rates of word beginnings per word in toxic and in clean texts
 are summed over the cluster, and those that are many times as frequent in toxic texts become patterns. Whole words
 that begin with a pattern, then pairs of neighbouring words with a pattern in a word that is no exception, become
-exceptions where they are not much more frequent in toxic texts. The sample of labelled rows is bounded by
-``SAMPLE_ROWS``, the lexicon by ``PATTERNS`` and by ``EXCEPTIONS`` of words and of pairs each; scoring has no bound
-and reads whole texts.
+exceptions where they are not much more frequent in toxic texts. Of beginnings of one another the strongest stays. The sample of
+labelled rows is bounded by ``SAMPLE_ROWS``, and so are the words that can be learned; the lexicon has no bound of its
+own, and scoring reads whole texts.
 
 Defined results: null and empty texts have no hits and get the curve's value for none. Without labelled texts of
-both kinds every score is 0. Repeated labels count once, the greatest. Labels, language and source are never read
+both kinds every score is 0. Repeated labels count once, the greatest, and so do equal texts in learning. Labels, language and source are never read
 in scoring.
 """
 
@@ -36,9 +36,8 @@ from locusloom.llm.common import small_batches, stage
 
 #: Labelled rows that the lexicon and the curve are fitted on at the most, the least by hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Patterns, and exceptions of one word and of two each, kept, the strongest first; word beginnings of these lengths are looked at.
-PATTERNS, EXCEPTIONS = 400, 400
-SHORTEST, LONGEST = 4, 10
+#: Word beginnings of these lengths are looked at, and whole words from ``SHORT`` letters on that are shorter than them.
+SHORT, SHORTEST, LONGEST = 2, 4, 10
 #: A pattern's rate in toxic texts is at least this many times that in clean ones; an exception's less than the other.
 RATIO, HARMLESS_RATIO = 8.0, 2.0
 #: The share of toxic texts with a pattern is at least this many times that of clean ones: a burst in one text isn't enough.
@@ -150,14 +149,31 @@ def _beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "toxic_texts": [texts[1][k] for k in keys], "clean_texts": [texts[0][k] for k in keys]}).astype(dict.fromkeys(_COUNTS, "int64"))
 
 
-def _pairs(patterns: tuple[str, ...], exceptions: frozenset[str]):
+def _begins(word: str, patterns: frozenset[str]) -> bool:
+    return any(word[:k] in patterns for k in range(SHORTEST, LONGEST + 1)) or word + " " in patterns
+
+
+def _folded_beginnings(found: list[tuple[str, float, float]]) -> dict[str, float]:
+    """Weights of the patterns, from (beginning, ratio, strength): the strongest first; one that a stronger one begins, or
+    that begins a stronger one, adds nothing."""
+    chosen: dict[str, float] = {}
+    begun: set[str] = set()  # all beginnings of those chosen
+    for part, ratio, _ in sorted(found, key=lambda r: (-r[2], -len(r[0]), r[0])):
+        own = [part[:k] for k in range(1, len(part) + 1)]
+        if part not in begun and not any(b in chosen for b in own):
+            chosen[part] = math.log(ratio)
+            begun.update(own)
+    return chosen
+
+
+def _pairs(patterns: frozenset[str], exceptions: frozenset[str]):
     """Occurrences by label of pairs of neighbouring words that hold a pattern, other than in a harmless word."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 words = folded(text).split()
-                hit = {w for w in set(words) if w not in exceptions and w.startswith(patterns)}
+                hit = {w for w in set(words) if w not in exceptions and _begins(w, patterns)}
                 seen[toxic].update(f"{a} {b}" for a, b in zip(words, words[1:]) if a in hit or b in hit)
             keys = [*seen[1].keys()] + [k for k in seen[0] if k not in seen[1]]
             yield pd.DataFrame({"part": keys, "in_toxic": [seen[1][k] for k in keys], "in_clean": [seen[0][k] for k in keys]}).astype(
@@ -185,7 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     marked = marked.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stage(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    texts = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    # Copies of a text count once, so that one that is copied often makes no patterns of its own words.
+    texts = stage(texts.groupBy(F.xxhash64("text").alias("__same"), "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r for r in texts.groupBy("toxic").agg(
         F.count("*").alias("texts"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).alias("words")).collect()}
     if len(sizes) < 2:
@@ -198,22 +216,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counted = counted.withColumn("ratio", ratio)
     counted = stage(counted.filter(F.col("in_toxic") + F.col("in_clean") >= 3), "beginnings")
     lift = (F.col("toxic_texts") + 0.5) / (toxic_texts + 1) / ((F.col("clean_texts") + 0.5) / (clean_texts + 1))
-    frequent = counted.filter(~F.col("part").endswith(" ")).filter((F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO)).filter(F.col("toxic_texts") >= LEAST_TEXTS)
+    whole = F.col("part").endswith(" ")
+    eligible = ~whole | F.length("part").between(SHORT + 1, SHORTEST)  # short words count whole, with their space
+    frequent = counted.filter(eligible & (F.col("ratio") >= RATIO) & (lift >= TEXT_RATIO) & (F.col("toxic_texts") >= LEAST_TEXTS))
     strength = (F.col("toxic_texts") * F.log("ratio")).alias("strength")
-    found = frequent.select("part", "ratio", strength).orderBy(F.desc("strength"), F.desc(F.length("part")), "part").limit(4 * PATTERNS).collect()
-    chosen: dict[str, float] = {}
-    for r in found:  # the strongest first; one that a stronger one begins, or that begins a stronger one, adds nothing
-        if len(chosen) < PATTERNS and not any(r["part"].startswith(c) or c.startswith(r["part"]) for c in chosen):
-            chosen[r["part"]] = math.log(r["ratio"])
+    chosen = _folded_beginnings([tuple(r) for r in frequent.select("part", "ratio", strength).collect()])  # words of the sample at the most
     exceptions: list[str] = []
     if chosen:
-        begins = F.col("part").rlike(f"^(?:{'|'.join(chosen)})")  # patterns are letters and digits only
-        harmless = counted.filter(F.col("part").endswith(" ")).filter(begins & (F.col("ratio") < HARMLESS_RATIO))
-        exceptions = [r["part"].strip() for r in harmless.orderBy(F.desc("in_clean"), "part").limit(EXCEPTIONS).collect()]
-        pairs = texts.mapInPandas(_pairs(tuple(chosen), frozenset(exceptions)), "part string, in_toxic bigint, in_clean bigint")
+        patterns = F.broadcast(docs.sparkSession.createDataFrame([(p,) for p in chosen], "begin string"))
+        words = counted.filter(whole & (F.col("ratio") < HARMLESS_RATIO) & (F.length("part") > SHORTEST))
+        begins = F.explode(F.array(*[F.substring("part", 1, k) for k in range(SHORTEST, LONGEST + 1)])).alias("begin")
+        harmless = words.select("part", begins).join(patterns, "begin", "left_semi").select("part").distinct()
+        exceptions = sorted(r["part"].strip() for r in harmless.collect())
+        pairs = texts.mapInPandas(_pairs(frozenset(chosen), frozenset(exceptions)), "part string, in_toxic bigint, in_clean bigint")
         pairs = pairs.groupBy("part").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
         harmless = pairs.filter("in_clean > 0 AND in_toxic + in_clean >= 3").filter(ratio < HARMLESS_RATIO)
-        exceptions += [r["part"] for r in harmless.orderBy(F.desc("in_clean"), "part").limit(EXCEPTIONS).collect()]
+        exceptions += sorted(r["part"] for r in harmless.select("part").collect())
     lexicon = Lexicon(chosen, tuple(exceptions))
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
