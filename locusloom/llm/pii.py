@@ -1,16 +1,18 @@
 """Personal data by patterns, checksums and context words, in DataFrame functions only.
 
 Patterns propose spans; validators confirm them: Luhn for card numbers, part values for addresses, digit counts for
-phone numbers, modulo 97 for account numbers (IBAN). Words near a span raise or lower its score; kinds with a weak
-shape of their own (social security numbers) need such a word to pass ``THRESHOLD``. All work runs inside Spark's own
-expressions, on whole texts.
+phone numbers, modulo 97 for account numbers (IBAN). An account number is found by its first four characters; its end
+is the last end of a group of characters, or of the whole run, at which the number is right, so words that follow it don't hide it.
+Words near a span raise or lower its score; kinds with a weak shape of their own (social security numbers, account numbers
+in small letters) need such a word to pass ``THRESHOLD``. All work runs inside Spark's own expressions, on whole texts.
 
 A text's matches of a kind come from ``regexp_extract_all``, their places from the lengths of the gaps that ``split``
 leaves with the same pattern. Repeats are possessive wherever that can't change a match, so a very long run of one
 kind of character takes linear time and no stack.
 
 Defined results: null and empty texts have no spans. Matches of one kind never overlap; those of different kinds may.
-Matches that a validator rejects are dropped and not tried again at a shorter length. Places count code points.
+Matches that a validator rejects are dropped and, but for account numbers, not tried again at a shorter length. Places count
+code points. A very long text is one row, worked on whole.
 """
 
 from __future__ import annotations
@@ -49,11 +51,16 @@ KINDS = (
     Kind("ip", ".", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.7, True, r"\bip\b|address|host|server", "version|release"),
     Kind("card", "", r"[0-9](?:[\x20-]?[0-9]){11,}+", 0.8, True, "card|visa|credit|karte|tarjeta|carte", "isbn|order no"),
     Kind("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, True, "phone|call|tel|mobile|fax", ""),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.8, False, "iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?=[A-Za-z0-9]{11}|\x20[A-Za-z0-9]{4}\x20[A-Za-z0-9]{4}(?![A-Za-z0-9]))", 0.8, False, "iban|account|konto|compte|cuenta|bank"),
     Kind("ssn", "-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, False, r"ssn|social security", ""),
 )
 
 
+#: The most characters of an account number, blanks included, and what may be one: a run, or groups of four and a shorter last one.
+_IBAN_CHARS = 42
+_IBAN = r"^[A-Za-z]{2}[0-9]{2}(?:[A-Za-z0-9]{11,30}|(?:\x20[A-Za-z0-9]{4}){2,7}(?:\x20[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])"
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check: every second digit from the right is doubled."""
     each = F.split(F.reverse(digits), "(?!^)(?!$)")
@@ -79,18 +86,33 @@ def _valid(kind: Kind, match: Column) -> Column:
     if kind.name == "phone":
         return count.between(9, 15)
     if kind.name == "iban":
-        plain = F.regexp_replace(match, " ", "")
-        return F.length(plain).between(15, 34) & mod97(plain)
+        return F.length(match) > 4
     if kind.name == "ssn":
         return ~match.rlike("^(?:000|666|9..)-|-00-|-0000$")
     return F.lit(True)
 
 
+def _account(text: Column, begin: Column) -> Column:
+    """The longest right account number that begins at a place and ends where one of its groups does; '' if there is none."""
+    most = F.regexp_extract(F.substring(text, begin + 1, F.lit(_IBAN_CHARS + 1)), _IBAN, 0)
+    groups = F.split(most, " ")
+    sizes = F.when(F.size(groups) < 3, F.array(F.size(groups))).otherwise(F.sequence(F.size(groups), F.lit(3), F.lit(-1)))
+    numbers = F.transform(sizes, lambda k: F.array_join(F.slice(groups, 1, k), " "))
+
+    def right(number: Column) -> Column:
+        plain = F.upper(F.replace(number, F.lit(" "), F.lit("")))
+        return F.length(plain).between(15, 34) & mod97(plain)
+
+    return F.when(most == "", F.lit("")).otherwise(F.coalesce(F.get(F.filter(numbers, right), F.lit(0)), F.lit("")))
+
+
 def _score(kind: Kind, text: Column, start: Column, end: Column) -> Column:
     """The kind's score, changed by words near the span."""
     near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))),
                                F.substring(text, end + 1, F.lit(CONTEXT_CHARS))))
     score = F.lit(kind.score) + F.when(near.rlike(kind.for_words), RAISE).otherwise(0.0)
+    if kind.name == "iban":  # small letters are more often a word than a country
+        score = score - F.when(F.substring(text, start + 1, F.lit(2)).rlike("[a-z]"), RAISE).otherwise(0.0)
     if kind.against_words:
         score = score - F.when(near.rlike(kind.against_words), LOWER).otherwise(0.0)
     return F.round(F.least(score, F.lit(1.0)), 4)
@@ -101,14 +123,19 @@ def _spans(kind: Kind, order: int, text: Column) -> Column:
     matches, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
     pairs = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull())  # the last gap has no match
     # running (place, spans): a gap and a match are passed at each step
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["g"])
         end = begin + F.length(pair["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("match"))
-        found = F.when(_valid(kind, pair["m"]), F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        if kind.name == "iban":  # what was matched is its beginning only
+            number = F.when(begin >= state["last"], _account(text, begin)).otherwise(F.lit(""))
+            span = F.struct(begin.alias("start"), (begin + F.length(number)).alias("end"), number.alias("match"))
+        else:
+            span = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("match"))
+        valid = _valid(kind, span["match"])
+        found = F.when(valid, F.concat(state["found"], F.array(span))).otherwise(state["found"])
+        return F.struct(end.alias("at"), F.when(valid, span["end"]).otherwise(state["last"]).alias("last"), found.alias("found"))
 
     confirmed = F.aggregate(pairs, start, step, lambda state: state["found"])
     full = F.transform(confirmed, lambda s: F.struct(
