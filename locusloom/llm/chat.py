@@ -3,7 +3,8 @@
 A record's schema fingerprint is the hash of its sorted nested field paths (lists count as ``[]``; what a value is
 doesn't matter). The fingerprint selects a declarative mapping from ``MAPPINGS``: which fields hold the conversation's
 name, a turn's number, its role and its text, or which fields follow each other as turns. Further layouts are further
-entries.
+entries. Fields that no mapping reads are set aside before the hash is taken, so further fields of a record don't
+make its layout unknown.
 
 The template is ``<|im_start|>role<|im_sep|>text<|im_end|>`` and a line break for each turn. Control strings of this
 and of other common templates are escaped inside roles and texts by a backslash after their first character, and
@@ -13,7 +14,11 @@ Turns are formatted row by row; a conversation's parts are its rows in order of
 has to fit into one value, and a reader folds them one after another.
 
 Defined results: null texts and roles are empty. Turns that share a number go by role, then text; turns without a
-number come first. Records of an unknown layout come out with the mapping ``unknown`` and no turns (``rejected``).
+number come first. A record without a name for its conversation is a conversation of its own, named by its hash and its
+place among the records (so equal ones stay apart); only single turns (rows) without a name belong together, to the name null. Records that
+are no JSON, no object, nested beyond reading, or of an unknown layout, or whose turns are no objects, come out with the mapping ``unknown`` and no
+turns (``rejected``). A conversation's digest is folded by one task in the order of its turns, as a running hash can't be cut; its texts pass through one by
+one. Very long texts are one turn each.
 """
 
 from __future__ import annotations
@@ -91,11 +96,41 @@ def schema_fingerprint(fields: frozenset[str] | set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(fields)).encode()).hexdigest()[:16]
 
 
+#: All paths that mappings read; others don't count.
+KNOWN = frozenset().union(*(layout for m in MAPPINGS for layout in m.layouts()))
 BY_FINGERPRINT = {schema_fingerprint(layout): m for m in reversed(MAPPINGS) for layout in m.layouts()}
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A value as text; halves of surrogate pairs, which UTF-8 has no form for, become U+FFFD."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def _number(value) -> int | None:
+    """A turn's number; None where it is no whole number of 64 bits."""
+    try:
+        n = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return n if (n == value or isinstance(value, str)) and -2**63 <= n < 2**63 else None
+
+
+def mapping_of(raw: str | None) -> tuple[dict, Mapping | None]:
+    """A record and the mapping that its fingerprint selects; None for what can't be read."""
+    try:
+        record = json.loads(raw) if raw else None
+        known = paths(record) & KNOWN if isinstance(record, dict) else set()
+    except (ValueError, RecursionError):
+        return {}, None
+    mapping = BY_FINGERPRINT.get(schema_fingerprint(known))
+    if mapping and mapping.each and not all(isinstance(row, dict) for row in record[mapping.each]):
+        return record, None
+    return record if isinstance(record, dict) else {}, mapping
 
 
 def canonical(record: dict, mapping: Mapping) -> list[tuple[object, int | None, str, str]]:
@@ -114,7 +149,7 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[object, int | None,
     out = []
     for i, row in enumerate(rows):
         role = _text(row.get(mapping.role))
-        out.append((key, i if mapping.each else row.get(mapping.number), role if mapping.keep_roles else ROLES.get(role, role), _text(row.get(mapping.text))))
+        out.append((key, i if mapping.each else _number(row.get(mapping.number)), role if mapping.keep_roles else ROLES.get(role, role), _text(row.get(mapping.text))))
     return out
 
 
@@ -146,20 +181,23 @@ def _map_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["mapping", "conv_id", "turn", "role", "text"]
     for batch in batches:
         out = []
-        for raw in batch["record"]:
-            record = json.loads(raw) if raw else {}
-            mapping = BY_FINGERPRINT.get(schema_fingerprint(paths(record))) if isinstance(record, dict) else None
+        for raw, place in zip(batch["record"], batch["place"]):
+            record, mapping = mapping_of(raw)
             if mapping is None:
                 out.append(("unknown", None, None, None, None))
-            else:
-                out += [(mapping.name, None if k is None else str(k), n, role, text) for k, n, role, text in canonical(record, mapping)]
+                continue
+            own = None
+            if mapping.turns or mapping.each:
+                own = f"{hashlib.sha256(raw.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}-{place}"
+            out += [(mapping.name, own if k is None else _text(k), n, role, text) for k, n, role, text in canonical(record, mapping)]
         yield pd.DataFrame(out, columns=columns).astype({"turn": "Int64"})
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """JSON records -> mapping, conv_id (text), turn, role, text; unknown layouts give one row with mapping ``unknown``."""
     small_batches(records.sparkSession)
-    return records.select(F.col(record).alias("record")).mapInPandas(_map_records, "mapping string, conv_id string, turn bigint, role string, text string")
+    rows = records.select(F.col(record).alias("record"), F.monotonically_increasing_id().alias("place"))
+    return rows.mapInPandas(_map_records, "mapping string, conv_id string, turn bigint, role string, text string")
 
 
 def rejected(turns: DataFrame) -> DataFrame:
