@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusloom.functions.genotype import call_dosage, call_dosage_with_flip, genotype_text_dosage, is_identifier, vcf_chromosome
+from locusloom.functions.numeric import is_finite, parse_double
 from locusloom.operators.dedup import apart
 from locusloom.schemas import SITE_KEY
+from locusloom.sources.vcf import info_quality
 
 
 def compare_counts(run_a: DataFrame, run_b: DataFrame, by: str = "chromosome") -> DataFrame:
@@ -98,3 +101,79 @@ def vcf_version_violations(lines: DataFrame) -> DataFrame:
     """Files with no ``##fileformat=VCFv4.`` line."""
     ok = F.max(F.col("value").startswith("##fileformat=VCFv4.").cast("int"))
     return lines.groupBy("file_path").agg(ok.alias("_ok")).filter(F.col("_ok") == 0).select("file_path")
+
+
+#: Chromosomes that array calls may name, and comment lines at the head of a calls file.
+CALL_CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y", "MT"]
+CALL_HEADER_LINES = 12
+
+
+def vcf_line_rules(lines: DataFrame, tags: tuple[str, ...] = ("DR2",), least_version: int = 2) -> DataFrame:
+    """Rules of VCF text (value, file_path), from one scan: files that state no version 4.2 or later, data lines off the
+    chromosomes 1 to 22, without a number under a required INFO tag, and with other letters than bases in REF or the first ALT."""
+    f = F.split("value", "\t")
+    data = ~F.col("value").startswith("#") & (F.trim("value") != "")
+    version = F.regexp_extract("value", r"^##fileformat=VCFv4[.]([0-9]{1,4})$", 1).try_cast("int")
+    bad = {
+        "vcf_chromosome": vcf_chromosome(F.get(f, F.lit(0))).isNull(),
+        "vcf_info": info_quality(F.coalesce(F.get(f, F.lit(7)), F.lit("")), tags).isNull(),
+        "vcf_alleles": ~F.coalesce(F.get(f, F.lit(3)).rlike("^[ACGT]+$") & F.substring_index(F.get(f, F.lit(4)), ",", 1).rlike("^[ACGT]+$"), F.lit(False)),
+    }
+    per_file = lines.groupBy("file_path").agg(
+        F.max((version >= least_version).cast("int")).alias("_ok"), *[F.count_if(data & c).alias(n) for n, c in bad.items()])
+    return _rules(per_file, {"vcf_version": F.count_if(F.coalesce("_ok", F.lit(0)) == 0), **{n: F.sum(n) for n in bad}})
+
+
+def call_line_rules(lines: DataFrame, header_lines: int = CALL_HEADER_LINES) -> DataFrame:
+    """Rules of array-call text (value, file_path), from one scan: files with fewer comment lines, chromosomes of another
+    name, and genotypes that are neither two letters nor a no-call."""
+    f = F.split(F.trim("value"), r"\s+")
+    comment = F.col("value").startswith("#")
+    data = ~comment & (F.trim("value") != "")
+    chromosome, genotype = F.get(f, F.lit(1)), F.get(f, F.lit(3))
+    per_file = lines.groupBy("file_path").agg(
+        F.count_if(comment).alias("_head"),
+        F.count_if(data & ~F.coalesce(chromosome.isin(CALL_CHROMOSOMES), F.lit(False))).alias("call_chromosome"),
+        F.count_if(data & ~F.coalesce(genotype.rlike("^([ACGT]{2}|--|[DI]{2})$"), F.lit(False))).alias("call_genotype"))
+    return _rules(per_file, {
+        "call_header": F.count_if(F.col("_head") < header_lines), "call_chromosome": F.sum("call_chromosome"), "call_genotype": F.sum("call_genotype")})
+
+
+def panel_dosage_rule(panel: DataFrame) -> DataFrame:
+    """Panel cells whose dosage is outside 0 to 2, counted in the row's own array."""
+    bad = F.size(F.filter("sample_genotypes", lambda g: ~genotype_text_dosage(g).between(0.0, 2.0)))
+    return _rules(panel, {"panel_dosage": F.sum(bad)})
+
+
+def strand_rule(panel: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls (one row per place, as ``unique_calls`` gives) that fit a panel variant of their place on the other strand only."""
+    both = panel.select(*SITE_KEY).join(calls, ["chromosome", "position"])
+    fits = call_dosage("call_genotype", "ref_allele", "alt_allele").isNotNull()
+    flipped = call_dosage_with_flip("call_genotype", "ref_allele", "alt_allele").isNotNull()
+    places = both.groupBy("chromosome", "position").agg(F.max(fits).alias("_fits"), F.max(flipped).alias("_flipped"))
+    return _rules(places, {"call_strand": F.count_if(~F.col("_fits") & F.col("_flipped"))})
+
+
+#: Columns that a weights text must have.
+WEIGHT_COLUMNS = ["SNP", "CHR", "BP", "A1", "A2", "weight"]
+
+
+def weight_rules(weights: DataFrame) -> DataFrame:
+    """Rules of a weights table read as text: required columns that are missing, repeated identifiers, weights that are no finite number."""
+    missing = [c for c in WEIGHT_COLUMNS if c not in weights.columns]
+    rows = weights.select(*[(F.lit(None) if c in missing else F.col(c)).cast("string").alias(c) for c in ("SNP", "weight")])
+    value = parse_double("weight")
+    per_id = rows.groupBy("SNP").agg(F.count("*").alias("_n"), F.count_if(~F.coalesce(is_finite(value), F.lit(False))).alias("_bad"))
+    return _rules(per_id, {
+        "weight_columns": F.lit(len(missing)), "weight_duplicate_ids": F.sum(F.when(is_identifier("SNP"), F.col("_n") - 1).otherwise(0)),
+        "weight_number": F.sum("_bad")})
+
+
+def input_rules(
+    vcf_lines: DataFrame, call_lines: DataFrame, weights: DataFrame, panel: DataFrame, calls: DataFrame,
+    tags: tuple[str, ...] = ("DR2",), header_lines: int = CALL_HEADER_LINES,
+) -> DataFrame:
+    """rule, violations of the inputs as they arrive, beside those that ``quality_report`` finds in the parsed frames."""
+    parts = [vcf_line_rules(vcf_lines, tags), call_line_rules(call_lines, header_lines), weight_rules(weights),
+             panel_dosage_rule(panel), strand_rule(panel, calls)]
+    return reduce(DataFrame.unionAll, parts)

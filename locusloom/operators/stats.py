@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.genotype import is_heterozygous, is_snp
+from locusloom.functions.genotype import genotype_text_dosage, is_heterozygous, is_snp
 from locusloom.operators.ranking import quantiles
 from locusloom.schemas import GENOTYPED, IMPUTED_LOW
 
@@ -96,6 +96,59 @@ def panel_mean_dosage(merged: DataFrame, dosage_of) -> DataFrame:
         (mean / 2.0).alias("panel_frequency"))
 
 
+# -- merged rows, in their own arrays ---------------------------------------------------
+# Each gives what its namesake below gives over the long table, from 51 times fewer rows: a row's samples are folded
+# where they stand, and only the results meet other rows of the same site.
+
+_SITE = ["chromosome", "position", "ref_allele", "alt_allele"]
+
+
+def _panel_dosage() -> Column:
+    return F.aggregate(F.transform("sample_genotypes", genotype_text_dosage), F.lit(0.0), lambda a, x: a + x)
+
+
+def mean_dosage_of_rows(merged: DataFrame) -> DataFrame:
+    samples = F.size("sample_genotypes") + F.col("user_dosage").isNotNull().cast("int")
+    return merged.groupBy("rsid", *_SITE).agg(
+        (F.sum(_panel_dosage() + F.coalesce("user_dosage", F.lit(0.0))) / F.sum(samples)).alias("mean_dosage"))
+
+
+def panel_frequency_of_rows(merged: DataFrame) -> DataFrame:
+    return merged.groupBy(*_SITE).agg(
+        (F.sum(_panel_dosage()) / F.sum(F.size("sample_genotypes")) / 2.0).alias("panel_frequency"), F.min("rsid").alias("rsid"),
+        F.max("allele_freq").alias("allele_freq"))
+
+
+def genotype_distribution_of_rows(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """A row's few distinct genotypes are counted in it, and only they are laid out."""
+    cells = F.col("sample_genotypes")
+    counts = F.transform(F.array_distinct(cells), lambda g: F.struct(g.alias("genotype"), F.size(F.filter(cells, lambda x: x == g)).alias("n")))
+    rows = merged.select(*keys, F.explode(counts).alias("_c")).select(*keys, "_c.*")
+    return rows.groupBy(*keys, "genotype").agg(F.sum("n").alias("samples"))
+
+
+def pivot_samples_of_rows(merged: DataFrame, sample_ids: list[str]) -> DataFrame:
+    """Dosages of listed samples (samp1, ... as in the long table; the number after the panel's is the person)."""
+    def dosage(sample: str) -> Column:
+        i = int(sample.removeprefix("samp")) - 1
+        panel = genotype_text_dosage(F.get("sample_genotypes", F.lit(i)))
+        return F.when(F.size("sample_genotypes") == i, F.col("user_dosage")).when(F.size("sample_genotypes") > i, panel)
+
+    return merged.groupBy(*_SITE).agg(*[F.max(dosage(s)).alias(s) for s in sample_ids])
+
+
+def dataset_profile_of_rows(merged: DataFrame) -> DataFrame:
+    """One scan; rows are grouped by site, then chromosome."""
+    samples = F.size("sample_genotypes") + 1
+    sites = merged.groupBy(*_SITE).agg(
+        F.sum(samples).alias("_rows"), F.sum(samples * F.col("is_typed").cast("int")).alias("_typed"), F.max(samples).alias("_samples"))
+    totals = sites.groupBy("chromosome").agg(
+        F.count("*").alias("_variants"), F.sum("_rows").alias("_rows"), F.sum("_typed").alias("_typed"), F.max("_samples").alias("_samples"))
+    return totals.agg(
+        F.sum("_variants").alias("variants"), F.count("*").alias("chromosomes"), F.sum("_rows").alias("long_rows"),
+        F.sum("_typed").alias("typed_rows"), F.max("_samples").cast("bigint").alias("samples"))
+
+
 # -- long table ------------------------------------------------------------------------
 
 def mean_dosage(long: DataFrame) -> DataFrame:

@@ -7,11 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.operators.merge import WORKER_RULES, merge_single_sample
-from locusloom.operators.stats import run_statistics
-from locusloom.plans.catalog_sources import VCF_SQL, vcf_lines
+from locusloom.functions.genotype import flip_strand
+from locusloom.operators import compare
+from locusloom.operators.merge import WORKER_RULES, merge_counters, merge_single_sample, unique_calls
+from locusloom.operators.stats import match_metrics, run_statistics
+from locusloom.plans.catalog_sources import VCF_SQL, call_lines, vcf_lines
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import ORACLE, merged, query, r6
+from locusloom.plans.views import call_dosage
 from locusloom.session import stage, staged_path
 from locusloom.sinks import blocks as block_sink
 from locusloom.sinks import tables, vcf
@@ -135,14 +138,20 @@ def _(t):
     return pgs.read_pgs_scores(t.spark, f"{path}/long").unionByName(pgs.read_pgs_scores(t.spark, f"{path}/wide"))
 
 
-@query("written_file_hashes", """
-SELECT c_custkey // 1000 AS file, count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS length, sha256(string_agg(line, '' ORDER BY c_custkey)) AS hash_sha256
-FROM (SELECT c_custkey, c_custkey || chr(9) || c_name || chr(10) AS line FROM customer) GROUP BY 1""")
-def _(t):
+def _customer_files(t) -> str:
+    """Customers as text, a thousand to a file."""
     path = staged_path(t.spark, "hashed")
     rows = t.base("customer").selectExpr("c_custkey div 1000 AS file", "c_custkey", "concat_ws('\t', c_custkey, c_name) AS value")
     parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartition(parts, "file").sortWithinPartitions("file", "c_custkey").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query("written_file_hashes", """
+SELECT c_custkey // 1000 AS file, count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS length, sha256(string_agg(line, '' ORDER BY c_custkey)) AS hash_sha256
+FROM (SELECT c_custkey, c_custkey || chr(9) || c_name || chr(10) AS line FROM customer) GROUP BY 1""")
+def _(t):
+    path = _customer_files(t)
     file = F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file")
     lines = t.spark.read.text(path).groupBy(F.col("file").cast("bigint").alias("file")).agg(F.count("*").alias("lines"))
     return output_register(t.spark, path).select(file, "length", "hash_sha256").join(lines, "file").select("file", "lines", "length", "hash_sha256")
@@ -159,3 +168,56 @@ def _(t):
     tables.upsert_variants(first, path)
     tables.upsert_variants(second, path)  # a second run over half of the keys, in every bin
     return tables.variant_table(t.spark, path, first.schema).read().select(*_RUN.split(", "))
+
+
+_CHANGED = "translate(c.genotype, 'ACGT', 'TGCA')"
+
+
+@query("input_rules", f"""
+WITH calls AS (SELECT *, l_partkey % 97 = 0 AS short FROM g_calls WHERE l_partkey % 83 <> 0 AND l_partkey % 79 <> 0)
+SELECT 'vcf_version' AS rule, count(DISTINCT chromosome) - count(DISTINCT chromosome) FILTER (WHERE k % 500 = 0) AS violations FROM g_imputed
+UNION ALL SELECT 'vcf_chromosome', count(*) FILTER (WHERE k % 31 = 0) FROM g_imputed
+UNION ALL SELECT 'vcf_info', count(*) FILTER (WHERE k % 29 = 0) FROM g_imputed
+UNION ALL SELECT 'vcf_alleles', count(*) FILTER (WHERE k % 37 = 0) FROM g_imputed
+UNION ALL SELECT 'call_header', CASE WHEN count(*) FILTER (WHERE l_partkey % 83 = 0) < 1000 THEN 1 ELSE 0 END FROM g_calls
+UNION ALL SELECT 'call_chromosome', count(*) FROM calls WHERE chromosome_text = 'X' AND (short OR l_partkey % 89 = 0 OR l_partkey % 71 <> 0)
+UNION ALL SELECT 'call_genotype', count(*) FROM calls WHERE short
+UNION ALL SELECT 'weight_columns', 1 UNION ALL SELECT 'weight_duplicate_ids', count(*) - count(DISTINCT k // 2) FROM g_weights
+UNION ALL SELECT 'weight_number', count(*) FILTER (WHERE k % 17 = 0) FROM g_weights
+UNION ALL SELECT 'panel_dosage', count(*) FROM g_panel_samples WHERE genotype = '1|1'
+UNION ALL SELECT 'call_strand', count(*) FROM g_panel p JOIN g_calls_last c ON c.chromosome = p.chromosome AND c.position = p.position
+  WHERE {call_dosage('c.genotype', 'p.ref_allele', 'p.alt_allele')} IS NOT NULL AND {call_dosage(_CHANGED, 'p.ref_allele', 'p.alt_allele')} IS NULL""")
+def _(t):
+    """Inputs with violations of every kind: names, versions, alleles, another strand, a third allele, texts for numbers."""
+    heads = call_lines(t).select(F.replace("value", F.lit("\tX\t"), F.lit("\tXY\t")).alias("value"), F.lit("genome.txt").alias("file_path"))
+    k = F.substring("rsid", 3, 20).cast("bigint")
+    weights = t.weights().select(
+        F.concat(F.lit("rs"), F.floor(k / 2).cast("string")).alias("SNP"), F.col("chromosome").alias("CHR"), F.col("position").alias("BP"),
+        F.col("effect_allele").alias("A1"), F.when(k % 17 == 0, F.lit("n/a")).otherwise(F.col("weight").cast("string")).alias("weight"))
+    panel = t.panel().withColumn("sample_genotypes", F.transform("sample_genotypes", lambda g: F.replace(g, F.lit("1|1"), F.lit("1|2"))))
+    calls = unique_calls(t.calls(), ["chromosome", "position"], CALL_ORDER).withColumn("call_genotype", flip_strand("call_genotype"))
+    return compare.input_rules(vcf_lines(t), heads, weights, panel, calls, ("R2",), 1000)
+
+
+@query("run_summary_document", """
+WITH usable AS (SELECT chromosome, position FROM g_calls_last WHERE regexp_full_match(genotype, '[ACGT][ACGT]')),
+measured AS (SELECT DISTINCT chromosome, position FROM g_merged WHERE user_source = 'Genotyped'),
+rates AS (SELECT u.chromosome, round(100.0 * count(m.position) / count(*), 3) AS rate FROM usable u LEFT JOIN measured m USING (chromosome, position) GROUP BY 1)
+SELECT 'job-1/user-1/2025-01-01T00:00:00Z' AS run, 'chr' || chromosome AS name, count(*) AS total, count(*) FILTER (WHERE user_source = 'Genotyped') AS genotyped,
+  count(*) FILTER (WHERE user_source <> 'Genotyped') AS imputed, any_value(rate) AS rate, NULL AS sha256 FROM g_merged LEFT JOIN rates USING (chromosome) GROUP BY chromosome
+UNION ALL SELECT 'job-1/user-1/2025-01-01T00:00:00Z', 'file' || (c_custkey // 1000), CAST(sum(strlen(line)) AS BIGINT), NULL, NULL, NULL, sha256(string_agg(line, '' ORDER BY c_custkey))
+FROM (SELECT c_custkey, c_custkey || chr(9) || c_name || chr(10) AS line FROM customer) GROUP BY c_custkey // 1000""")
+def _(t):
+    rows, number = merged(t), F.regexp_extract("path", "file=([0-9]+)", 1)
+    register = output_register(t.spark, _customer_files(t)).withColumn("file_name", F.concat(F.lit("file"), number))
+    metrics = match_metrics(rows, unique_calls(t.calls(), ["chromosome", "position"], CALL_ORDER))
+    document = tables.summary_document(merge_counters(t.panel(), rows), metrics, register, "job-1", "user-1", "2025-01-01T00:00:00Z")
+    schema = ("job_id string, user_id string, created_at string, files array<struct<name: string, size: bigint, sha256: string>>, chromosomes "
+              "array<struct<chr: int, snps_total: bigint, snps_genotyped: bigint, snps_imputed: bigint, match_rate: double>>")
+    read = document.select(F.from_json("summary", schema).alias("d")).select("d.*").withColumn("run", F.concat_ws("/", "job_id", "user_id", "created_at"))
+    counts = read.select("run", F.explode("chromosomes").alias("c")).selectExpr(
+        "run", "concat('chr', c.chr) AS name", "c.snps_total AS total", "c.snps_genotyped AS genotyped", "c.snps_imputed AS imputed", "c.match_rate AS rate",
+        "CAST(NULL AS string) AS sha256")
+    files = read.select("run", F.explode("files").alias("f")).selectExpr(
+        "run", "f.name AS name", "f.size AS total", "CAST(NULL AS bigint) AS genotyped", "CAST(NULL AS bigint) AS imputed", "CAST(NULL AS double) AS rate", "f.sha256 AS sha256")
+    return counts.unionAll(files)

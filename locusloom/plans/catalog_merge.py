@@ -150,7 +150,7 @@ def _(t):
 SELECT chromosome, position, ref_allele, alt_allele, max(dosage) FILTER (WHERE sample_id = 'samp1') AS samp1,
   max(dosage) FILTER (WHERE sample_id = 'samp2') AS samp2, max(dosage) FILTER (WHERE sample_id = 'samp51') AS samp51 FROM g_long GROUP BY 1, 2, 3, 4""")
 def _(t):
-    return stats.pivot_samples(to_long(merged(t)), ["samp1", "samp2", "samp51"])
+    return stats.pivot_samples_of_rows(merged(t), ["samp1", "samp2", "samp51"])
 
 
 _SAMPLES = [f"samp{i}" for i in range(1, 52)]
@@ -159,7 +159,7 @@ _SAMPLES = [f"samp{i}" for i in range(1, 52)]
 @query("pivot_all_samples", "SELECT chromosome, position, ref_allele, alt_allele, " + ", ".join(
     f"max(dosage) FILTER (WHERE sample_id = '{s}') AS {s}" for s in _SAMPLES) + " FROM g_long GROUP BY 1, 2, 3, 4")
 def _(t):
-    return stats.pivot_samples(to_long(merged(t)), _SAMPLES)
+    return stats.pivot_samples_of_rows(merged(t), _SAMPLES)
 
 
 # -- sinks as rows ---------------------------------------------------------------------

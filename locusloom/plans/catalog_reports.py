@@ -88,27 +88,27 @@ def _(t):
 
 @query("mean_dosage", "SELECT rsid, chromosome, position, ref_allele, alt_allele, round(avg(dosage), 6) AS mean_dosage FROM g_long GROUP BY 1, 2, 3, 4, 5")
 def _(t):
-    return rounded(stats.mean_dosage(to_long(merged(t))), "mean_dosage")
+    return rounded(stats.mean_dosage_of_rows(merged(t)), "mean_dosage")
 
 
 @query("panel_frequency", """
 SELECT chromosome, position, ref_allele, alt_allele, round(avg(dosage) / 2, 6) AS panel_frequency, min(rsid) AS rsid, max(allele_freq) AS allele_freq
 FROM g_long WHERE sample_id <> 'samp51' GROUP BY 1, 2, 3, 4""")
 def _(t):
-    return rounded(stats.panel_frequency(to_long(merged(t))), "panel_frequency")
+    return rounded(stats.panel_frequency_of_rows(merged(t)), "panel_frequency")
 
 
 @query("genotype_distribution", """
 SELECT chromosome, position, genotype, count(*) AS samples FROM g_long WHERE sample_id <> 'samp51' GROUP BY 1, 2, 3""")
 def _(t):
-    return stats.genotype_distribution(to_long(merged(t)), ["chromosome", "position"])
+    return stats.genotype_distribution_of_rows(merged(t), ["chromosome", "position"])
 
 
 @query("dataset_profile", """
 SELECT count(DISTINCT (chromosome, position, ref_allele, alt_allele)) AS variants, count(DISTINCT chromosome) AS chromosomes, count(*) AS long_rows,
   CAST(sum(is_typed) AS BIGINT) AS typed_rows, count(DISTINCT sample_id) AS samples FROM g_long""")
 def _(t):
-    return stats.dataset_profile(to_long(merged(t)))
+    return stats.dataset_profile_of_rows(merged(t))
 
 
 @query("long_slice", """

@@ -11,6 +11,7 @@ from locusloom.schemas import LONG_COLUMNS, SITE_KEY
 from locusloom.session import stage
 from locusloom.sinks.bins import WIDTH, BinTable
 
+# Keys of a run's metadata.
 METADATA_KEYS = [
     "job_id", "user_id", "processing_date", "genome_file", "imputation_server", "reference_panel",
     "total_snps", "genotyped_snps", "imputed_snps", "low_quality_snps",
@@ -118,6 +119,26 @@ def run_summary(counters: DataFrame, register: DataFrame) -> DataFrame:
     return both.select(F.to_json(F.struct("chromosomes", "outputs")).alias("summary"))
 
 
+def summary_document(
+    counters: DataFrame, metrics: DataFrame, register: DataFrame, job_id: str, user_id: str, created_at: str,
+) -> DataFrame:
+    """One JSON document of a run: its ids, counts and match rate of each chromosome, and name, size and SHA-256 of each file.
+
+    ``counters`` are those of ``merge_counters``, ``metrics`` those of ``match_metrics`` (the rate is per usable call), ``register``
+    that of ``output_register``. Both lists are short by nature: 22 chromosomes, and the part files of one run.
+    """
+    rate = metrics.select("chromosome", F.round("match_rate", 3).alias("match_rate"))
+    chromosome = F.struct(
+        F.col("chromosome").alias("chr"), F.col("total").alias("snps_total"), F.col("genotyped").alias("snps_genotyped"),
+        (F.col("total") - F.col("genotyped")).alias("snps_imputed"), "match_rate")
+    chromosomes = counters.join(rate, "chromosome", "left").agg(F.array_sort(F.collect_list(chromosome)).alias("chromosomes"))
+    file = F.struct(F.col("file_name").alias("name"), F.col("length").alias("size"), F.col("hash_sha256").alias("sha256"))
+    files = register.agg(F.array_sort(F.collect_list(file)).alias("files"))
+    ids = [F.lit(v).alias(n) for n, v in (("job_id", job_id), ("user_id", user_id), ("created_at", created_at))]
+    return chromosomes.withColumn("_k", F.lit(1)).join(F.broadcast(files.withColumn("_k", F.lit(1))), "_k").select(
+        F.to_json(F.struct(*ids, "chromosomes", "files")).alias("summary"))
+
+
 # -- relational ------------------------------------------------------------------------
 
 def relational_frames(merged: DataFrame, metadata: DataFrame, scored: DataFrame | None = None) -> dict[str, DataFrame]:

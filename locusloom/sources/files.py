@@ -19,6 +19,7 @@ MB = 1024 * 1024
 # Largest accepted size by declared type, and the cap of the library rule.
 SIZE_CAPS = {"genome": 100 * MB, "vcf": 200 * MB, "pgs": 10 * MB}
 LIBRARY_CAP = 500 * MB
+# Accepted extensions, and the beginning of gzip data.
 EXTENSIONS = ["txt", "vcf.gz", "vcf.gz.tbi", "pgs"]
 GZIP_MAGIC = "1F8B08"
 _HEAD_BYTES = 65536

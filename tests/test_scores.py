@@ -4,9 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from locusloom.operators import pgs, ranking, scoring
+from pyspark.sql import functions as F
+
+from locusloom.operators import pgs, ranking, scoring, stats
+from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, to_long, with_samples
+from locusloom.plans import registry
 from locusloom.plans.derived import CALL_ORDER, Tables
-from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, with_samples
 
 SCHEMA = "sample_id string, label string, value double"
 
@@ -114,3 +117,21 @@ def test_pivots_hold_every_sample(spark, sf_dir):
     cells = sum(x is not None for r in scores.collect() for x in r[1:])
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     assert cells == customers.selectExpr("c_mktsegment", "c_custkey % 51").distinct().count()
+
+
+def test_folding_a_rows_samples_equals_the_long_table(spark, sf_dir):
+    """Also where several panel rows share a site."""
+    merged = registry.merged(Tables(spark, sf_dir))
+    rows = merged.unionByName(merged.filter("position % 3 = 0").withColumn("user_dosage", F.col("user_dosage") / 2))
+    long = to_long(rows)
+    for ours, theirs in (
+        (stats.mean_dosage_of_rows(rows), stats.mean_dosage(long)), (stats.panel_frequency_of_rows(rows), stats.panel_frequency(long)),
+        (stats.genotype_distribution_of_rows(rows, ["chromosome", "position"]), stats.genotype_distribution(long, ["chromosome", "position"])),
+        (stats.pivot_samples_of_rows(rows, ["samp1", "samp50", "samp51", "samp52"]), stats.pivot_samples(long, ["samp1", "samp50", "samp51", "samp52"])),
+        (stats.dataset_profile_of_rows(rows), stats.dataset_profile(long)),
+    ):
+        columns = sorted(theirs.columns)
+        near = [F.round(c, 9).alias(c) if dict(theirs.dtypes)[c] == "double" else F.col(c) for c in columns]
+        a, b = ours.select(*near), theirs.select(*near)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        assert "Generate explode(sample" not in ours._jdf.queryExecution().optimizedPlan().toString()
