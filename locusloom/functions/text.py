@@ -14,7 +14,8 @@ SEVERITY_BY_EVENT = {
     "critical": ["unusual_activity", "file_rejected"],
 }
 
-EMAIL_PATTERN = r"(?i)^[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}$"
+# Fixed value: shape of an e-mail address, compared without regard to case.
+EMAIL_PATTERN = r"(?i)^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 OUTPUT_FORMATS = ["parquet", "vcf", "tables", "json"]
 DEFAULT_FORMATS = ["parquet", "vcf"]

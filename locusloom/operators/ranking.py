@@ -1,8 +1,9 @@
 """Exact ranks and quantiles in groups of any size.
 
-A plain ranking window sorts a whole group in one task. Here a group is cut into value ranges
-at approximate quantiles; each range is ranked on its own and offset by the exact number of
-rows in the ranges below it. The cuts only decide who does the work, never the result.
+A plain ranking window sorts a whole group in one task. Here a group's rows are first counted by value, in one scan of
+the input; the counts are then dealt to ranges of (group, value), as many as their number asks for, and each range is ranked on
+its own and offset by the exact number of rows in the group's ranges below it. The ranges only decide who does the work,
+never the result.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ from pyspark.sql import functions as F
 
 from locusloom.session import stage
 
-RANGES = 128
+#: Distinct values in one range, about.
+RANGE_VALUES = 200_000
 
 
-def cumulative_counts(df: DataFrame, by: list[str], value: str, ranges: int = RANGES) -> DataFrame:
-    """Per group and distinct value: ``n`` rows, ``below`` rows with a smaller value, ``total`` rows."""
+def cumulative_counts(df: DataFrame, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """Per group and distinct value: ``n`` rows, ``below`` rows with a smaller value, ``total`` rows.
+
+    ``ranges``: their number, by default from the number of distinct values.
+    """
     rows = df.filter(F.col(value).isNotNull()).select(*by, value)
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
-    steps = [i / ranges for i in range(1, ranges)]
-    # Staged, so that the values are ranged by a broadcast where the groups are few.
-    cuts = stage(rows.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_cuts")), "cuts")
-    ranged = counts.join(cuts, by).select(
-        *by, value, "n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_range"),
-    )
+    # Staged: read for its size, for sampling the ranges, and for ranking, while the input is read once.
+    counts = stage(rows.groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
+    ranges = ranges or -(-counts.count() // RANGE_VALUES)
+    ranged = counts.withColumn("_range", F.lit(0))
+    if ranges > 1:
+        dealt = counts.repartitionByRange(ranges, *by, value)
+        ranged = stage(dealt.withColumn("_range", F.spark_partition_id()), "value-ranges")
     sizes = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
     group = W.partitionBy(*by)
     sizes = sizes.select(

@@ -135,3 +135,17 @@ def test_folding_a_rows_samples_equals_the_long_table(spark, sf_dir):
         a, b = ours.select(*near), theirs.select(*near)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
         assert "Generate explode(sample" not in ours._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("s", rng.choice("ab"), rng.choice([0.5, round(rng.random(), 3), None])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = ranking.cumulative_counts(df, ["label"], "value").collect()
+    monkeypatch.setattr(ranking, "RANGE_VALUES", 50)
+    many = ranking.cumulative_counts(df, ["label"], "value")
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one))
+    for label in "ab":
+        values = sorted(v for _, x, v in rows if x == label and v is not None)
+        assert {(r["value"], r.below, r.n, r.total) for r in one if r.label == label} == {
+            (v, sum(w < v for w in values), values.count(v), len(values)) for v in set(values)}
