@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.operators.dedup import last_wins
+from locusloom.operators.jobs import chromosome_progress
 from locusloom.operators.merge import autosomal, unique_imputed
 from locusloom.plans.derived import CALL_ORDER, Tables
-from locusloom.plans.registry import query, sql_stamp, stamp
+from locusloom.plans.registry import query, r6, sql_stamp, stamp
 from locusloom.schemas import SITE_KEY
 from locusloom.session import staged_path
 from locusloom.sinks.tables import by_place
@@ -33,6 +34,19 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def _final(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream to its end in complete mode and read its last result."""
+    spark = stream.sparkSession
+    out = staged_path(spark, name)
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/rows")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/progress").outputMode("complete").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 @query("stream_security_events", f"""
 SELECT id, {sql_stamp('timestamp')} AS at, event_type, severity FROM g_audit
 WHERE severity IN ('warning', 'critical') OR event_type LIKE '%failure' OR event_type LIKE '%denied'""")
@@ -92,3 +106,25 @@ def _(t):
         rows.filter(batch).select(line.alias("value")).write.text(f"{folder}/arriving/{n}")
         feed.start(f"{folder}/arriving/*", f"{folder}/progress").awaitTermination()
     return feed.merged().select(*SITE_KEY, "user_genotype", "user_dosage", "user_source")
+
+
+@query("stream_sliding_attempts", """
+WITH windows AS (SELECT CAST(job_id AS VARCHAR) AS job_id, (epoch_us(attempted_at) // 10000000 - unnest(range(6))) * 10 AS window_second FROM g_attempts)
+SELECT job_id, window_second, count(*) AS attempts, count(*) >= 3 AS busy FROM windows GROUP BY 1, 2""")
+def _(t):
+    attempts = _event_stream(t).select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("attempted_at"))
+    windows = _final(monitors.sliding_attempts(attempts), "sliding")
+    return windows.select("job_id", F.unix_seconds("window_start").alias("window_second"), "attempts", "busy")
+
+
+@query("stream_progress", f"""
+SELECT job_id, round(60 + chromosome / 22.0 * 25, 6) AS progress_pct, message, {sql_stamp('ts')} AS at FROM (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(event_id % 22 + 1 AS INTEGER) AS chromosome, 'event ' || event_id AS message, ts,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 22 DESC, 'event ' || event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def _(t):
+    progress = _event_stream(t).select(
+        F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 22 + 1).cast("int").alias("chromosome"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), F.col("ts").alias("timestamp"))
+    newest = _final(monitors.progress_stream(progress), "progress")
+    return newest.select("job_id", r6(chromosome_progress("chromosome")).alias("progress_pct"), "message", stamp("timestamp").alias("at"))
