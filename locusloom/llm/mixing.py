@@ -11,7 +11,8 @@ misses its target by a part of a small document.
 
 Defined results: words are runs of anything but ASCII white space; null and empty texts have size 0 and are never
 taken in (0 copies). Sources go by code point, null last. Ties go by hash of doc_id, doc_id and size. Random draws
-come from doc_id and size alone, so reruns agree whatever the partitions. Repeated rows are rows of their own.
+come from doc_id and size alone, so reruns agree whatever the partitions. Repeated rows are rows of their own: rows of one
+doc_id (or none), source and size are numbered and spread over the buckets by their number. A very long text is one large document.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from locusloom.llm.words import mix
 WEIGHTS, MOST_COPIES = (1, 2, 3), 3
 #: Rows of one source and size in a bucket, on average, and buckets that meet on each level of the tree.
 BUCKET_ROWS, FAN = 2_000, 32
+#: Equal rows that are numbered by one task.
+RUN = 1024
 
 _EDGE = 1e-9
 
@@ -42,6 +45,16 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"))
 
 
+def numbered(groups: DataFrame) -> DataFrame:
+    """Groups of equal rows (with their count n) as rows again, each with ``copy``, its number from 0. Groups above ``RUN`` rows
+    are laid out in pieces by many tasks."""
+    few = groups.filter(F.col("n") <= RUN).withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    pieces = groups.filter(F.col("n") > RUN).withColumn("piece", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+    pieces = pieces.repartition(partitions(groups.sparkSession), "doc_id", "source", "size", "piece")
+    many = pieces.withColumn("copy", F.explode(F.expr(f"sequence(piece * {RUN}, least(n, (piece + 1) * {RUN}) - 1)"))).drop("piece")
+    return few.unionByName(many).drop("n")
+
+
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """rank, source, source_size, weight and target (words) for every source.
 
@@ -145,15 +158,17 @@ def _root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (0 to ``MOST_COPIES``) for every row."""
     spark = docs.sparkSession
-    rows = stage(sizes(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), "word-counts")
-    sources = stage(targets(rows), "targets")
+    equal = sizes(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).groupBy("doc_id", "source", "size")
+    groups = stage(equal.agg(F.count("*").alias("n")), "word-counts")
+    sources = stage(targets(groups.select("source", (F.col("size") * F.col("n")).alias("size"))), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     own = sources.select(F.col("source").alias("own"), "rank", share.alias("share"))
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    buckets = max(1, -(-(groups.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
+    spread = F.when(F.col("copy") == 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "copy"))
     # a source may be null and may hold a third of the rows; the other side has one row per source
-    state = rows.join(own, F.col("source").eqNullSafe(F.col("own"))).select(
+    state = numbered(groups).join(own, F.col("source").eqNullSafe(F.col("own"))).select(
         F.col("rank").alias("source_rank"), F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int").alias("class"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "size",
+        F.pmod(spread, F.lit(buckets)).alias("bucket"), "doc_id", "size",
         F.when(F.col("size") > 0, F.floor(F.col("share") + _EDGE)).otherwise(0).cast("int").alias("whole"),
         F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("share") - F.floor(F.col("share") + _EDGE))).otherwise(0.0).alias("part"))
     done, turn = None, 0

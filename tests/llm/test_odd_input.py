@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pytest
 
-from locusloom.llm import chat, html_extract, pii, toxicity
+from locusloom.llm import chat, html_extract, mixing, pii, toxicity
 
 DOCS = "doc_id bigint, text string"
 
@@ -187,3 +187,24 @@ def test_matching_equals_a_plain_search(many_words):
     for _, text in rng.sample(rows, 200):
         odd = text.replace("o", "0").replace("e", "е") if rng.random() < 0.5 else text.upper()
         assert abs(lexicon.features(odd)[1] - math.log1p(naive_features(lexicon, odd))) < 1e-9
+
+
+# -- mixing -----------------------------------------------------------------------------
+
+
+def test_rows_without_ids_spread_over_the_buckets(spark, monkeypatch):
+    """A third of the rows without doc_id, and one doc_id many times, of one size and source: numbered and dealt out, none lost."""
+    monkeypatch.setattr(mixing, "RUN", 64)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(None, "a b c", "s")] * 500 + [(7, "a b c", "s")] * 300 + [(i, "w " * (i % 40), "st"[i % 2]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    groups = mixing.sizes(docs).groupBy("doc_id", "source", "size").count().withColumnRenamed("count", "n")
+    again = mixing.numbered(groups).collect()
+    copies = sorted(r["copy"] for r in again if r.doc_id is None)
+    assert len(again) == len(rows) and copies == list(range(500))
+    out = mixing.mixed(docs).collect()
+    assert len(out) == len(rows) and sum(r.doc_id is None for r in out) == 500 and max(r.copies for r in out) <= mixing.MOST_COPIES
+    for source in "st":
+        taken = sum(r.copies * r["size"] for r in out if r.source == source)
+        (target,) = {r.target for r in out if r.source == source}
+        assert abs(taken - target) <= 40
