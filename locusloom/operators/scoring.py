@@ -101,22 +101,21 @@ def significant_loci(points: DataFrame, threshold: float = 5e-8) -> DataFrame:
         F.count("*").alias("points"), F.count_if(F.col("p_value") < threshold).alias("significant_loci"))
 
 
-def ancestry_components(merged: DataFrame, k: int = 2) -> DataFrame:
-    """Principal components of the sample-by-variant dosage matrix, one row per sample.
+def sample_gram(merged: DataFrame) -> DataFrame:
+    """i, j, v: the samples' centred Gram matrix, summed over variants.
 
-    The matrix has 51 rows however many variants there are, so its 51 x 51 centred Gram matrix
-    is summed up over the variants by a partial aggregate, and only that fixed-size matrix is
-    decomposed on the driver.
+    The dosage matrix has 51 rows however many variants there are, so each task sums its variants and only
+    51 x 51 cells a task are shuffled. A missing dosage counts as its variant's mean. All rows must hold one number of samples.
     """
-    import numpy as np
-
-    spark = merged.sparkSession
     vectors = merged.select(F.concat(
         F.transform("sample_genotypes", genotype_text_dosage), F.array("user_dosage")).alias("_d"))
-    mean = F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")
-    centred = vectors.withColumn("_m", mean).select(F.transform("_d", lambda x: x - F.col("_m")).alias("_c"))
+    known = F.filter("_d", lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known).cast("double"))
+    centred = vectors.withColumn("_m", mean).filter(F.col("_m").isNotNull()).select(
+        F.transform("_d", lambda x: F.coalesce(x - F.col("_m"), F.lit(0.0))).alias("_c"))
 
     def gram(batches):
+        import numpy as np
         import pyarrow as pa
 
         total = None
@@ -133,14 +132,42 @@ def ancestry_components(merged: DataFrame, k: int = 2) -> DataFrame:
                 [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())],
                 names=["i", "j", "v"])
 
-    cells = centred.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    n = int(cells["i"].max()) + 1
-    matrix = np.zeros((n, n))
-    matrix[cells["i"], cells["j"]] = cells["v"]
-    values, axes = np.linalg.eigh(matrix)
-    order = np.argsort(values)[::-1][:k]
-    scores = axes[:, order] * np.sqrt(np.maximum(values[order], 0.0))
-    # The sign of a component is free: make its largest entry positive.
-    scores = scores * np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(len(order))])
-    rows = [(f"samp{s + 1}", *[float(x) for x in scores[s]]) for s in range(n)]
-    return spark.createDataFrame(rows, "sample_id string, " + ", ".join(f"pc{c + 1} double" for c in range(k)))
+    return centred.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def ancestry_components(merged: DataFrame, k: int = 2) -> DataFrame:
+    """Principal components of the sample-by-variant dosage matrix, one row per sample; empty for no variants.
+
+    The decomposition is of ``sample_gram``'s fixed-size matrix, in one task of 51 x 51 cells.
+    """
+    def decompose(cells):
+        import numpy as np
+        import pandas as pd
+
+        n = int(cells["i"].max()) + 1
+        matrix = np.zeros((n, n))
+        matrix[cells["i"], cells["j"]] = cells["v"]
+        values, axes = np.linalg.eigh(matrix)
+        order = np.argsort(values)[::-1][:k]
+        scores = axes[:, order] * np.sqrt(np.maximum(values[order], 0.0))
+        # The sign of a component is free: make its largest entry positive.
+        scores = scores * np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(len(order))])
+        out = pd.DataFrame({f"pc{c + 1}": scores[:, c] if c < len(order) else 0.0 for c in range(k)})
+        out.insert(0, "sample_id", [f"samp{s + 1}" for s in range(n)])
+        return out
+
+    schema = "sample_id string, " + ", ".join(f"pc{c + 1} double" for c in range(k))
+    return sample_gram(merged).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(decompose, schema)
+
+
+def ancestry_distances(components: DataFrame) -> DataFrame:
+    """sample_a, sample_b, distance of each two samples by their components, in both orders.
+
+    The distances don't depend on the components' signs. With all components they equal the distances of the dosages.
+    """
+    axes = [c for c in components.columns if c != "sample_id"]
+    # One row a sample: 51 of them, from one task, joined with themselves.
+    a = components.select(F.col("sample_id").alias("sample_a"), F.array(*axes).alias("_a"))
+    b = components.select(F.col("sample_id").alias("sample_b"), F.array(*axes).alias("_b"))
+    square = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return a.join(b, F.col("sample_a") != F.col("sample_b")).select("sample_a", "sample_b", F.sqrt(square).alias("distance"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.functions.genotype import flip_strand
+from locusloom.functions.genotype import flip_strand, passes_quality
 from locusloom.operators import compare
 from locusloom.operators.merge import WORKER_RULES, merge_counters, merge_single_sample, unique_calls
 from locusloom.operators.stats import match_metrics, run_statistics
@@ -15,9 +15,11 @@ from locusloom.plans.catalog_sources import VCF_SQL, call_lines, vcf_lines
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import ORACLE, merged, query, r6
 from locusloom.plans.views import call_dosage
+from locusloom.schemas import SITE_KEY
 from locusloom.session import stage, staged_path
 from locusloom.sinks import blocks as block_sink
 from locusloom.sinks import tables, vcf
+from locusloom.sinks.zones import ZoneTable
 from locusloom.sources import pgs
 from locusloom.sources.blocks import read_block_lines
 from locusloom.sources.files import output_register
@@ -221,3 +223,36 @@ def _(t):
     files = read.select("run", F.explode("files").alias("f")).selectExpr(
         "run", "f.name AS name", "f.size AS total", "CAST(NULL AS bigint) AS genotyped", "CAST(NULL AS bigint) AS imputed", "CAST(NULL AS double) AS rate", "f.sha256 AS sha256")
     return counts.unionAll(files)
+
+
+@query("region_page_by_cursor", """
+WITH r AS (SELECT rsid, chromosome, position, ref_allele, alt_allele, user_dosage, user_quality FROM g_merged WHERE chromosome = 3 AND position BETWEEN 20000 AND 200000),
+n AS (SELECT *, row_number() OVER (ORDER BY position, ref_allele, alt_allele) AS n FROM r WHERE user_quality IS NULL OR user_quality >= 0.5)
+SELECT (n - 1) // 20 + 1 AS page, rsid, chromosome, position, ref_allele, alt_allele, user_dosage, (SELECT count(*) FROM r) AS region_rows FROM n WHERE n <= 60""")
+def _(t):
+    """The first three pages, each from the cursor that the page before it left."""
+    table = ZoneTable(t.spark, staged_path(t.spark, "zones"))
+    table.write(merged(t).select("rsid", *SITE_KEY, "user_dosage", "user_quality"), file_rows=500)
+    region, keep = (3, 20_000, 200_000), passes_quality("user_quality", 0.5)
+    total, cursor, pages = F.lit(table.region_count(*region)), None, []
+    for number in (1, 2, 3):
+        page, cursor = table.page(*region, size=20, after=cursor, keep=keep)
+        pages.append(page.select(F.lit(number).cast("bigint").alias("page"), "rsid", *SITE_KEY, "user_dosage", total.cast("bigint").alias("region_rows")))
+        if cursor is None:
+            break
+    return reduce(DataFrame.unionAll, pages)
+
+
+@query("region_rows_by_index", """
+SELECT c.chromosome, CAST(count(m.position) AS BIGINT) AS variants, coalesce(round(sum(m.user_dosage), 6), 0) AS dosage_sum
+FROM (SELECT CAST(range AS INTEGER) AS chromosome FROM range(1, 23)) c LEFT JOIN g_merged m ON m.chromosome = c.chromosome AND m.position BETWEEN 15000 * c.chromosome AND 90000 * c.chromosome
+GROUP BY 1""")
+def _(t):
+    """One region of each chromosome, all from one opening of the files that any of them meets."""
+    table = ZoneTable(t.spark, staged_path(t.spark, "zones"))
+    table.write(merged(t).select(*SITE_KEY, "user_dosage"), file_rows=500)
+    regions = [(c, 15_000 * c, 90_000 * c) for c in range(1, 23)]
+    rows = table.regions(regions).groupBy("chromosome").agg(F.count("*").alias("variants"), r6(F.sum("user_dosage")).alias("dosage_sum"))
+    every = t.spark.range(1, 23).select(F.col("id").cast("int").alias("chromosome"))
+    return every.join(rows, "chromosome", "left").select(
+        "chromosome", F.coalesce("variants", F.lit(0)).alias("variants"), F.coalesce("dosage_sum", F.lit(0.0)).alias("dosage_sum"))

@@ -10,6 +10,7 @@ from locusloom.operators import pgs, scoring, stats
 from locusloom.operators.merge import merge_single_sample, to_long, unique_calls
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import merged, query, r6, rounded
+from locusloom.session import stage
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -339,6 +340,16 @@ def _(t):
     return scoring.ancestry_components(merged(t))
 
 
+@query("ancestry_distances", """
+SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, round(sqrt(sum((a.dosage - b.dosage) * (a.dosage - b.dosage))), 3) AS distance
+FROM g_long a JOIN g_long b USING (chromosome, position, ref_allele, alt_allele) WHERE a.sample_id <> b.sample_id GROUP BY 1, 2""")
+def _(t):
+    """All components together, so that their distances are those of the dosages."""
+    # Staged: 51 rows, read twice.
+    components = stage(scoring.ancestry_components(merged(t), 51), "components")
+    return scoring.ancestry_distances(components).withColumn("distance", F.round("distance", 3))
+
+
 @query("normal_cdf_table", """
 SELECT c_custkey, round(0.5 * (1 + CASE WHEN z < 0 THEN -1 ELSE 1 END * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2))), 7) AS p
 FROM (SELECT c_custkey, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM (SELECT c_custkey, CAST(c_custkey % 81 - 40 AS DOUBLE) / 10 AS z FROM customer))""")
