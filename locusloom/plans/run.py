@@ -14,7 +14,7 @@ from locusloom.operators.merge import DEFAULT_RULES, MergeRules, autosomal, merg
 from locusloom.operators.pgs import scale_pgs
 from locusloom.operators.stats import run_statistics
 from locusloom.schemas import SITE_KEY
-from locusloom.session import configure, stage
+from locusloom.session import Staging, configure, stage
 from locusloom.sinks import tables, vcf
 from locusloom.sources.calls import read_calls
 from locusloom.sources.files import classify_files, list_files, output_register
@@ -47,6 +47,11 @@ class RunResult:
     register: DataFrame
     scored: DataFrame | None
     rejects: DataFrame
+    staging: Staging
+
+    def release(self) -> None:
+        """Remove the run's staged tables; the frames above can't be read afterwards, the written outputs can."""
+        self.staging.drop()
 
 
 def find_inputs(spark: SparkSession, folder: str) -> dict[str, list[str]]:
@@ -65,8 +70,14 @@ def run_merge(spark: SparkSession, input_folder: str, panel_path: str, output_fo
 
     Calls and imputed rows are made unique and staged in the shared folder, so the merge joins
     plain scans: Spark then knows their sizes and can split skewed partitions on either side.
+    The staged tables belong to the result, whose ``release`` removes them; a run that fails removes its own.
     """
     configure(spark)
+    with Staging(spark) as staging:
+        return _run(spark, input_folder, panel_path, output_folder, options, staging)
+
+
+def _run(spark: SparkSession, input_folder: str, panel_path: str, output_folder: str, options: RunOptions, staging: Staging) -> RunResult:
     formats = parse_formats(options.formats)
     inputs = find_inputs(spark, input_folder)
 
@@ -95,7 +106,7 @@ def run_merge(spark: SparkSession, input_folder: str, panel_path: str, output_fo
     metadata = tables.run_metadata(statistics, options.job_id, options.user_id, options.processing_date, **options.names)
     write_outputs(merged, metadata, scored, output_folder, formats, options)
     counters = merge_counters(read_panel(spark, panel_path, check=False), merged, rules)
-    return RunResult(merged, counters, statistics, metadata, output_register(spark, output_folder), scored, rejects)
+    return RunResult(merged, counters, statistics, metadata, output_register(spark, output_folder), scored, rejects, staging)
 
 
 def write_outputs(

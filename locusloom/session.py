@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -70,9 +71,37 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+class Staging:
+    """Owner of the tables that are staged inside its ``with`` block: ``drop`` removes them.
+
+    Frames that read them are lazy, so the owner drops them when it is done with those frames, and not at the block's end.
+    An error inside the block drops them at once. Blocks may be nested; the inner one then owns its tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/staged/owner-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Staging:
+        self._before = _owner.set(self.folder)
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        _owner.reset(self._before)
+        if kind is not None:
+            self.drop()
+
+    def drop(self) -> bool:
+        """Remove the tables; False where there were none."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one staged table."""
-    return f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or its owner's part of it, for one staged table."""
+    return f"{_owner.get() or shared_folder(spark) + '/staged'}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df, name: str, partition_by: list[str] | None = None):

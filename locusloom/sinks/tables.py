@@ -10,6 +10,7 @@ from locusloom.operators.pgs import pgs_output
 from locusloom.schemas import LONG_COLUMNS, SITE_KEY
 from locusloom.session import stage
 from locusloom.sinks.bins import WIDTH, BinTable
+from locusloom.sinks.ranges import in_ranges, place_keys
 
 # Keys of a run's metadata.
 METADATA_KEYS = [
@@ -25,14 +26,15 @@ class DuplicateKeyError(ValueError):
 # -- Parquet ---------------------------------------------------------------------------
 
 def by_place(df: DataFrame, staged: bool = False) -> DataFrame:
-    """Rows in ranges of (chromosome, position), sorted inside.
+    """Rows in ranges of place, alleles and identifier, sorted inside.
 
-    Ranges keep the parts even: the largest chromosome has nine times the rows of the smallest.
+    Ranges keep the parts even: the largest chromosome has nine times the rows of the smallest, and a place with very
+    many rows is dealt to several ranges.
     Range bounds are sampled from the input, which is read twice for that; anything but a
     plain table scan (``staged``) is therefore staged first.
     """
     rows = df if staged else stage(df, "by-place")
-    return rows.repartitionByRange("chromosome", "position").sortWithinPartitions("chromosome", "position")
+    return in_ranges(rows, place_keys(rows))
 
 
 def write_long_parquet(merged: DataFrame, path: str, partitioned: bool = True, staged: bool = False) -> None:

@@ -12,6 +12,7 @@ from locusloom.functions.numeric import fixed_decimals
 from locusloom.schemas import AUTOSOMES, PANEL_SAMPLES, USER_SAMPLE
 from locusloom.session import stage
 from locusloom.sinks.blocks import write_block_text
+from locusloom.sinks.ranges import NUMBER, numbered
 
 # Header lines.
 _MULTI_HEADER = [
@@ -114,7 +115,8 @@ def _ordered_lines(
     spark = rows.sparkSession
     top = [(c, i - len(header), "", "", text) for c in chromosomes for i, text in enumerate(header)]
     head = spark.createDataFrame(top, "chromosome int, position bigint, ref_allele string, alt_allele string, header string")
-    ordered = rows.unionByName(head, allowMissingColumns=True).orderBy(*_ORDER)
+    # The number splits a place with very many rows; header lines have none.
+    ordered = numbered(rows).unionByName(head, allowMissingColumns=True).orderBy(*_ORDER, NUMBER)
     return to_lines(ordered).select("chromosome", "position", F.coalesce("header", "value").alias("value"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusloom.session import stage
+from locusloom.sinks.ranges import in_ranges, place_keys
 
 ROW = "_row"
 _INDEX = "file string, first_place bigint, last_place bigint, first_row bigint, last_row bigint, rows bigint"
@@ -41,24 +42,19 @@ class ZoneTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def write(self, df: DataFrame, order: list[str] | None = None, file_rows: int = FILE_ROWS) -> None:
-        """Write rows sorted by place, then ``order`` (by default alleles and identifier, as far as there are any), and the index.
-
-        ``order`` also splits a place that holds very many rows.
-        """
-        further = order if order is not None else [c for c in ("ref_allele", "alt_allele", "rsid") if c in df.columns]
-        keys = ["chromosome", "position", *further]
+        """Write rows sorted by place, then ``order`` (by default alleles and identifier, as far as there are any), and the index."""
+        keys = place_keys(df) if order is None else ["chromosome", "position", *order]
         rows = stage(df, "zone-rows")  # read twice: the bounds of the ranges are sampled
-        dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
         # Numbers grow with the range and inside it.
-        numbered = dealt.withColumn(ROW, F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/data")
+        dealt = in_ranges(rows, keys).withColumn(ROW, F.monotonically_increasing_id())
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/data")
         place = _place(F.col("chromosome"), F.col("position"))
-        written = self.spark.read.schema(numbered.schema).parquet(f"{self.path}/data")
+        written = self.spark.read.schema(dealt.schema).parquet(f"{self.path}/data")
         index = written.select(F.col("_metadata.file_path").alias("file"), place.alias("_p"), ROW).groupBy("file").agg(
             F.min("_p").alias("first_place"), F.max("_p").alias("last_place"), F.min(ROW).alias("first_row"), F.max(ROW).alias("last_row"),
             F.count("*").alias("rows"))
         index.write.mode("overwrite").parquet(f"{self.path}/index")
-        self._schema = numbered.schema
+        self._schema = dealt.schema
 
     @property
     def schema(self):

@@ -43,6 +43,9 @@ def test_full_run(spark, folder):
     assert [round(r.z, 4) for r in result.scored.orderBy("sample_id").collect()] == [-1.2247, 0.0, 1.2247]
     assert {r.file_type for r in result.register.collect()} == {"vcf", "result"}
     assert result.metadata.first().total_snps == 10 and result.rejects.count() == 0
+    result.release()
+    assert read_long_parquet(spark, f"{out}/parquet").count() == 510
+    assert not glob.glob(result.staging.folder.removeprefix("file:"))
 
 
 @pytest.mark.parametrize("rules,expected", [(WORKER_RULES, ("0|1", 1.0, "Genotyped")), (LIBRARY_RULES, ("./.", 0.0, "ImputedLowQual"))])

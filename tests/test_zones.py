@@ -99,3 +99,50 @@ def test_distances_of_all_components_are_those_of_the_dosages(spark, sf_dir):
     # A missing dosage counts as its variant's mean and makes no component NaN.
     gaps = rows.withColumn("sample_genotypes", F.transform("sample_genotypes", lambda g, i: F.when(i == 3, "./.").otherwise(g)))
     assert scoring.ancestry_components(gaps).filter("isnan(pc1) OR pc1 IS NULL").count() == 0
+
+
+def test_a_hot_place_is_written_by_several_tasks(spark, tmp_path):
+    """Nine tenths of the rows share place, alleles and identifier; parts stay even and in order."""
+    from locusloom.sinks import tables, vcf
+
+    df = spark.range(4000).select(
+        F.lit(1).alias("chromosome"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(500)).alias("position"),
+        F.lit("A").alias("ref_allele"), F.lit("G").alias("alt_allele"), F.lit("rs1").alias("rsid"), "id")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = tables.by_place(df).withColumn("part", F.spark_partition_id()).collect()
+        vcf.write_merged_vcf(
+            df, str(tmp_path / "v"), ["##head", "#CHROM"], lambda r: r.withColumn("value", F.concat_ws("\t", "chromosome", "position", "id")), "none")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    sizes = [sum(r.part == n for r in parts) for n in {r.part for r in parts}]
+    assert len(sizes) >= 4 and max(sizes) < 2000 and len({r.id for r in parts}) == 4000
+    assert len({r.part for r in parts if r.position == 500}) > 1
+    in_order = [(r.part, r.position) for r in parts]
+    assert [p for _, p in sorted(in_order)] == sorted(p for _, p in in_order)
+    texts = [f.read_text().splitlines() for f in sorted((tmp_path / "v").glob("part-*"))]
+    lines = [line for t in texts for line in t]
+    assert max(map(len, texts)) < 2000 and lines[:2] == ["##head", "#CHROM"] and len(lines) == 4002
+    positions = [int(line.split("\t")[1]) for line in lines[2:]]
+    assert positions == sorted(positions)
+
+
+def test_an_owner_removes_its_staged_tables(spark):
+    import pytest
+
+    from locusloom.session import Staging, stage
+
+    outside = stage(spark.range(3), "kept")
+    with Staging(spark) as outer:
+        first = stage(spark.range(5), "mine")
+        with Staging(spark) as inner:
+            second = stage(spark.range(7), "nested")
+    assert first.count() == 5 and second.count() == 7
+    assert inner.drop() and first.count() == 5
+    assert outer.drop() and not outer.drop() and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), Staging(spark) as failed:
+        stage(spark.range(2), "lost")
+        raise ZeroDivisionError
+    assert not failed.drop()
+    assert "owner" not in stage(spark.range(1), "free").inputFiles()[0]
