@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import genotype_text_dosage, is_heterozygous, is_snp
-from locusloom.operators.ranking import quantiles
+from locusloom.operators.ranking import describe_counts, value_counts
 from locusloom.schemas import GENOTYPED, IMPUTED_LOW
 
 _Q = "imputation_quality"
@@ -192,15 +192,11 @@ def dataset_profile(long: DataFrame) -> DataFrame:
 
 
 def describe_quality(df: DataFrame, by: list[str] | None = None, column: str = _Q) -> DataFrame:
-    """count, mean, sd (n-1), min, exact quartiles, max."""
+    """count, mean, sd (n-1), min, exact quartiles, max. The input is read once; groups without a value have no row."""
     keyed = df if by else df.withColumn("_all", F.lit(1))
     keys = by or ["_all"]
-    rows = keyed.filter(F.col(column).isNotNull())
-    basic = rows.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"),
-        F.min(column).alias("min"), F.max(column).alias("max"))
-    quartiles = quantiles(keyed, keys, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return basic.join(quartiles, keys).drop(*([] if by else ["_all"]))
+    rows = describe_counts(value_counts(keyed, keys, column), keys, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rows.drop(*([] if by else ["_all"]))
 
 
 def quality_tiers(df: DataFrame, by: list[str] | None = None, column: str = _Q) -> DataFrame:

@@ -149,3 +149,29 @@ def test_ranks_do_not_depend_on_the_ranges(spark, monkeypatch):
         values = sorted(v for _, x, v in rows if x == label and v is not None)
         assert {(r["value"], r.below, r.n, r.total) for r in one if r.label == label} == {
             (v, sum(w < v for w in values), values.count(v), len(values)) for v in set(values)}
+
+
+def test_description_reads_its_input_once(spark):
+    from locusloom.operators.stats import describe_quality
+
+    values = [(g, v) for g in ("a", None) for v in (1e9, 1e9 + 1, 1e9 + 1, 1e9 + 4, None)] + [("one", 7.0), ("none", None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "g string, imputation_quality double"
+    df = spark.createDataFrame(values, schema).mapInArrow(counted, schema)
+    rows = {r.g: r for r in describe_quality(df, ["g"]).collect()}
+    assert read.value == len(values)
+    assert set(rows) == {"a", None, "one"} and rows["a"][1:] == rows[None][1:]
+    sample = np.array([1e9, 1e9 + 1, 1e9 + 1, 1e9 + 4])
+    got = rows[None]
+    assert got["count"] == 4 and got["min"] == 1e9 and got["max"] == 1e9 + 4 and abs(got.mean - sample.mean()) < 1e-6
+    assert abs(got.sd - sample.std(ddof=1)) < 1e-9
+    assert [got.q25, got.q50, got.q75] == list(np.quantile(sample, [0.25, 0.5, 0.75]))
+    assert rows["one"]["count"] == 1 and rows["one"].sd is None and rows["one"].q50 == 7.0
+    assert describe_quality(df.limit(0)).collect() == []
+    assert describe_quality(spark.createDataFrame(values, schema)).first()["count"] == 9
