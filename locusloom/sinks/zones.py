@@ -50,7 +50,7 @@ class ZoneTable:
         dealt.write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/data")
         place = _place(F.col("chromosome"), F.col("position"))
         written = self.spark.read.schema(dealt.schema).parquet(f"{self.path}/data")
-        index = written.select(F.col("_metadata.file_path").alias("file"), place.alias("_p"), ROW).groupBy("file").agg(
+        index = written.select(F.col("_metadata.file_name").alias("file"), place.alias("_p"), ROW).groupBy("file").agg(
             F.min("_p").alias("first_place"), F.max("_p").alias("last_place"), F.min(ROW).alias("first_row"), F.max(ROW).alias("last_row"),
             F.count("*").alias("rows"))
         index.write.mode("overwrite").parquet(f"{self.path}/index")
@@ -78,7 +78,7 @@ class ZoneTable:
     def _open(self, files: list) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f.file for f in files])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f.file}" for f in files])
 
     def regions(self, regions: list[tuple[int, int, int]]) -> DataFrame:
         """Rows of any of some (chromosome, start, end), ends included, each row once."""

@@ -14,7 +14,7 @@ SCHEMA = "chromosome int, position bigint, ref_allele string, value int"
 
 
 def written(spark, rows, file_rows=50):
-    table = ZoneTable(spark, staged_path(spark, "zone-test"))
+    table = ZoneTable(spark, staged_path(spark, "zone test, %20 ä"))
     df = spark.createDataFrame(rows, SCHEMA)
     if rows:
         df = df.repartition(3)
