@@ -107,12 +107,8 @@ def sample_gram(merged: DataFrame) -> DataFrame:
     The dosage matrix has 51 rows however many variants there are, so each task sums its variants and only
     51 x 51 cells a task are shuffled. A missing dosage counts as its variant's mean. All rows must hold one number of samples.
     """
-    vectors = merged.select(F.concat(
-        F.transform("sample_genotypes", genotype_text_dosage), F.array("user_dosage")).alias("_d"))
-    known = F.filter("_d", lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known).cast("double"))
-    centred = vectors.withColumn("_m", mean).filter(F.col("_m").isNotNull()).select(
-        F.transform("_d", lambda x: F.coalesce(x - F.col("_m"), F.lit(0.0))).alias("_c"))
+    dosages = F.concat(F.transform("sample_genotypes", genotype_text_dosage), F.array("user_dosage"))
+    vectors = merged.select(dosages.alias("_d")).filter(F.col("_d").isNotNull())
 
     def gram(batches):
         import numpy as np
@@ -123,8 +119,11 @@ def sample_gram(merged: DataFrame) -> DataFrame:
             column = batch.column(0)
             if not len(column):
                 continue
-            flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-            part = flat.T @ flat
+            flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)  # null is NaN
+            known = ~np.isnan(flat)
+            mean = np.where(known, flat, 0.0).sum(axis=1) / np.maximum(known.sum(axis=1), 1)
+            centred = np.where(known, flat - mean[:, None], 0.0)
+            part = centred.T @ centred
             total = part if total is None else total + part
         if total is not None:
             i, j = np.indices(total.shape)
@@ -132,7 +131,7 @@ def sample_gram(merged: DataFrame) -> DataFrame:
                 [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel(), pa.float64())],
                 names=["i", "j", "v"])
 
-    return centred.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return vectors.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def ancestry_components(merged: DataFrame, k: int = 2) -> DataFrame:
