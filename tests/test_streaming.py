@@ -3,6 +3,7 @@ import json
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample
@@ -74,6 +75,35 @@ def test_exact_gate_over_batches(spark, tmp_path):
     assert len(got) == 120
 
 
+def test_gate_takes_jobs_in_groups(spark, tmp_path):
+    """Jobs of a few attempts each, one without a name and one busy: few states, and each job's own counts."""
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [{"id": f"{j}-{n}", "job_id": None if j == 7 else str(j), "attempted_at": (t0 + dt.timedelta(seconds=20 * n + j % 9)).isoformat()}
+            for n in range(4) for j in range(300)]
+    rows += [{"id": f"busy-{n}", "job_id": "busy", "attempted_at": (t0 + dt.timedelta(milliseconds=100 * n)).isoformat()} for n in range(600)]
+    for n in range(2):
+        put_json(str(tmp_path / "in"), f"{n}.json", [r for r in rows if (r["attempted_at"] >= (t0 + dt.timedelta(seconds=30)).isoformat()) == bool(n)])
+        os.utime(tmp_path / f"in/{n}.json", (1.7e9 + n, 1.7e9 + n))
+    stream = spark.readStream.schema(ATTEMPTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = {r.id: r.prior for r in drain(monitors.exact_gate(stream), str(tmp_path)).collect()}
+    times = {}
+    for r in rows:
+        times.setdefault(r["job_id"], []).append((r["id"], dt.datetime.fromisoformat(r["attempted_at"])))
+    minute = dt.timedelta(seconds=60)
+    assert got == {i: sum(t - minute < x < t for _, x in own) for own in times.values() for i, t in own}
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() <= monitors.GATE_GROUPS  # 302 jobs in one slice
+
+
+def test_earlier_attempts_of_wide_spans():
+    """Times too far apart for one line of numbers are counted code by code, with the same result."""
+    rng = np.random.default_rng(5)
+    codes, times = rng.integers(0, 40, 500), rng.integers(0, 1000, 500)
+    near = monitors._earlier(codes, times, slice(100, None), 90)
+    far = monitors._earlier(np.append(codes, 0), np.append(times, 2**62), slice(100, 500), 90)
+    assert (near == far).all()
+    assert near.tolist() == [int(((codes == c) & (times > t - 90) & (times < t)).sum()) for c, t in zip(codes[100:], times[100:])]
+
+
 def test_security_and_sliding_windows(spark, tmp_path):
     put_json(str(tmp_path / "audit"), "a.json", [
         {"id": "1", "timestamp": "2025-01-01T00:00:00", "event_type": "login_failure", "severity": "info"},
