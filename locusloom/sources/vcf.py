@@ -41,7 +41,8 @@ def parse_vcf_lines(lines: DataFrame, quality_tags: tuple[str, ...] = ("R2",)) -
     """Add the imputed-row columns and ``error`` to a frame with ``value``; header lines go.
 
     The dosage is the DS entry of the last sample column. Parts that several columns need are
-    projected first, so that a line is split once.
+    projected first, and the columns are made in a row that is then exploded, as Spark would otherwise
+    push a filter on ``error`` down into the lines and split each one again for every use of a part.
     """
     body = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     body = body.withColumn("_f", F.split(F.rtrim("value", F.lit("\r")), "\t"))
@@ -74,10 +75,10 @@ def parse_vcf_lines(lines: DataFrame, quality_tags: tuple[str, ...] = ("R2",)) -
         F.lit("chr"), F.col("chromosome").cast("string"), F.lit(":"), position.cast("string"), F.lit(":"),
         F.col("ref_allele"), F.lit(":"), F.col("alt_allele"))
     no_id = F.col("_id").isNull() | F.col("_id").isin(".", "")
-    return parsed.select(
-        *kept, F.when(no_id, made_up).otherwise(F.substring_index("_id", ";", 1)).alias("rsid"), "chromosome", "position",
-        "ref_allele", "alt_allele", "dosage", "imputation_quality", error.alias("error"),
-    )
+    columns = F.struct(
+        F.when(no_id, made_up).otherwise(F.substring_index("_id", ";", 1)).alias("rsid"), "chromosome", "position",
+        "ref_allele", "alt_allele", "dosage", "imputation_quality", error.alias("error"))
+    return parsed.select(*kept, F.inline(F.array(columns)))
 
 
 def filter_min_quality(imputed: DataFrame, min_quality: float | None) -> DataFrame:

@@ -203,3 +203,16 @@ def test_missing_inputs_reads_all_files(spark, sf_dir):
     vcf = lines.filter("l_partkey % 24 + 1 <> 7").count()
     got = {r.problem for r in catalog.QUERIES["missing_inputs_all_files"](spark, sf_dir).collect()}
     assert got == {"missing chr7.dose.vcf.gz", "missing pgs", f"expected 22 VCF files, found {vcf}"}
+
+
+@pytest.mark.parametrize("tags", [("R2",), ("R2", "DR2")])
+def test_filters_on_errors_split_a_line_once(spark, tmp_path, tags):
+    """A filter on the result is not pushed into the lines, where each use of a field would split the line again."""
+    path = put(tmp_path, "odd.vcf", "##x\n1\t5\trs5\tA\tG\t.\tPASS\tR2=0.5;DR2=0.7\tGT:DS\t0|0:1.5\nX\t6\n2\t7\t.\tA\tG\t.\t.\t.\tGT\t0|0\n")
+    parsed = vcf.parse_vcf_lines(lines.read_lines(spark, path), tags)
+    good, bad = parsed.filter(F.col("error").isNull()), parsed.filter(F.col("error").isNotNull())
+    for rows in (good, bad, vcf.filter_min_quality(good, 0.4).select("rsid"), bad.groupBy("error").count()):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(rtrim(") == 1
+    assert [(r.rsid, r.position, r.dosage, r.imputation_quality) for r in good.collect()] == [("rs5", 5, 1.5, 0.5)]
+    assert sorted((r.position, r.error) for r in bad.collect()) == [(6, "invalid chromosome"), (7, "no DS in FORMAT")]
