@@ -22,6 +22,7 @@ from locusloom.operators.panel_store import merge_stored, store_panel
 from locusloom.plans.derived import CALL_ORDER
 from locusloom.plans.registry import merged, query, r6, rounded
 from locusloom.schemas import SITE_KEY
+from locusloom.session import stage
 from locusloom.sinks import tables, vcf
 
 _COMPACT = (
@@ -205,8 +206,8 @@ def _(t):
 SELECT chromosome, sample_id, count(*) AS variants, round(sum(dosage), 6) AS dosage_sum FROM g_long GROUP BY 1, 2""")
 def _(t):
     # Every merged row twice: the key keeps one.
-    rows = merged(t)
-    frames = tables.relational_frames(rows.unionAll(rows), _metadata(t))
+    rows = stage(merged(t), "merged")
+    frames = tables.relational_frames(rows.unionAll(rows), _metadata(t), staged=True)
     return frames["variants"].groupBy("chromosome", "sample_id").agg(F.count("*").alias("variants"), r6(F.sum("dosage")).alias("dosage_sum"))
 
 

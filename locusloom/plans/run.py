@@ -121,6 +121,6 @@ def write_outputs(
         write = vcf.write_vcf_per_chromosome if options.vcf_layout == "per_chromosome" else vcf.write_merged_vcf
         write(merged, f"{folder}/vcf", header, staged=True)
     if "tables" in formats:
-        tables.write_tables(tables.relational_frames(merged, metadata, scored), f"{folder}/tables")
+        tables.write_tables(tables.relational_frames(merged, metadata, scored, staged=True), f"{folder}/tables")
     if "json" in formats:
         tables.write_json(merged, metadata, f"{folder}/json", scored, staged=True)

@@ -10,7 +10,7 @@ from locusloom.operators.pgs import pgs_output
 from locusloom.schemas import LONG_COLUMNS, SITE_KEY
 from locusloom.session import stage
 from locusloom.sinks.bins import WIDTH, BinTable
-from locusloom.sinks.ranges import in_ranges, place_keys
+from locusloom.sinks.ranges import NUMBER, in_ranges, numbered, place_keys
 
 # Keys of a run's metadata.
 METADATA_KEYS = [
@@ -143,16 +143,46 @@ def summary_document(
 
 # -- relational ------------------------------------------------------------------------
 
-def relational_frames(merged: DataFrame, metadata: DataFrame, scored: DataFrame | None = None) -> dict[str, DataFrame]:
+#: Rows that one task sorts by content, and copies of a site from which on they are dealt to several tasks first.
+SITE_ROWS, SITE_COPIES = 1 << 15, 1000
+
+
+def _greatest(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*payload)).alias("_m"))
+    return best.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in payload])
+
+
+def one_per_site(merged: DataFrame, staged: bool = False) -> DataFrame:
+    """The greatest row by content of each site.
+
+    Wide rows are sorted for that, so they are dealt to as many tasks as their number asks for: what a task sorts does not
+    grow with the table. Copies of a site that has very many are dealt to tasks of their own, and the best of those compared.
+    """
+    rows = merged if staged else stage(merged, "sites")
+    payload = [c for c in merged.columns if c not in SITE_KEY]
+    tasks = -(-rows.count() // SITE_ROWS) or 1
+    copies = F.count("*").alias("_copies")
+    hot = stage(rows.groupBy(*SITE_KEY).agg(copies).filter(F.col("_copies") > SITE_COPIES), "hot-sites")
+    if hot.isEmpty():
+        return _greatest(rows.repartition(tasks, *SITE_KEY), SITE_KEY, payload).select(*merged.columns)
+    part = F.pmod(F.col(NUMBER), F.ceil(F.col("_copies") / SITE_COPIES))
+    dealt = numbered(rows).join(hot, SITE_KEY, "left").select(
+        *merged.columns, F.coalesce(part, F.lit(-1)).cast("bigint").alias("_part")).repartition(tasks, *SITE_KEY, "_part")
+    best = _greatest(dealt, [*SITE_KEY, "_part"], payload)
+    few, many = best.filter("_part < 0"), best.filter("_part >= 0")
+    return few.select(*merged.columns).unionAll(_greatest(many, SITE_KEY, payload).select(*merged.columns))
+
+
+def relational_frames(
+    merged: DataFrame, metadata: DataFrame, scored: DataFrame | None = None, staged: bool = False,
+) -> dict[str, DataFrame]:
     """variants (long), pgs_unscaled, pgs_scaled and metadata.
 
     Variants are made unique per site while compact; the sample is part of the key, so that is
     the same as making the long rows unique, at a 51st of the rows. Panel rows of one site have
     no order among themselves; the greatest by content is kept.
     """
-    payload = [c for c in merged.columns if c not in SITE_KEY]
-    unique = merged.groupBy(*SITE_KEY).agg(F.max(F.struct(*payload)).alias("_m")).select(
-        *[F.col(c) if c in SITE_KEY else F.col(f"_m.{c}").alias(c) for c in merged.columns])
+    unique = one_per_site(merged, staged)
     frames = {"variants": to_long(unique), "metadata": metadata_rows(metadata)}
     if scored is not None:
         frames["pgs_unscaled"] = pgs_output(scored, scaled=False)

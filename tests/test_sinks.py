@@ -10,6 +10,7 @@ from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, merge_s
 from locusloom.operators.pgs import scale_pgs
 from locusloom.operators.stats import run_statistics
 from locusloom.plans.derived import CALL_ORDER, Tables
+from locusloom.schemas import SITE_KEY
 from locusloom.sinks import tables, vcf
 from locusloom.sources.files import output_register
 from locusloom.sources.vcf import scan_vcf
@@ -113,3 +114,22 @@ def test_register(spark, merged, tmp_path):
     assert rows and all(r.file_type == "vcf" for r in rows)
     path = rows[0].path.removeprefix("file:")
     assert rows[0].hash_sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest()
+
+
+def test_sites_are_compared_in_bounded_tasks(spark, merged, monkeypatch):
+    """Tasks by the number of rows, and a site of very many copies in several; the greatest by content stays."""
+    few = merged.limit(60).persist()
+    site = few.orderBy(*SITE_KEY).first()
+    hot = few.filter((F.col("chromosome") == site.chromosome) & (F.col("position") == site.position)).crossJoin(spark.range(90)).withColumn(
+        "user_dosage", F.col("id") / 100).drop("id")
+    rows = few.unionAll(hot).unionAll(few.withColumn("rsid", F.lit(None).cast("string")))
+    expected = rows.groupBy(*SITE_KEY).agg(F.max(F.struct(*[c for c in rows.columns if c not in SITE_KEY])).alias("m")).select(
+        *[c if c in SITE_KEY else f"m.{c}" for c in rows.columns])
+    monkeypatch.setattr(tables, "SITE_ROWS", 30)
+    for copies in (1000, 25):
+        monkeypatch.setattr(tables, "SITE_COPIES", copies)
+        got = tables.one_per_site(rows)
+        assert got.count() == expected.count() == 60 and got.exceptAll(expected).count() == 0
+    plain = tables._greatest(rows.repartition(7, *SITE_KEY), SITE_KEY, ["rsid", "user_dosage"])
+    assert plain.rdd.getNumPartitions() == 7  # the aggregate keeps to the tasks it was dealt to
+    few.unpersist()
