@@ -2,8 +2,11 @@
 
 Rows lie in folders ``data/version=V/chromosome=C/bin=B``, where a bin is ``width`` positions. A manifest for each version names, for every bin,
 the version that holds its rows. A change writes the bins it touches under the next version's number and then that
-version's manifest: until the manifest stands, readers keep to the one before. The manifest has one row per bin (3,100 for a
-human genome in bins of a million, whatever the number of rows), so it may be broadcast, and readers list exactly the folders it names.
+version's manifest: until the manifest stands, readers keep to the one before. The manifest has one row per bin, so it may be
+broadcast, and readers list exactly the folders it names.
+
+Without a given width the first rows of a table set it, so that a bin holds about ``BIN_ROWS`` of them: there are as many
+folders and files as the rows fill, and not one for every stretch of the genome with a few rows in it. The width stands in the manifest.
 
 A change that is repeated under its own number (after a lost driver) starts again from the version before it and overwrites what it had written.
 """
@@ -18,14 +21,24 @@ from locusloom.operators.dedup import last_wins
 from locusloom.session import stage
 
 BIN = ["chromosome", "bin"]
-WIDTH = 1_000_000
+WIDTH = 1_000_000  # of a table that has no rows
+BIN_ROWS = 1 << 15
 _MANIFEST = "chromosome int, bin bigint, version bigint"
+_STORED = "chromosome int, bin bigint, held bigint, width bigint"
 
 
 def bin_of(position: str = "position", width: int = WIDTH) -> Column:
     return F.expr(f"{position} div {width}")
 
 
+def fitting_width(rows: DataFrame, bin_rows: int | None = None) -> int | None:
+    """Positions that hold about ``bin_rows`` rows, by where the middle nine tenths of each chromosome's rows lie; None without rows."""
+    ends = F.percentile_approx("position", [0.05, 0.95], 1000)
+    per_chromosome = rows.groupBy("chromosome").agg(F.count("position").alias("n"), ends.alias("e")).filter("n > 0")
+    found = per_chromosome.agg(F.sum(F.col("n")).alias("n"), F.sum(F.col("e")[1] - F.col("e")[0] + 1).alias("span")).first()
+    return max(1, -(-int(found.span) * (bin_rows or BIN_ROWS) * 10 // (int(found.n) * 9))) if found.n else None
+
+
 def _placed(column: Column, kind: str) -> Column:
     """The column; rows without it have no bin and end the write with an error."""
     return F.coalesce(column, F.raise_error(F.lit("a row without chromosome or position can't be stored")).cast(kind))
@@ -34,12 +47,32 @@ def _placed(column: Column, kind: str) -> Column:
 class BinTable:
     """A table with ``chromosome``, ``position`` and further columns, at most one row per key after ``upsert``."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], width: int = WIDTH):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], width: int | None = None):
         if not {"chromosome", "position"} <= set(keys):
             raise ValueError("keys must hold chromosome and position")
-        self.spark, self.path, self.schema, self.keys, self.width = spark, path.rstrip("/"), schema, keys, width
+        self.spark, self.path, self.schema, self.keys, self._width = spark, path.rstrip("/"), schema, keys, width
         self._stored = T.StructType([f for f in schema if f.name != "chromosome"]).add("version", "long").add("chromosome", "integer").add("bin", "long")
 
+    # -- width ---------------------------------------------------------------------------
+
+    @property
+    def width(self) -> int:
+        """Positions of a bin: as given, or as stored with the newest version."""
+        return self._width or self._stored_width(self.version()) or WIDTH
+
+    @width.setter
+    def width(self, width: int) -> None:
+        self._width = width
+
+    def _stored_width(self, version: int | None) -> int | None:
+        row = None if version is None else self._manifest(version).first()
+        return row and (row.width or WIDTH)  # tables from before widths were stored
+
+    def fit(self, rows: DataFrame, below: int | None = None) -> None:
+        """Keep to the stored width; where no version (below a number) has rows, let these set it."""
+        if self._width is None:
+            self._width = self._stored_width(self.version(below)) or fitting_width(rows)
+
     # -- versions ------------------------------------------------------------------------
 
     def versions(self) -> list[int]:
@@ -61,8 +94,10 @@ class BinTable:
         """Bins and the version that holds their rows, as of a version."""
         if version is None:
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST.replace("version", "held")).parquet(f"{self.path}/manifest/version={version}").select(
-            "chromosome", "bin", F.col("held").alias("version"))
+        return self._manifest(version).select("chromosome", "bin", F.col("held").alias("version"))
+
+    def _manifest(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_STORED).parquet(f"{self.path}/manifest/version={version}")
 
     # -- reading -------------------------------------------------------------------------
 
@@ -86,8 +121,9 @@ class BinTable:
         """Put ``rows`` in place of all rows of ``bins`` (bins without rows become empty); the new version's number."""
         before = self.version(version)
         version = (-1 if before is None else before) + 1 if version is None else version
+        width = self.width
         order = [c for c in self.keys if c not in ("chromosome", "position")]
-        placed = rows.select(*self.schema.fieldNames(), _placed(bin_of(width=self.width), "bigint").alias("bin")).withColumn(
+        placed = rows.select(*self.schema.fieldNames(), _placed(bin_of(width=width), "bigint").alias("bin")).withColumn(
             "chromosome", _placed(F.col("chromosome"), "int"))
         # Ranges down to the whole key split a bin, and a place, that holds very many rows.
         dealt = placed.repartitionByRange("chromosome", "bin", "position", *order).sortWithinPartitions("chromosome", "bin", "position", *order)
@@ -95,7 +131,7 @@ class BinTable:
         kept = self.manifest(before).join(F.broadcast(bins.select(*BIN)), BIN, "left_anti")
         written = self.spark.read.schema(self._stored).parquet(f"{self.path}/data/version={version}").select(*BIN).distinct()
         now = kept.unionByName(written.withColumn("version", F.lit(version).cast("bigint")))
-        now.select("chromosome", "bin", F.col("version").alias("held")).coalesce(1).write.mode("overwrite").parquet(
+        now.select("chromosome", "bin", F.col("version").alias("held"), F.lit(width).cast("bigint").alias("width")).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/manifest/version={version}")
         return version
 
@@ -107,6 +143,7 @@ class BinTable:
         """
         payload = [c for c in self.schema.fieldNames() if c not in self.keys]
         new = stage(last_wins(rows, self.keys, order, payload).select(*self.schema.fieldNames()), "upsert-rows")
+        self.fit(new, version)
         bins = stage(self.touched(new), "upsert-bins")
         before = self.version(version)
         if bins.isEmpty():

@@ -9,7 +9,7 @@ from locusloom.operators.merge import to_long, with_samples
 from locusloom.operators.pgs import pgs_output
 from locusloom.schemas import LONG_COLUMNS, SITE_KEY
 from locusloom.session import stage
-from locusloom.sinks.bins import WIDTH, BinTable
+from locusloom.sinks.bins import BinTable
 from locusloom.sinks.ranges import NUMBER, in_ranges, numbered, place_keys
 
 # Keys of a run's metadata.
@@ -190,12 +190,12 @@ def relational_frames(
     return frames
 
 
-def variant_table(spark, path: str, schema, width: int = WIDTH) -> BinTable:
+def variant_table(spark, path: str, schema, width: int | None = None) -> BinTable:
     """The stored variants of a relational export: compact merged rows, one per site, in bins that can be replaced by key."""
     return BinTable(spark, f"{path}/variants", schema, SITE_KEY, width)
 
 
-def upsert_variants(merged: DataFrame, path: str, version: int | None = None, width: int = WIDTH) -> int | None:
+def upsert_variants(merged: DataFrame, path: str, version: int | None = None, width: int | None = None) -> int | None:
     """Insert a run's rows or replace those of the same site; the sample is part of the key of the long rows, so replacing the
     compact row replaces all 51. Rows that repeat a site have no order among themselves; the greatest by content is kept."""
     return variant_table(merged.sparkSession, path, merged.schema, width).upsert(merged, [], version)[0]

@@ -10,7 +10,7 @@ from locusloom.operators.merge import DEFAULT_RULES, MergeRules, autosomal, merg
 from locusloom.operators.stats import run_statistics
 from locusloom.schemas import AUTOSOMES, IMPUTED_ROWS, SITE_KEY
 from locusloom.session import stage
-from locusloom.sinks.bins import WIDTH, BinTable
+from locusloom.sinks.bins import BinTable
 from locusloom.sources.lines import LINE_ORDER
 from locusloom.sources.vcf import DEFAULT_MAX_ERRORS, VcfErrorBudgetExceeded, file_report, parse_vcf_lines
 
@@ -23,7 +23,7 @@ _RECEIVED = (
 class ChromosomeFeed:
     """Keeps a merged table up to date with arriving VCF text files.
 
-    Four tables in bins of position: panel and calls, written once; the imputed rows that count so far, one per site (the
+    Four tables in the same bins of position, as wide as the panel's rows ask for unless a width is given: panel and calls, written once; the imputed rows that count so far, one per site (the
     last to arrive); and the merge. A batch rewrites the bins of its own rows in the last two, from what
     those bins hold, so its cost does not grow with the batches before it. Versions bear the batch's number: a batch that
     is replayed after a failure starts from the version before it, and readers see whole versions only.
@@ -34,7 +34,7 @@ class ChromosomeFeed:
 
     def __init__(
         self, spark: SparkSession, panel: DataFrame, calls: DataFrame, table_path: str, rules: MergeRules = DEFAULT_RULES,
-        width: int = WIDTH, max_errors: int = DEFAULT_MAX_ERRORS, on_excess: str = "fail",
+        width: int | None = None, max_errors: int = DEFAULT_MAX_ERRORS, on_excess: str = "fail",
     ):
         if rules.key != "site":
             raise ValueError("a feed merges by site")
@@ -55,13 +55,21 @@ class ChromosomeFeed:
 
     def initialise(self) -> None:
         """Write panel and calls in bins, and every bin's merge from them alone, as version 0."""
-        for table, rows in ((self.panel_bins, self.panel), (self.call_bins, self.calls)):
+        # Dealing rows to ranges reads them twice.
+        panel, calls = stage(self.panel, "feed-panel"), stage(self.calls, "feed-calls")
+        self.panel_bins.fit(panel, 0)
+        self._align()
+        for table, rows in ((self.panel_bins, panel), (self.call_bins, calls)):
             table.replace(rows, table.touched(rows), 0)
-        panel = self.panel_bins.read()
+        panel = self.panel_bins.read(0)
         empty = self.spark.createDataFrame([], IMPUTED_ROWS)
-        merged = stage(self._merge(panel, self.call_bins.read(), empty), "feed-merged")
+        merged = stage(self._merge(panel, self.call_bins.read(0), empty), "feed-merged")
         self.table.replace(merged, self.panel_bins.touched(panel), 0)
 
+    def _align(self) -> None:
+        """All tables have the panel's bins."""
+        self.call_bins.width = self.state.width = self.table.width = self.panel_bins.width
+
     def start(self, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         lines = self.spark.readStream.format("text").load(folder).select(
             "value", F.col("_metadata.file_path").alias("file_path"),
@@ -71,6 +79,7 @@ class ChromosomeFeed:
 
     def append(self, lines: DataFrame, batch_id: int) -> None:
         """One batch of VCF lines; version ``batch_id`` of the state and ``batch_id + 1`` of the merge."""
+        self._align()
         numbered = lines.withColumn("row_id", F.monotonically_increasing_id())
         parsed = parse_vcf_lines(numbered).withColumns({
             "value": F.when(F.col("error").isNotNull(), F.col("value")), "batch": F.lit(batch_id)})

@@ -121,3 +121,32 @@ def test_feed_enforces_the_budget_of_each_file(spark, tmp_path):
             assert [(r.file_path.rsplit("/", 1)[1], r.error_rows) for r in feed.refused().collect()] == [("b.vcf", 3)]
     with pytest.raises(ValueError):
         ChromosomeFeed(spark, panel, none, "x", on_excess="other")
+
+
+def test_bins_are_as_wide_as_their_rows_ask_for(spark, tmp_path, monkeypatch):
+    """Rows far apart share bins, as many folders as the rows fill; the width is kept by later changes and other objects."""
+    monkeypatch.setattr("locusloom.sinks.bins.BIN_ROWS", 100)
+    far = [(c, p * 2_000_000, "G", 0.5) for c in (1, 2) for p in range(1, 400)] + [(1, 2**40, "G", 0.5)]
+    table = BinTable(spark, str(tmp_path / "t"), IMPUTED_ROWS, SITE_KEY)
+    table.upsert(rows(spark, far), ["n"])
+    assert table.manifest(0).count() <= 11 and table.read().count() == len(far)
+    again = BinTable(spark, str(tmp_path / "t"), IMPUTED_ROWS, SITE_KEY)
+    _, bins = again.upsert(rows(spark, [(2, 2_000_000, "G", 1.5), (2, 2_000_001, "G", 1.5)]), ["n"])
+    assert again.width == table.width > 100_000_000 and bins.count() == 1
+    assert again.read().count() == len(far) + 1 and again.read().filter("dosage = 1.5").count() == 2
+    # Repeated under its own number, the first write sets the width anew from its rows.
+    first = BinTable(spark, str(tmp_path / "t"), IMPUTED_ROWS, SITE_KEY)
+    assert first.upsert(rows(spark, far[:3]), ["n"], version=0)[0] == 0 and first.read(0).count() == 3
+
+
+def test_a_feed_has_one_width_for_its_tables(spark, tmp_path):
+    panel = panel_rows(spark, [(1, p * 3_000_000, None, "A", "G", 0.95) for p in range(1, 200)])
+    calls = spark.createDataFrame([("c", "1", 6_000_000, "GG", "f", 0, 0)], CALLS)
+    ChromosomeFeed(spark, panel, calls, str(tmp_path / "t")).initialise()
+    feed = ChromosomeFeed(spark, panel, calls, str(tmp_path / "t"))  # after a restart
+    (tmp_path / "a.vcf").write_text(lines([(1, 3_000_000 * p, 1.5, 0.9) for p in range(1, 100)]))
+    feed.append(spark.read.text(str(tmp_path / "a.vcf")).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split_start")), 0)
+    widths = {t._stored_width(t.version()) for t in (feed.panel_bins, feed.call_bins, feed.state, feed.table)}
+    assert widths == {feed.panel_bins.width} and feed.table.manifest(1).count() == 1
+    assert feed.merged().count() == 199 and feed.merged().filter("user_dosage = 1.5").count() == 98
