@@ -33,7 +33,7 @@ _PARSED = "rsid, chromosome, position, ref_allele, alt_allele, dosage, imputatio
 @query("vcf_from_blocks", f"SELECT {_PARSED} FROM ({VCF_SQL}) WHERE error IS NULL")
 def _(t):
     path = staged_path(t.spark, "imputed-blocks")
-    block_sink.write_block_text(vcf_lines(t).select("value").repartition(2), path)
+    block_sink.write_block_text(vcf_lines(t).select("value"), path)
     read = read_vcf(t.spark, f"{path}/data", max_errors=2**62, lines=partial(read_block_lines, range_bytes=_RANGE))
     return read.rows.select(*_PARSED.split(", "))
 

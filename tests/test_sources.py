@@ -216,3 +216,26 @@ def test_filters_on_errors_split_a_line_once(spark, tmp_path, tags):
         assert plan.count("split(rtrim(") == 1
     assert [(r.rsid, r.position, r.dosage, r.imputation_quality) for r in good.collect()] == [("rs5", 5, 1.5, 0.5)]
     assert sorted((r.position, r.error) for r in bad.collect()) == [(6, "invalid chromosome"), (7, "no DS in FORMAT")]
+
+
+def test_line_rules_split_a_line_once(spark):
+    from locusloom.operators import compare
+
+    vcf_text = spark.createDataFrame([("##fileformat=VCFv4.2", "a"), ("1\t5\t.\tA\tG\t.\t.\tR2=0.5", "a"), ("X\t5\t.\tA\tQ\t.\t.\t.", "a")], "value string, file_path string")
+    call_text = spark.createDataFrame([("# c", "g"), (" rs1 \t1\t5\tAG ", "g"), ("rs2\tQ\t5\tA", "g")], "value string, file_path string")
+    found = {}
+    for rules in (compare.vcf_line_rules(vcf_text, ("R2",)), compare.call_line_rules(call_text, 1)):
+        assert rules._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+        found |= {r.rule: r.violations for r in rules.collect()}
+    assert found == {"vcf_version": 0, "vcf_chromosome": 1, "vcf_info": 1, "vcf_alleles": 1, "call_header": 0, "call_chromosome": 1, "call_genotype": 1}
+
+
+def test_block_lines_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    from locusloom.plans.catalog import QUERIES  # isort: skip
+    from locusloom.plans import catalog_files
+
+    paths, write = [], catalog_files.block_sink.write_block_text
+    monkeypatch.setattr(catalog_files.block_sink, "write_block_text", lambda rows, path: (paths.append(path), write(rows, path)))
+    QUERIES["vcf_from_blocks"](spark, sf_dir)
+    parts = [n for n in os.listdir(os.path.join(paths[0].removeprefix("file://"), "data")) if n.endswith(".gz")]
+    assert len(parts) == 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))  # and the block that ends the file
