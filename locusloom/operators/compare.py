@@ -108,10 +108,15 @@ CALL_CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y", "MT"]
 CALL_HEADER_LINES = 12
 
 
+def _split_once(lines: DataFrame, fields: Column) -> DataFrame:
+    """Lines with their fields as ``_f``; exploded, so that no rule splits the line again."""
+    return lines.select("value", "file_path", F.explode(F.array(fields)).alias("_f"))
+
+
 def vcf_line_rules(lines: DataFrame, tags: tuple[str, ...] = ("DR2",), least_version: int = 2) -> DataFrame:
     """Rules of VCF text (value, file_path), from one scan: files that state no version 4.2 or later, data lines off the
     chromosomes 1 to 22, without a number under a required INFO tag, and with other letters than bases in REF or the first ALT."""
-    f = F.split("value", "\t")
+    f = F.col("_f")
     data = ~F.col("value").startswith("#") & (F.trim("value") != "")
     version = F.regexp_extract("value", r"^##fileformat=VCFv4[.]([0-9]{1,4})$", 1).try_cast("int")
     bad = {
@@ -119,7 +124,7 @@ def vcf_line_rules(lines: DataFrame, tags: tuple[str, ...] = ("DR2",), least_ver
         "vcf_info": info_quality(F.coalesce(F.get(f, F.lit(7)), F.lit("")), tags).isNull(),
         "vcf_alleles": ~F.coalesce(F.get(f, F.lit(3)).rlike("^[ACGT]+$") & F.substring_index(F.get(f, F.lit(4)), ",", 1).rlike("^[ACGT]+$"), F.lit(False)),
     }
-    per_file = lines.groupBy("file_path").agg(
+    per_file = _split_once(lines, F.split("value", "\t")).groupBy("file_path").agg(
         F.max((version >= least_version).cast("int")).alias("_ok"), *[F.count_if(data & c).alias(n) for n, c in bad.items()])
     return _rules(per_file, {"vcf_version": F.count_if(F.coalesce("_ok", F.lit(0)) == 0), **{n: F.sum(n) for n in bad}})
 
@@ -127,11 +132,11 @@ def vcf_line_rules(lines: DataFrame, tags: tuple[str, ...] = ("DR2",), least_ver
 def call_line_rules(lines: DataFrame, header_lines: int = CALL_HEADER_LINES) -> DataFrame:
     """Rules of array-call text (value, file_path), from one scan: files with fewer comment lines, chromosomes of another
     name, and genotypes that are neither two letters nor a no-call."""
-    f = F.split(F.trim("value"), r"\s+")
+    f = F.col("_f")
     comment = F.col("value").startswith("#")
     data = ~comment & (F.trim("value") != "")
     chromosome, genotype = F.get(f, F.lit(1)), F.get(f, F.lit(3))
-    per_file = lines.groupBy("file_path").agg(
+    per_file = _split_once(lines, F.split(F.trim("value"), r"\s+")).groupBy("file_path").agg(
         F.count_if(comment).alias("_head"),
         F.count_if(data & ~F.coalesce(chromosome.isin(CALL_CHROMOSOMES), F.lit(False))).alias("call_chromosome"),
         F.count_if(data & ~F.coalesce(genotype.rlike("^([ACGT]{2}|--|[DI]{2})$"), F.lit(False))).alias("call_genotype"))
@@ -141,7 +146,9 @@ def call_line_rules(lines: DataFrame, header_lines: int = CALL_HEADER_LINES) ->
 
 def panel_dosage_rule(panel: DataFrame) -> DataFrame:
     """Panel cells whose dosage is outside 0 to 2, counted in the row's own array."""
-    bad = F.size(F.filter("sample_genotypes", lambda g: ~genotype_text_dosage(g).between(0.0, 2.0)))
+    # Dosages first: both bounds would else take each cell's text apart.
+    dosages = F.transform("sample_genotypes", lambda g: genotype_text_dosage(g))
+    bad = F.size(F.filter(dosages, lambda d: ~d.between(0.0, 2.0)))
     return _rules(panel, {"panel_dosage": F.sum(bad)})
 
 
