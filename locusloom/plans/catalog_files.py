@@ -127,7 +127,8 @@ def _(t):
     total = F.lit(str(t.spark.read.json(f"{path}/metadata").first()["total_snps"]))  # one document
     parsed = t.spark.read.text(f"{path}/variants").select(F.from_json("value", "chromosome int, samples array<struct<dosage: double>>").alias("d"))
     dosage = F.aggregate("d.samples.dosage", F.lit(0.0), lambda a, x: a + x)
-    return parsed.groupBy("d.chromosome").agg(F.count("*").alias("variants"), r6(F.sum(dosage)).alias("dosage_sum"), F.min(total).alias("total_snps"))
+    sums = parsed.select("d.chromosome", dosage.alias("dosage")).groupBy("chromosome")
+    return sums.agg(F.count("*").alias("variants"), r6(F.sum("dosage")).alias("dosage_sum")).withColumn("total_snps", total)
 
 
 @query("score_files", """

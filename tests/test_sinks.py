@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, merge_single_sample, to_long
 from locusloom.operators.pgs import scale_pgs
 from locusloom.operators.stats import run_statistics
+from locusloom.plans.catalog import QUERIES
 from locusloom.plans.derived import CALL_ORDER, Tables
 from locusloom.schemas import SITE_KEY
-from locusloom.sinks import tables, vcf
+from locusloom.session import stage
+from locusloom.sinks import ranges, tables, vcf
 from locusloom.sources.files import output_register
 from locusloom.sources.vcf import scan_vcf
 
@@ -133,3 +135,22 @@ def test_sites_are_compared_in_bounded_tasks(spark, merged, monkeypatch):
     plain = tables._greatest(rows.repartition(7, *SITE_KEY), SITE_KEY, ["rsid", "user_dosage"])
     assert plain.rdd.getNumPartitions() == 7  # the aggregate keeps to the tasks it was dealt to
     few.unpersist()
+
+
+def test_ranges_follow_the_number_of_rows(spark, merged, monkeypatch):
+    """Few bytes in many wide rows are still dealt to as many tasks as their rows ask for."""
+    rows = stage(merged, "ranged")
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    many = -(-rows.count() // 50)
+    dealt = tables.by_place(rows, staged=True).withColumn("part", F.spark_partition_id()).persist()
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert len(sizes) == many > 8 and max(sizes) < 150
+    assert [tuple(r) for r in dealt.select(*SITE_KEY).collect()] == [tuple(r) for r in rows.select(*SITE_KEY).orderBy(*SITE_KEY, "rsid").collect()]
+    dealt.unpersist()
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 10**6)
+    assert ranges.range_count(rows) == min(4, -(-rows.count() // ranges.FEW_ROWS)) and ranges.range_count(rows.filter("false")) == 1
+
+
+def test_parsed_documents_are_not_sorted(spark, sf_dir):
+    plan = QUERIES["json_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
