@@ -251,8 +251,21 @@ def merge_counters(panel: DataFrame, merged: DataFrame, rules: MergeRules = DEFA
     )
 
 
-def with_samples(merged: DataFrame) -> DataFrame:
-    """Wide form: ``samples`` array of 51 structs, samp1..samp50 in panel order and the person last."""
+def user_sample() -> Column:
+    """The person's struct in ``samples``."""
+    return F.struct(
+        F.lit(USER_SAMPLE).alias("sample_id"), F.col("user_genotype").alias("genotype"),
+        F.col("user_dosage").alias("dosage"), F.col("user_source").alias("source"),
+        F.col("user_quality").alias("imputation_quality"),
+    )
+
+
+#: The columns of a variant itself in the wide form.
+SITE_COLUMNS = ["rsid", *SITE_KEY, "allele_freq", "minor_allele_freq", "is_typed"]
+
+
+def samples() -> Column:
+    """Array of 51 structs, samp1..samp50 in panel order and the person last."""
     source = panel_source("is_typed")
 
     def panel_sample(genotype: Column, i: Column) -> Column:
@@ -262,15 +275,12 @@ def with_samples(merged: DataFrame) -> DataFrame:
             F.col("panel_quality").alias("imputation_quality"),
         )
 
-    user = F.struct(
-        F.lit(USER_SAMPLE).alias("sample_id"), F.col("user_genotype").alias("genotype"),
-        F.col("user_dosage").alias("dosage"), F.col("user_source").alias("source"),
-        F.col("user_quality").alias("imputation_quality"),
-    )
-    return merged.select(
-        "rsid", "chromosome", "position", "ref_allele", "alt_allele", "allele_freq", "minor_allele_freq",
-        "is_typed", F.concat(F.transform("sample_genotypes", panel_sample), F.array(user)).alias("samples"),
-    )
+    return F.concat(F.transform("sample_genotypes", panel_sample), F.array(user_sample()))
+
+
+def with_samples(merged: DataFrame) -> DataFrame:
+    """Wide form: the variant's columns and its ``samples``."""
+    return merged.select(*SITE_COLUMNS, samples().alias("samples"))
 
 
 def _sample_name(number: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusloom.operators.merge import to_long, with_samples
+from locusloom.functions.genotype import panel_source
+from locusloom.operators.merge import SITE_COLUMNS, samples, to_long, user_sample
 from locusloom.operators.pgs import pgs_output
-from locusloom.schemas import LONG_COLUMNS, SITE_KEY
+from locusloom.schemas import LONG_COLUMNS, PANEL_SAMPLES, SITE_KEY
 from locusloom.session import stage
 from locusloom.sinks.bins import BinTable
 from locusloom.sinks.ranges import NUMBER, in_ranges, numbered, place_keys
@@ -62,13 +63,38 @@ def write_single_parquet(single: DataFrame, path: str) -> None:
 
 # -- JSON ------------------------------------------------------------------------------
 
+#: Dosages of the four phased genotypes that nearly all panel samples have.
+_USUAL = {"0|0": "0.0", "0|1": "1.0", "1|0": "1.0", "1|1": "2.0"}
+
+
+def _usual_samples(rest: Column) -> Column:
+    """The panel samples as JSON objects, each with a comma behind it; NULL where a genotype is not a usual one.
+
+    Samples of a row differ in name and genotype only; ``rest`` is what follows the dosage.
+    """
+    def cell(i: int) -> list[Column]:
+        g, middle = F.get("sample_genotypes", F.lit(i)), F
+        for text, dosage in _USUAL.items():
+            middle = middle.when(g == text, F.lit(f'{text}","dosage":{dosage},'))
+        return [F.lit(f'{{"sample_id":"samp{i + 1}","genotype":"'), middle, rest, F.lit(",")]
+
+    return F.when(F.size("sample_genotypes") == PANEL_SAMPLES, F.concat(*[part for i in range(PANEL_SAMPLES) for part in cell(i)]))
+
+
 def variant_json(merged: DataFrame) -> DataFrame:
     """chromosome, position, ``value``: one JSON document per variant with its 51 samples.
 
-    Absent numbers are left out.
+    Absent numbers are left out. Rows of 50 usual genotypes are joined as text in generated code; other rows are made sample by
+    sample, which gives the same text.
     """
-    wide = with_samples(merged)
-    return wide.select("chromosome", "position", F.to_json(F.struct(*wide.columns)).alias("value"))
+    rest = F.to_json(F.struct(panel_source("is_typed").alias("source"), F.col("panel_quality").alias("imputation_quality")))
+    rows = merged.withColumns({
+        "_site": F.rtrim(F.to_json(F.struct(*SITE_COLUMNS)), F.lit("}")),
+        "_rest": F.ltrim(rest, F.lit("{"))})
+    comma = F.when(F.col("_site") == "{", F.lit("")).otherwise(F.lit(","))
+    usual = F.concat("_site", comma, F.lit('"samples":['), _usual_samples(F.col("_rest")), F.to_json(user_sample()), F.lit("]}"))
+    whole = F.to_json(F.struct(*SITE_COLUMNS, samples().alias("samples")))
+    return rows.select("chromosome", "position", F.coalesce(usual, whole).alias("value"))
 
 
 def score_json(scored: DataFrame) -> DataFrame:

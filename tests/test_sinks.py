@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, merge_single_sample, to_long
+from locusloom.operators.merge import DEFAULT_RULES, merge_multi_sample, merge_single_sample, to_long, with_samples
 from locusloom.operators.pgs import scale_pgs
 from locusloom.operators.stats import run_statistics
 from locusloom.plans.catalog import QUERIES
@@ -154,3 +154,24 @@ def test_ranges_follow_the_number_of_rows(spark, merged, monkeypatch):
 def test_parsed_documents_are_not_sorted(spark, sf_dir):
     plan = QUERIES["json_documents"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_usual_samples_are_joined_as_text(spark, merged):
+    """The text equals that made sample by sample, whatever the row holds; only usual rows take the short way."""
+    rows = merged.limit(20)
+    cells = ["0|0", "0|1", "1|0", "1|1"] * 12 + ["1|1", "0|0"]
+    odd = [["0/1"] + cells[1:], cells[:49], [*cells, "0|0"], [None, *cells[1:]], ["0|0\t0|1", *cells[2:], None], ['a"b', *cells[1:]], []]
+    for given in odd:
+        rows = rows.unionAll(merged.limit(1).withColumn("sample_genotypes", F.lit(given) if given else F.array().cast("array<string>")))
+    rows = rows.unionAll(merged.limit(1).withColumn("sample_genotypes", F.lit(None).cast("array<string>")))
+    usual = merged.limit(1).withColumn("sample_genotypes", F.lit(cells))
+    empty = usual.withColumns({c: F.lit(None).cast(t) for c, t in usual.dtypes if c != "sample_genotypes"})
+    brace = usual.withColumns({"rsid": F.lit('x"}}'), "is_typed": F.lit(None).cast("boolean"), "panel_quality": F.lit(float("nan"))})
+    rows = rows.unionAll(empty).unionAll(brace).persist()
+    wide = with_samples(rows)
+    expected = wide.select("chromosome", "position", F.to_json(F.struct(*wide.columns)).alias("value"))
+    got = tables.variant_json(rows)
+    assert got.count() == expected.count() == 30 and got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+    short = rows.select(tables._usual_samples(F.lit("}")).alias("v")).collect()
+    assert sum(r.v is None for r in short) == 8
+    rows.unpersist()
