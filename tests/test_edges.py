@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from locusloom.functions.genotype import passes_quality
 from locusloom.operators import downloads, jobs, scoring
+from locusloom.session import configure
 from locusloom.sources import pgs
 
 
@@ -46,3 +47,16 @@ def test_no_calls_are_not_scored(spark):
         "trait string, rsid string, chromosome int, position bigint, effect_allele string, other_allele string, weight double")
     got = {(r.trait, r.sample_id): (r.raw_score, r.snp_count) for r in scoring.raw_scores(merged, weights).collect()}
     assert got == {("t", "samp1"): (21.0, 2), ("t", "samp2"): (10.0, 1), ("t", "samp3"): (10.0, 1), ("u", "samp1"): (1.0, 1)}
+
+
+def test_broadcasts_follow_measured_sizes(spark):
+    """Estimates follow compressed bytes, so only Spark's own limit holds for them; an owner's limit is kept."""
+    estimated, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    own = spark.newSession()
+    own.conf.unset(measured)
+    configure(own)
+    assert own.conf.get(estimated) == "10485760b" and own.conf.get(measured) == str(64 * 1024 * 1024)
+    assert int(own.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionNum")) == 12
+    own.conf.unset(measured)
+    own.conf.set(estimated, "-1")
+    assert configure(own).conf.get(measured) is None
