@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,21 +49,36 @@ class _Part:
         self.places: list[tuple[int, int, int]] = []  # chromosome, window, byte of the text
         self.last = (None, None)
 
-    def add(self, lines: list[str], chromosomes: list, positions: list) -> None:
-        encoded = [x.encode() for x in lines]
-        sizes = [len(data) + 1 for data in encoded]
-        begin = self.taken + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        for i, (c, p) in enumerate(zip(chromosomes, positions)):
-            if c and p is not None and p >= 0 and (c, p >> WINDOW_BITS) != self.last:
-                self.last = (c, p >> WINDOW_BITS)
-                self.places.append((c, p >> WINDOW_BITS, int(begin[i])))
-        self.taken += sum(sizes)
-        self.rest += b"\n".join(encoded) + b"\n"
+    def add(self, lines: pa.Array, chromosomes: pa.Array | None, positions: pa.Array | None) -> None:
+        """Lines as Arrow strings, and their places."""
+        if lines.null_count:
+            raise ValueError("a line is null")
+        ended = pc.binary_join_element_wise(lines, pa.scalar("", lines.type), pa.scalar("\n", lines.type)).cast(pa.large_string())
+        ends = np.frombuffer(ended.buffers()[1], np.int64, len(ended) + 1, ended.offset * 8)
+        text = memoryview(ended.buffers()[2])[int(ends[0]):int(ends[-1])]
+        if chromosomes is not None and positions is not None:
+            self._index(chromosomes, positions, self.taken + ends[:-1] - ends[0])
+        self.taken += len(text)
+        self.rest += text
         full = len(self.rest) // BLOCK_TEXT * BLOCK_TEXT
         for at in range(0, full, BLOCK_TEXT):
             self._write(bytes(self.rest[at:at + BLOCK_TEXT]))
         del self.rest[:full]
 
+    def _index(self, chromosomes: pa.Array, positions: pa.Array, begin: np.ndarray) -> None:
+        """Note where a window starts: lines whose place is in another one than that of the line with a place before them."""
+        placed = pc.and_(pc.not_equal(pc.fill_null(chromosomes, 0), 0), pc.greater_equal(pc.fill_null(positions, -1), 0))
+        at = np.flatnonzero(placed.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return
+        c = pc.fill_null(chromosomes, 0).to_numpy(zero_copy_only=False)[at]
+        w = pc.fill_null(positions, 0).to_numpy(zero_copy_only=False)[at] >> WINDOW_BITS
+        new = np.ones(len(at), bool)
+        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        new[0] = (int(c[0]), int(w[0])) != self.last
+        self.places += zip(c[new].tolist(), w[new].tolist(), begin[at[new]].tolist())
+        self.last = (int(c[-1]), int(w[-1]))
+
     def _write(self, text: bytes) -> None:
         data = block(text)
         self.out.write(data)
@@ -97,9 +113,8 @@ class BlockWriter(DataSourceArrowWriter):
             if part is None:
                 system.create_dir(f"{top}/_attempts", recursive=True)
                 part = _Part(system.open_output_stream(f"{top}/_attempts/{name}.vcf.gz", compression=None))
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            none = [None] * batch.num_rows
-            part.add(columns["value"], columns.get("chromosome", none), columns.get("position", none))
+            columns = dict(zip(batch.schema.names, batch.columns))
+            part.add(columns["value"], columns.get("chromosome"), columns.get("position"))
         if part is None:
             return Written(task.partitionId(), "")
         with system.open_output_stream(f"{top}/_attempts/{name}.tsv") as out:

@@ -12,7 +12,7 @@ from locusloom.functions.numeric import fixed_decimals
 from locusloom.schemas import AUTOSOMES, PANEL_SAMPLES, USER_SAMPLE
 from locusloom.session import stage
 from locusloom.sinks.blocks import write_block_text
-from locusloom.sinks.ranges import NUMBER, numbered
+from locusloom.sinks.ranges import NUMBER, numbered, range_count
 
 # Header lines.
 _MULTI_HEADER = [
@@ -58,21 +58,22 @@ def _quality_text(quality: str) -> Column:
     return F.coalesce(fixed_decimals(quality, 3), F.lit("."))
 
 
-def _panel_cells(end: Column) -> tuple[Column, Column]:
-    """The joined genotypes (for ``_joined``) and, from them, all panel cells as text. ``end`` follows each dosage.
+def _panel_cells(end: Column) -> Column:
+    """All panel cells as text. ``end`` follows each dosage.
 
-    Where a row has the four usual phased genotypes only, as nearly all have, they are joined and each is replaced by
-    itself with its dosage, in generated code; other rows are made cell by cell.
+    Where a row has 50 samples with the four usual phased genotypes only, as nearly all have, the cells are joined in generated
+    code; other rows are made cell by cell.
     """
-    usual = {"0|0": 0, "0|1": 1, "1|0": 1, "1|1": 2}
-    joined = F.concat(F.array_join("sample_genotypes", "\t"), F.lit("\t"))
-    text = F.col("_joined")
-    for genotype, n in usual.items():
-        text = F.replace(text, F.lit(f"{genotype}\t"), F.concat(F.lit(f"{genotype}:{n}.000"), end, F.lit("\t")))
+    def cell(i: int) -> Column:
+        g, text = F.get("sample_genotypes", F.lit(i)), F
+        for genotype, n in {"0|0": 0, "0|1": 1, "1|0": 1, "1|1": 2}.items():
+            text = text.when(g == genotype, F.lit(("\t" if i else "") + f"{genotype}:{n}.000"))
+        return text  # NULL, and with it the whole, for other genotypes
+
+    usual = F.concat(*[part for i in range(PANEL_SAMPLES) for part in (cell(i), end)])
     cells = F.transform("sample_genotypes", lambda g: F.concat(g, F.lit(":"), genotype_dosage_text(g)))
     general = F.concat(F.call_function("array_join", cells, F.concat(end, F.lit("\t"))), end)
-    plain = F.col("_joined").rlike(r"^([01]\|[01]\t)+$")
-    return joined, F.when(plain, F.rtrim(text, F.lit("\t"))).otherwise(general)
+    return F.coalesce(F.when(F.size("sample_genotypes") == PANEL_SAMPLES, usual), general)
 
 
 def multi_sample_lines(merged: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def multi_sample_lines(merged: DataFrame) -> DataFrame:
         F.concat(F.lit("MAF="), fixed_decimals("minor_allele_freq", 4)), F.when(F.col("is_typed"), F.lit("TYPED")))
     info = F.when(items == "", F.lit(".")).otherwise(items)
     end = F.concat(F.lit(":"), _quality_text("panel_quality"))
-    joined, panel = _panel_cells(F.col("_end"))
-    rows = merged.withColumns({"_end": end, "_joined": joined})
+    rows, panel = merged.withColumn("_end", end), _panel_cells(F.col("_end"))
     user = F.concat_ws(":", "user_genotype", fixed_decimals("user_dosage", 3), _quality_text("user_quality"))
     return rows.select(*_carried(rows), F.concat_ws("\t", *_site(info), F.lit("GT:DS:IQ"), panel, user).alias("value"))
 
@@ -116,7 +116,8 @@ def _ordered_lines(
     top = [(c, i - len(header), "", "", text) for c in chromosomes for i, text in enumerate(header)]
     head = spark.createDataFrame(top, "chromosome int, position bigint, ref_allele string, alt_allele string, header string")
     # The number splits a place with very many rows; header lines have none.
-    ordered = numbered(rows).unionByName(head, allowMissingColumns=True).orderBy(*_ORDER, NUMBER)
+    both = numbered(rows).unionByName(head, allowMissingColumns=True)
+    ordered = both.repartitionByRange(range_count(rows), *_ORDER, NUMBER).sortWithinPartitions(*_ORDER, NUMBER)
     return to_lines(ordered).select("chromosome", "position", F.coalesce("header", "value").alias("value"))
 
 

@@ -6,10 +6,15 @@ import hashlib
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from locusloom.plans.derived import Tables
+from locusloom.plans.registry import merged
+from locusloom.session import stage
 from locusloom.sinks import blocks as sink
+from locusloom.sinks import ranges, vcf
 from locusloom.sources import blocks, files
 from locusloom.sources.vcf import read_vcf
 
@@ -136,3 +141,20 @@ def test_hash_of_a_file_above_a_piece(spark, tmp_path):
 def test_short_files_share_a_task():
     ranges = [blocks.Range("a", 0, 10), blocks.Range("b", 0, 10), blocks.Range("c", 0, 100), blocks.Range("c", 100, 200), blocks.Range("d", 0, 5)]
     assert [[r.path for r in g.ranges] for g in blocks.grouped(ranges, 100)] == [["a", "b"], ["c"], ["c"], ["d"]]
+
+
+def test_vcf_parts_follow_the_number_of_rows(spark, sf_dir, tmp_path, monkeypatch):
+    """Few bytes in many wide rows are still written by as many tasks as their rows ask for, in order."""
+    rows = stage(merged(Tables(spark, sf_dir)), "rows")
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 50)
+    vcf.write_block_vcf(rows, str(tmp_path / "out"), ["##x", "#CHROM"], staged=True)
+    parts = sorted(glob.glob(f"{tmp_path}/out/data/part-*"))
+    assert len(parts) == -(-rows.count() // 50) + 1  # the last is the empty block
+    lines = gzip.decompress(b"".join(open(p, "rb").read() for p in parts)).decode().splitlines()
+    assert lines[:2] == ["##x", "#CHROM"] and lines[2:] == [
+        r.value for r in vcf.multi_sample_lines(rows).orderBy("chromosome", "position", "ref_allele", "alt_allele").collect()]
+
+
+def test_a_null_line_is_an_error():
+    with pytest.raises(ValueError):
+        sink._Part(None).add(pa.array(["a", None]), None, None)

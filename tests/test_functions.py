@@ -1,3 +1,4 @@
+import math
 import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
@@ -158,3 +159,15 @@ def test_heterozygous_and_display(spark):
 def test_fixed_decimals_of_odd_numbers(spark):
     got = values(spark, [(x,) for x in (float("nan"), float("inf"), -1e300, None, -0.0, 2.0 ** 62)], "x double", a=N.fixed_decimals("x", 3))
     assert [r[0] for r in got] == ["NaN", "inf", "-inf", None, "0.000", "4611686018427387904.000"]
+
+
+def test_usual_decimals_need_no_exact_steps(spark):
+    """The short way gives the rounded binary value too, also beside ties; odd numbers take the long one."""
+    rng = random.Random(3)
+    numbers = [rng.random() * 10 ** rng.randint(-6, 4) for _ in range(3000)]
+    for n in range(2000):
+        tie = rng.randint(0, 3000) + rng.choice([0.0625, 0.0005, 0.5005, 0.125, 0.00005, 0.0000005])
+        numbers += [tie, math.nextafter(tie, 0), math.nextafter(tie, 9e9), -tie, tie + 0.0009]
+    for places in (1, 3, 4, 6):
+        got = values(spark, [(x,) for x in numbers], "x double", a=N.fixed_decimals("x", places))
+        assert [g[0] for g in got] == [f"{x:.{places}f}" for x in numbers]
