@@ -17,7 +17,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,6 +32,8 @@ END_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000
 GZIP_HEAD = b"\x1f\x8b"
 #: Bytes of a file that one task reads.
 RANGE_BYTES = 32 << 20
+#: Ranges for each shuffle partition from which on they get longer.
+TASKS = 4
 #: Bytes fetched from a file at a time, and text handed on at a time.
 PIECE, TEXT = 1 << 20, 4 << 20
 
@@ -236,6 +240,13 @@ def grouped(ranges: list[Range], most: int) -> list[Group]:
     return out
 
 
+def _lines(text: bytes) -> pa.Array:
+    """The lines of whole lines of text, split by Arrow."""
+    body = pa.array([text.decode("utf-8", "replace").removesuffix("\n")], type=pa.string())
+    lines = pc.split_pattern(body, "\n").flatten()
+    return pc.replace_substring_regex(lines, r"\r\z", "") if b"\r" in text else lines
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.ranges, self.most = [Range(*r) for r in json.loads(options["ranges"])], int(options["most"])
@@ -247,13 +258,10 @@ class _Reader(DataSourceReader):
         for part in partition.ranges:
             n = 0
             for text in range_texts(part):
-                lines = text.decode("utf-8", "replace").split("\n")
-                if lines[-1] == "":
-                    lines.pop()
-                lines = [x[:-1] if x.endswith("\r") else x for x in lines]
+                lines = _lines(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines, type=pa.string()), pa.array([part.path] * len(lines), type=pa.string()),
-                     pa.array([part.start] * len(lines), type=pa.int64()), pa.array(range(n, n + len(lines)), type=pa.int64())],
+                    [lines, pa.repeat(part.path, len(lines)), pa.repeat(pa.scalar(part.start, pa.int64()), len(lines)),
+                     pa.array(np.arange(n, n + len(lines), dtype=np.int64))],
                     names=["value", "file_path", "split_start", "row_id"])
                 n += len(lines)
 
@@ -287,11 +295,14 @@ def read_block_lines(spark: SparkSession, paths: str | list[str], range_bytes: i
     """value, file_path, split_start, row_id of files or folders: what ``read_lines`` gives, from many tasks a file.
 
     The driver lists names and lengths, as any read does; only the tasks open the files. A trailing carriage return is no part
-    of a line, and bytes that are no UTF-8 are replaced.
+    of a line, and bytes that are no UTF-8 are replaced. Where ranges of ``range_bytes`` would be very many, they are longer, up to
+    ``RANGE_BYTES``: a task costs more to start than a short range to read.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    ranges = []
-    for path in paths:
-        for row in list_files(spark, path).filter("length > 0").select("path", "length").collect():
-            ranges += [(row.path, a, min(a + range_bytes, row.length)) for a in range(0, row.length, range_bytes)]
-    return load_ranges(spark, sorted(ranges), range_bytes)
+    files = [r for path in paths for r in list_files(spark, path).filter("length > 0").select("path", "length").collect()]
+    step = _range_step(sum(r.length for r in files), range_bytes, TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return load_ranges(spark, sorted((r.path, a, min(a + step, r.length)) for r in files for a in range(0, r.length, step)), step)
+
+
+def _range_step(total: int, range_bytes: int, tasks: int) -> int:
+    return max(range_bytes, min(-(-total // tasks), RANGE_BYTES))

@@ -155,6 +155,20 @@ def test_vcf_parts_follow_the_number_of_rows(spark, sf_dir, tmp_path, monkeypatc
         r.value for r in vcf.multi_sample_lines(rows).orderBy("chromosome", "position", "ref_allele", "alt_allele").collect()]
 
 
+def test_short_ranges_of_a_long_folder_are_joined(spark, tmp_path):
+    """Reading in ranges of 20 bytes takes no task for each of them."""
+    lines = [f"line {i}" for i in range(20_000)]
+    (tmp_path / "x").write_text("\n".join(lines))
+    read = blocks.read_block_lines(spark, str(tmp_path / "x"), 20)
+    assert 8 <= read.rdd.getNumPartitions() <= 16
+    assert [r.value for r in read.orderBy("split_start", "row_id").collect()] == lines
+    assert blocks._range_step(10**12, 1 << 16, 100) == blocks.RANGE_BYTES and blocks._range_step(10**12, 1 << 30, 100) == 1 << 30
+
+
 def test_a_null_line_is_an_error():
     with pytest.raises(ValueError):
         sink._Part(None).add(pa.array(["a", None]), None, None)
+
+
+def test_lines_of_odd_bytes():
+    assert blocks._lines(b"a\r\n\xff\rb\r\r\n\n\n").to_pylist() == ["a", "\ufffd\rb\r", "", ""]
